@@ -1 +1 @@
-"""See the modules."""
+"""Column expressions: no Python runs in them."""

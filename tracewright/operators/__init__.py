@@ -1 +1 @@
-"""See the modules."""
+"""Operators: functions from DataFrames to DataFrames."""

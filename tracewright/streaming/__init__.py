@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming: pipeline events, windows, incremental ingest, keyed state."""
