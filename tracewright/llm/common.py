@@ -44,6 +44,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """A written table of few numbers a row, to be broadcast if it has at most so many rows; else the
+    join shuffles, and AQE splits what is skewed."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -146,3 +152,36 @@ def over_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], s
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return df.select(*passed, text).mapInArrow(work, spec)
+
+
+#: Bits of a bitmap: 16 MB, whatever the data.
+BITS = 1 << 27
+
+
+def bitmap(keys: DataFrame, column: str):
+    """Broadcast bitmap of a column's hashes: BITS bits, put together as 64-bit words by an aggregate, so
+    at most BITS / 64 rows reach the driver. It never misses a key; of others it passes a share that
+    grows with the number of keys."""
+    at = keys.select(F.xxhash64(column).bitwiseAND(F.lit(BITS - 1)).alias("__at"))
+    bit = F.expr("shiftleft(1L, cast(__at & 63 as int))")
+    words = at.groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits")).toPandas()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words["__word"].to_numpy(dtype=np.int64)] = words["__bits"].to_numpy(dtype=np.int64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def probable(df: DataFrame, column: str, bits, among: bool = True) -> DataFrame:
+    """Rows of df whose key may be among the bitmap's (or, with among=False, is surely not): what a join
+    needs to move, when most rows have no partner."""
+    ship(df.sparkSession)
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h = batch.column("__hash").to_numpy() & (BITS - 1)
+            inside = (bits.value[h >> 6] >> (h & 63)) & 1 == 1
+            yield batch.filter(pa.array(inside == among))
+
+    rows = df.withColumn("__hash", F.xxhash64(column))
+    return rows.mapInArrow(work, rows.schema).drop("__hash")

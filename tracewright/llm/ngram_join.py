@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-from .common import materialize, over_texts, partitions, runs, table, whole, words_of
+from .common import bitmap, materialize, over_texts, partitions, probable, runs, table, whole, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Target recall of a pair at exactly SIMILAR, and most hash functions that may be spent on it.
@@ -244,6 +244,7 @@ def joined_classes(docs: DataFrame) -> DataFrame:
     members = tied.join(sizes, "root").withColumn("block", block).join(texts.select("nid", "ckey", "rep", "n"), F.col("node") == F.col("nid"))
     members = materialize(members.select("nid", "ckey", "rep", "n", "root", "block", "__blocks"), "join-members")
     body = docs.select(F.col("doc_id").alias("__doc"), F.md5(whole(F.col("text"))).alias("__key"), whole(F.col("text")).alias("text"))
+    body = probable(body, "__key", bitmap(members, "ckey"))  # most texts have no candidate and stay where they are
     rows = body.join(members, (F.col("__key") == F.col("ckey")) & F.col("__doc").eqNullSafe(F.col("rep")))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     rows = rows.select("root", F.least("block", "__other").alias("bi"), F.greatest("block", "__other").alias("bj"), "nid", "n", "block", "text")
@@ -268,10 +269,16 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the least doc_id."""
-    stay = joined_classes(docs).where("first").select(F.col("ckey").alias("__ckey"), F.col("rep").alias("__rep"))
-    rows = docs.withColumn("__key", F.md5(whole(F.col("text")))).join(stay, (F.col("__key") == F.col("__ckey")) & F.col("doc_id").eqNullSafe(F.col("__rep")))
-    return rows.dropDuplicates(["__ckey"]).select(*docs.columns)
+    """One document of each group, with all its columns: the one with the least doc_id. Only documents
+    that have a copy or a link move; the others pass as they are."""
+    known = joined_classes(docs).where("n > 1 or group_texts > 1")
+    known = materialize(known.select(F.col("ckey").alias("__ckey"), F.col("rep").alias("__rep"), "first"), "join-touched")
+    bits = bitmap(known, "__ckey")
+    rows = docs.withColumn("__key", F.md5(whole(F.col("text"))))
+    maybe = probable(rows, "__key", bits).join(known.select("__ckey", "__rep", F.col("first").alias("__first")), F.col("__key") == F.col("__ckey"), "left")
+    alone = maybe.where("__ckey is null").select(*docs.columns)
+    stay = maybe.where(F.col("__first") & F.col("doc_id").eqNullSafe(F.col("__rep"))).dropDuplicates(["__key"]).select(*docs.columns)
+    return probable(rows, "__key", bits, among=False).select(*docs.columns).unionByName(alone).unionByName(stay)
 
 
 def query(spark, sf_dir):
