@@ -168,6 +168,21 @@ def drain_clusters(spark, sf):
     return drain.clusters(frame(spark, sf, "ev").select("message", F.col("event_id").alias("seq"))).select("cluster_id", "template", "match_count")
 
 
+def stages(spark, sf):
+    """Orders as runs of stages: their priority, status and price."""
+    runs = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderpriority as stage", "o_orderstatus <> 'P' as ok", "o_totalprice as seconds")
+    return windows.stage_metrics(runs).select("stage", *(F.round(c, 6).alias(c) for c in ("p95", "p99", "success_ratio")), "runs")
+
+
+STAGES = "select o_orderpriority stage, round(quantile_cont(o_totalprice, 0.95), 6) p95, round(quantile_cont(o_totalprice, 0.99), 6) p99, round(avg(case when o_orderstatus <> 'P' then 1.0 else 0 end), 6) success_ratio, count(*) runs from orders group by all"
+
+
+def template_texts(spark, sf):
+    """What is embedded of each template of each service."""
+    rows = masked(spark, sf).groupBy("service", "template").agg(F.count("*").alias("n"))
+    return rows.select("service", text.template_passage(F.col("service"), F.col("template"), F.col("n")).alias("passage"))
+
+
 E5, E6 = features_sql(300), features_sql(SIX_HOURS)
 QUERIES = {
     "log_parse_cascade": (parse, PARSE),
@@ -192,5 +207,7 @@ QUERIES = {
     "template_service_lookup": (lookup, f"with {sql('ev')}, f as (select template_id, arg_min(service, (epoch_us(ts), event_id)) s from ev group by all) select event_id, template_id, s first_service from ev join f using (template_id)"),
     "stratified_sample": (sampled, SAMPLED),
     "embedding_texts": (passages, f"with {sql('ev')} select event_id, 'passage: [' || service || '] ' || severity || ': ' || template_id || case when exception_class is not null then ' | exception: ' || exception_class else '' end passage from ev"),
+    "template_texts": (template_texts, f"with {sql('ev')}, {MASKED} select service, 'passage: [' || service || '] Log template: ' || template || ' (frequency: ' || count(*) || ')' passage from masked group by service, template"),
+    "stage_metrics": (stages, STAGES),
     "streaming_windows": (stream.window_counts_once, None),
 }
