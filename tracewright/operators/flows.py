@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.sources.files import written
+
 OVERLAP = 0.7
 
 
@@ -58,17 +61,17 @@ def merged(flows: DataFrame, ratio: float = OVERLAP) -> DataFrame:
     """Greedy: in order of flow_id a flow stays unless it overlaps one that stayed; without services it
     goes. In rounds: of the undecided, those without an undecided smaller neighbour stay and their
     neighbours go, which is the same as one by one; rounds follow the longest chain of neighbours."""
-    pairs = overlapping_pairs(flows, ratio).select("a", "b").persist()
-    open_ = flows.where(F.size("services") > 0).select("flow_id").distinct().persist()
-    stayed = None
+    pairs = written(overlapping_pairs(flows, ratio).select("a", "b"))
+    open_ = written(flows.where(F.size("services") > 0).select("flow_id").distinct())
+    stayed = []
     while not open_.isEmpty():
+        first = written(open_.join(pairs.select(F.col("b").alias("flow_id")), "flow_id", "left_anti"))
+        gone = pairs.join(first.select(F.col("flow_id").alias("a")), "a", "left_semi").select(F.col("b").alias("flow_id"))
+        open_ = written(open_.join(first.unionByName(gone), "flow_id", "left_anti"))
         a, b = open_.select(F.col("flow_id").alias("a")), open_.select(F.col("flow_id").alias("b"))
-        live = pairs.join(a, "a", "left_semi").join(b, "b", "left_semi")
-        first = open_.join(live.select(F.col("b").alias("flow_id")), "flow_id", "left_anti").persist()
-        gone = live.join(first.select(F.col("flow_id").alias("a")), "a", "left_semi").select(F.col("b").alias("flow_id"))
-        stayed = first if stayed is None else stayed.unionByName(first)
-        open_ = open_.join(first.unionByName(gone), "flow_id", "left_anti").persist()
-    return flows.select("flow_id").limit(0) if stayed is None else stayed
+        pairs = written(pairs.join(a, "a", "left_semi").join(b, "b", "left_semi"))
+        stayed.append(first)
+    return reduce(lambda x, y: x.unionByName(y), stayed, flows.select("flow_id").limit(0))
 
 
 def batches(rows: Iterator, size: int) -> Iterator[list]:

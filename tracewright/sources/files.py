@@ -26,6 +26,17 @@ def scratch(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")).rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what a loop does between its rounds, so that
+    plans stay short and lost executors cost one round. The files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, place, _ = file_system(spark, path)
+    fs.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(path, line_no, line) of every *.log below the folder."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
