@@ -55,6 +55,20 @@ def test_snapshot_refresh(spark):
     assert counts["JAVA_SOURCE"] == 1 and counts["BUILD_FILE"] == 1 and counts["DOCKERFILE"] == 0 and len(counts) == 9
 
 
+def test_checkout(spark, tmp_path):
+    import subprocess
+
+    source = tmp_path / "source"
+    source.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(source), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (source / "pom.xml").write_text("<x/>")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    assert len(files.checkout(f"file://{source}", str(tmp_path / "copy"))) == 40
+    assert [r["path"] for r in files.snapshot(spark, str(tmp_path / "copy")).collect()] == ["pom.xml"]
+
+
 def test_blob_ingestion(spark):
     blobs = spark.createDataFrame([("a/app.log", bytearray(b"hello")), ("b/x.bin", bytearray(b"seen"))], "path string, content binary")
     seen = blobs.where("path = 'b/x.bin'").select(F.sha2("content", 256).alias("etag"))

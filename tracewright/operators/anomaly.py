@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.session import ship
@@ -69,6 +69,6 @@ def scored(rows: DataFrame, group: list[str], measures: list[str], order: list[s
     return rows.select(*group, *order, *measures).groupBy(*group).applyInPandas(fit, spec)
 
 
-def top(scores: DataFrame, k: int) -> DataFrame:
-    w = Window.orderBy(F.col("score").desc())
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top(scores: DataFrame, k: int, ties: list[str]) -> DataFrame:
+    """The k highest scores, highest first."""
+    return scores.orderBy(F.col("score").desc(), *ties).limit(k)

@@ -35,8 +35,13 @@ def summary(risks: DataFrame) -> DataFrame:
 
 
 def roadmap(phases: DataFrame) -> DataFrame:
-    """phases(flow_id, name, order) numbered over all flows by flow, then order."""
-    return phases.withColumn("phase", F.row_number().over(Window.orderBy("flow_id", "order")))
+    """phases(flow_id, order, ...) numbered over all flows by flow, then order: numbers within each flow
+    plus the phases of the flows before it, so that only the flows' counts meet in one place."""
+    counts = phases.groupBy("flow_id").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy("flow_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("flow_id", before.alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("flow_id").orderBy("order"))
+    return phases.withColumn("__n", inner).join(offsets, "flow_id").withColumn("phase", (F.col("__before") + F.col("__n")).cast("int")).drop("__n", "__before")
 
 
 def findings(risks: DataFrame, most: int = 5) -> DataFrame:

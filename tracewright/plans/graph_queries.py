@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import flows, graph, relational
+from tracewright.operators import flows, graph, relational, retrieval
 from tracewright.plans.adapters import EDGES_SQL, TOPICS_SQL, edges, frame, sql, topics
 
 GE = f"with recursive {EDGES_SQL}, {sql('gn')}"
@@ -137,7 +137,48 @@ def merged(spark, sf):
     return flows.merged(candidates(spark, sf))
 
 
+def flow_steps(spark, sf):
+    rows = candidates(spark, sf).select(F.array_join("services", ">").alias("flow_id"), "services", "is_async")
+    return flows.steps(rows).select("flow_id", F.col("step").cast("long").alias("step"), "service", "kind")
+
+
+STEPS = f"{walks(3)}, s as (select path, string_split(path, '>') l from w) select path flow_id, i step, l[i] service, case when i = 1 then 'HTTP_ENDPOINT' else 'HTTP_CLIENT_CALL' end kind from s, unnest(range(1, len(l) + 1)) r(i)"
+
+
+def evidence(spark, sf):
+    rows = candidates(spark, sf).select(F.array_join("services", ">").alias("flow_id"), "services", "n_steps")
+    return flows.evidence_query(rows).select("query_id", F.col("top_k").cast("long").alias("top_k"))
+
+
+def resolved(spark, sf):
+    """Call edges whose ends are known nodes of a label, as relations."""
+    nodes = frame(spark, sf, "gn").selectExpr("id", "type as label").where("label <> 'KafkaTopic'")
+    typed = edges(spark, sf).selectExpr("src", "dst", "case when src % 2 = 0 then 'HTTP_CALL' when src % 3 = 0 then 'KAFKA_PRODUCE' else 'OTHER' end as type")
+    return graph.resolved_edges(typed, nodes).select("src", "dst", "src_label", "dst_label", "relation")
+
+
+RESOLVED = f"""{GE} select src, dst, a.type src_label, b.type dst_label, case when src % 2 = 0 then 'CALLS_HTTP' when src % 3 = 0 then 'PRODUCES_TO' else 'OTHER' end relation
+from ge join gn a on src = a.id and a.type <> 'KafkaTopic' join gn b on dst = b.id and b.type <> 'KafkaTopic'"""
+
+
+def context(spark, sf):
+    """Context documents of each service: classes as neighbours, paths as endpoints, complex methods."""
+    services, classes, methods = code_tables(spark, sf)
+    rows = graph.hierarchy(services, classes, methods)
+    docs = retrieval.graph_documents(classes.selectExpr("service", "class as neighbor"), rows.select("service", "path"), rows.select("service", "method", "complexity"))
+    return docs.select("service", "score", F.sha2("content", 256).alias("content_hash"))
+
+
+CONTEXT = f"""with {CODE}, n as (select distinct n_name service, s_name x from nation join supplier on s_nationkey = n_nationkey), e as (select distinct service, path x from cd), m as (select distinct service, method x from cd where complexity in ('BRANCHING', 'COMPLEX')),
+d as (select service, 1.0 score, 'Neighbors: ' || string_agg(x, ', ' order by x) c from n group by all union all select service, 0.9, 'Endpoints: ' || string_agg(x, ', ' order by x) from e group by all union all select service, 0.7, 'Complex methods: ' || string_agg(x, ', ' order by x) from m group by all)
+select service, cast(score as double) score, sha256(c) content_hash from d"""
+
+
 QUERIES = {
+    "flow_steps": (flow_steps, STEPS),
+    "evidence_queries": (evidence, f"{walks(3)}, s as (select path, string_split(path, '>') l from w) select path query_id, greatest(10, 3 * len(l)) top_k from s"),
+    "resolved_edges": (resolved, RESOLVED),
+    "graph_context_documents": (context, CONTEXT),
     "entry_points": (entries, f"{GE}, {STARTS} select id from st"),
     "call_chains_3": (chains(3), f"{walks(3)} select path, cast(hops as int) hops from w"),
     "call_chains_5": (chains(5), f"{walks(5)} select path, cast(hops as int) hops from w"),

@@ -183,6 +183,13 @@ def template_texts(spark, sf):
     return rows.select("service", text.template_passage(F.col("service"), F.col("template"), F.col("n")).alias("passage"))
 
 
+def supports(spark, sf):
+    return sequences.pair_supports(sequences.trace_sequences(frame(spark, sf, "ev")))
+
+
+SUPPORTS = PAIRS.rsplit("select pattern, count", 1)[0] + "select pattern, count from pat"
+
+
 E5, E6 = features_sql(300), features_sql(SIX_HOURS)
 QUERIES = {
     "log_parse_cascade": (parse, PARSE),
@@ -203,6 +210,7 @@ QUERIES = {
     "trace_sequences": (lambda s, d: joined(sequences.trace_sequences(frame(s, d, "ev")), "trace_id"), f"with {sql('ev')} select trace_id, count(*) n, string_agg({ITEM}, ' → ' order by ts, event_id) items from ev where trace_id is not null group by all having count(*) >= 2"),
     "temporal_sequences": (lambda s, d: joined(sequences.window_sequences(frame(s, d, "ev")), "bin"), f"with {sql('ev')}, b as (select *, cast(floor((epoch_us(ts) - (select epoch_us(min(ts)) from ev)) / 30000000.0) as bigint) bin from ev) select bin, count(*) n, string_agg({ITEM}, ' → ' order by ts, event_id) items from b group by all having count(*) >= 2"),
     "prefixspan_len2": (pairs, PAIRS),
+    "pair_supports": (supports, SUPPORTS),
     "prefixspan_full": (patterns, None),
     "template_service_lookup": (lookup, f"with {sql('ev')}, f as (select template_id, arg_min(service, (epoch_us(ts), event_id)) s from ev group by all) select event_id, template_id, s first_service from ev join f using (template_id)"),
     "stratified_sample": (sampled, SAMPLED),

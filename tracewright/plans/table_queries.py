@@ -133,7 +133,37 @@ def completeness(spark, sf):
     return n.select("doc_id", F.round(evaluation.completeness(F.col("text"), steps), 6).alias("completeness"))
 
 
+def findings(spark, sf):
+    return report.findings(frame(spark, sf, "risks")).select("risk_id", "severity", "category")
+
+
+def roadmap(spark, sf):
+    """Orders of each day as phases, numbered over all."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderstatus as flow_id", "o_orderkey as `order`")
+    return report.roadmap(orders).select("flow_id", "order", "phase")
+
+
+def means(spark, sf):
+    """Labels as results of two measures."""
+    rows = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("'run' as variant", "stack(2, 'quality', cast(quality as double), 'toxic', cast(toxic as double)) as (measure, value)")
+    return evaluation.overall(rows).select("variant", "measure", F.round("mean", 6).alias("mean"), "n")
+
+
+def code_terms(spark, sf):
+    """Terms of the code analyzer and how often they occur."""
+    terms = frame(spark, sf, "docs").select(F.explode(text.analyzed(F.col("text"), code=True)).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
+
+
+TERMS = rf"""with {sql("docs")}, t as (select unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) term from docs)
+select term, count(*) n from t where term not in ({listed(text.CODE_STOP_WORDS)}) group by all"""
+
+
 QUERIES = {
+    "risk_findings": (findings, f"with {sql('risks')} select risk_id, severity, category from risks order by case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 else 4 end, risk_id limit 5"),
+    "roadmap_phases": (roadmap, 'select o_orderstatus flow_id, o_orderkey as "order", cast(row_number() over (order by o_orderstatus, o_orderkey) as int) phase from orders'),
+    "evaluation_means": (means, "select 'run' variant, measure, round(avg(v), 6) mean, count(*) n from (select 'quality' measure, cast(quality as double) v from labels union all select 'toxic', cast(toxic as double) from labels) group by all"),
+    "code_terms": (code_terms, TERMS),
     "changed_artifacts": (changed, f"with {OLD_NEW} select coalesce(o.path, n.path) path, case when o.path is null then 'ADDED' when n.path is null then 'REMOVED' else 'MODIFIED' end change from o full join n on o.path = n.path where o.hash is distinct from n.hash"),
     "new_blobs_anti": (unseen, f"with {OLD_NEW} select path, hash from n where path not in (select path from o)"),
     "upsert_latest": (upsert, f"with {OLD_NEW}, u as (select path, hash, seq from o union all select path, hash, seq from n) select path, hash, cast(seq as int) seq from u qualify row_number() over (partition by path order by seq desc) = 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import posixpath
+import subprocess
 import tarfile
 import tempfile
 import uuid
@@ -114,6 +115,13 @@ def expanded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, "archive string, path string, content binary, error string")
 
 
+def checkout(url: str, folder: str, branch: str | None = None) -> str:
+    """Clones a repository into a folder on the driver and gives its head's hash."""
+    on = ["--branch", branch] if branch else []
+    subprocess.run(["git", "clone", "--quiet", "--depth", "1", *on, url, folder], check=True)
+    return subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
+
+
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """(path, hash, length) of a checked-out tree, paths relative to it; `.git` is left out."""
     root = folder.rstrip("/").split(":", 1)[-1]
