@@ -1,11 +1,12 @@
 """Secret scans with recursive decoding.
 
 Every whole text is scanned; layers found in it (URL percent codes, Unicode and character escapes,
-base64, and compressed data within base64) are decoded and go on a worklist, until none gives a new
-layer. A layer seen before in the document isn't taken up again, so cycles end. Each character of a
+full-width and styled letters, base64, and compressed data within base64) are decoded and go on a
+worklist, until none gives a new layer. A layer of the same text and place as one before isn't taken up
+again, so cycles end. Each character of a
 layer knows the span of the document that it came from, so findings map back to the document.
 
-Percent codes and escapes are decoded in place, with the text around them, so that a secret may lie
+Percent codes, escapes and letter forms are decoded in place, with the text around them, so that a secret may lie
 partly in codes; base64 runs become layers of their own. Data that unpack to over `unpack_limit` bytes
 are read up to there (a guard against bombs, far beyond any document).
 
@@ -19,6 +20,7 @@ import base64
 import binascii
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -38,6 +40,9 @@ MARK = re.compile(r"(?:word|passwd|secret|token|key)[\"']?\x20*[:=]", re.I | re.
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Full-width, circled and mathematical letters; soft hyphens, zero-width and direction marks.
+FORMS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e\u24b6-\u24e9\U0001d400-\U0001d7ff]+")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 UNPACK_LIMIT = 64 << 20
 
@@ -132,6 +137,18 @@ def from_escape(layer: Layer):
     return decode
 
 
+def from_forms(layer: Layer):
+    def decode(m):
+        chars, spans = [], []
+        for i, c in enumerate(m[0], m.start()):
+            plain = "" if INVISIBLE.match(c) else unicodedata.normalize("NFKC", c)
+            chars.append(plain)
+            spans += [layer.origin(i, i + 1)] * len(plain)
+        return "".join(chars), spans
+
+    return decode
+
+
 def from_base64(layer: Layer, m: re.Match, limit: int) -> Layer | None:
     """A base64 run's content: text, or what unpacks to text."""
     body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -162,6 +179,8 @@ def layers(layer: Layer, limit: int) -> list[Layer]:
         found.append(replaced(layer, PERCENT, from_percent(layer)))
     if "\\" in text or "&#" in text:
         found.append(replaced(layer, ESCAPE, from_escape(layer)))
+    if not text.isascii() and FORMS.search(text):
+        found.append(replaced(layer, FORMS, from_forms(layer)))
     found += [from_base64(layer, m, limit) for m in BASE64.finditer(text)]
     return [x for x in found if x is not None]
 
@@ -170,13 +189,15 @@ def findings(text: str, unpack_limit: int = UNPACK_LIMIT) -> tuple[list[Span], l
     """Base spans, and all spans after unwrapping every layer."""
     base = scan(text)
     every = set(base)
-    work, seen = layers(Layer(text), unpack_limit), {text}
+    work, seen = layers(Layer(text), unpack_limit), {(text, 0, len(text))}
     while work:
         layer = work.pop()
-        if layer.text in seen:  # its spans are those of an equal text elsewhere in the document: map them too
-            every.update((k, *layer.origin(s, e)) for k, s, e in scan(layer.text))
+        if not layer.text:
+            continue
+        key = (layer.text, *layer.origin(0, len(layer.text)))
+        if key in seen:
             continue
-        seen.add(layer.text)
+        seen.add(key)
         every.update((k, *layer.origin(s, e)) for k, s, e in scan(layer.text))
         work += layers(layer, unpack_limit)
     return base, ordered(every)
