@@ -15,7 +15,6 @@ columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-from .common import materialize, partitions, runs, table
+from .common import materialize, table
 
 NEIGHBOURS, BUILD_BREADTH, SEARCH_BREADTH = 16, 80, 160
 #: Vectors to a shard and queries to a block, about.
@@ -244,9 +243,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query (vec_id, embedding) in the index."""
     count = queries.count()
     blocks = max(1, -(-count // QUERIES))
-    shards = [r[0] for r in index.select("shard").collect()]  # one small number for each SHARD vectors
+    last = index.agg(F.max("shard")).first()[0]
     asked = queries.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>")))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)))) if last is not None else asked.withColumn("shard", F.lit(0)).limit(0)
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(lambda key, a, b: search_shard(key, a, b, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
