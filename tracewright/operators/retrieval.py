@@ -33,12 +33,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, list_no: int = 0, column:
     terms of a text are filtered by a semi-join before they are grouped."""
     asked = queries.select("query_id", F.explode(F.array_distinct(text.analyzed(F.col("query"), code))).alias("term"))
     sized = docs.select("doc_id", text.analyzed(F.col(column), code).alias("__t")).withColumn("dl", F.size("__t").cast("long"))
-    total = sized.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    total = sized.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
+    n, avgdl = F.lit(total["n"]), F.lit(total["avgdl"] or 1.0)
     hits = sized.select("doc_id", "dl", F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(df, "term").join(asked, "term").join(F.broadcast(total)).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    scored = hits.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 6)), k, list_no)
 
 
@@ -138,9 +139,9 @@ def embedding_quality(vecs: DataFrame) -> DataFrame:
     n = vecs.groupBy("label").agg(F.count("*").alias("n"), F.sum((vectors.squared_norm(F.col("embedding")) > 0).cast("long")).alias("ones"))
     every = sums.groupBy("i").agg(F.sum("s").alias("t"))
     mixed = sums.join(every, "i").groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("own"), F.sum(F.col("s") * (F.col("t") - F.col("s"))).alias("other"))
-    total = vecs.agg(F.count("*").alias("all"))
-    rows = mixed.join(n, "label").join(F.broadcast(total))
+    total = F.lit(vecs.count())
+    rows = mixed.join(n, "label")
     cohesion = F.when(F.col("n") >= 2, (F.col("own") - F.col("ones")) / (F.col("n") * (F.col("n") - 1)))
-    separation = 1 - F.col("other") / (F.col("n") * (F.col("all") - F.col("n")))
+    separation = 1 - F.col("other") / (F.col("n") * (total - F.col("n")))
     rows = rows.withColumn("c", cohesion).withColumn("b", separation).withColumn("a", 1 - F.col("c"))
     return rows.select("label", "n", F.round("c", 6).alias("cohesion"), F.round("b", 6).alias("separation"), F.round((F.col("b") - F.col("a")) / F.greatest("a", "b"), 6).alias("silhouette"))

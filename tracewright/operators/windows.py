@@ -31,13 +31,14 @@ def binned(events: DataFrame, seconds: int = FIVE_MINUTES, by: str | None = "ser
 
     The first and last event are aggregates joined back, not a window over the service: a service may
     hold a third of all rows, and its rows needn't meet for this."""
-    keys = [by] if by else []
-    ends = events.groupBy(*keys).agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"))
-    joined = events.join(ends, keys) if keys else events.join(F.broadcast(ends))
     width = seconds * 1_000_000
-    first = micros(F.date_trunc("minute", F.col("__first")) if by else F.col("__first"))
-    out = joined.withColumn("bin", F.floor((micros(F.col("ts")) - first) / width).cast("long")).withColumn("start_us", first + F.col("bin") * width)
-    return (out.where(F.col("start_us") < micros(F.col("__last"))) if by else out).drop("__first", "__last")
+    if by is None:  # one first event for all
+        start = F.lit(events.agg(F.min(micros(F.col("ts")))).first()[0] or 0)
+        return events.withColumn("bin", F.floor((micros(F.col("ts")) - start) / width).cast("long")).withColumn("start_us", start + F.col("bin") * width)
+    ends = events.groupBy(by).agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"))
+    first = micros(F.date_trunc("minute", F.col("__first")))
+    rows = events.join(ends, by).withColumn("bin", F.floor((micros(F.col("ts")) - first) / width).cast("long")).withColumn("start_us", first + F.col("bin") * width)
+    return rows.where(F.col("start_us") < micros(F.col("__last"))).drop("__first", "__last")
 
 
 def bursts(events: DataFrame, keys: list[str]) -> DataFrame:
