@@ -98,7 +98,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int,
         rows = rows.where(keep)
     rows = rows.orderBy(F.md5(F.col("__id").cast("string")), "__id", "__label").limit(bound)
     texts = docs.select(F.col("doc_id").alias("__doc"), whole(F.col("text")).alias("__text"))
-    got = texts.join(F.broadcast(rows), texts["__doc"] == rows["__id"]).select("__doc", "__label", "__text").toPandas()
+    # a doc_id that stands for many rows gives one of them
+    got = texts.join(F.broadcast(rows), texts["__doc"] == rows["__id"]).groupBy("__doc", "__label").agg(F.min("__text").alias("__text")).toPandas()
     got = got.sort_values(["__doc", "__label"], kind="stable")
     return got["__text"].tolist(), got["__label"].to_numpy(dtype=np.int64)
 

@@ -56,7 +56,7 @@ EDGES = "\"'().,;:?[]{}<>«»„“”"
 
 
 def symbol_table() -> np.ndarray:
-    codes = np.full(256, OTHER, np.int64)
+    codes = np.full(256, OTHER, np.int32)
     codes[[ord(c) for c in " \t\n\x0b\x0c\r"]] = 0
     for i in range(26):
         codes[97 + i] = codes[65 + i] = 1 + i
@@ -64,15 +64,17 @@ def symbol_table() -> np.ndarray:
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all SYMBOLS^3 trigrams over all texts; each batch adds up to at most that many rows."""
+    """Counts of all SYMBOLS^3 trigrams over all texts; each task adds up to at most that many rows.
+    Texts are counted a few at a time, so that their codes stay small."""
 
     def work(batches):
         codes = symbol_table()
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            raw = " ".join(t for t in batch.column("text").to_pylist() if t).encode("ascii", "replace")
-            s = codes[np.frombuffer(b"  " + raw + b"  ", np.uint8)]
-            total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+            for i in range(0, batch.num_rows, 32):
+                raw = " ".join(t for t in batch.column("text").slice(i, 32).to_pylist() if t).encode("ascii", "replace")
+                s = codes[np.frombuffer(b"  " + raw + b"  ", np.uint8)]
+                total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["gram", "n"])
 
@@ -139,8 +141,9 @@ class Features:
     """Columns of a text's restored words and of their first letters, which inflected forms share;
     tokens are remembered up to a bound."""
 
-    def __init__(self, restorer: Restorer):
-        self.restorer, self.known = restorer, {}
+    def __init__(self, restorer: Restorer, kept: np.ndarray | None = None):
+        """kept: whether each column counts; null: all do."""
+        self.restorer, self.kept, self.known = restorer, kept, {}
 
     def columns(self, token: str) -> tuple[int, ...]:
         at = self.known.get(token)
@@ -149,7 +152,10 @@ class Features:
                 self.known.clear()
             word = self.restorer.restore(token)
             parts = [word] + [f"{word[:k]}-" for k in STEMS if len(word) >= k] if word else []
-            at = self.known[token] = tuple(xxhash.xxh64_intdigest(p) % (WIDTH - 1) + 1 for p in parts)
+            at = tuple(xxhash.xxh64_intdigest(p) % (WIDTH - 1) + 1 for p in parts)
+            if self.kept is not None:
+                at = tuple(c for c in at if self.kept[c])
+            self.known[token] = at
         return at
 
     def __call__(self, text: str) -> np.ndarray:
@@ -211,7 +217,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast((counts, weights))  # SYMBOLS^3 and WIDTH numbers
 
     def make():
-        features, w = Features(Restorer(model.value[0])), model.value[1].astype(np.float64)
+        w = model.value[1].astype(np.float64)
+        features = Features(Restorer(model.value[0]), w != 0)
 
         def work(batch):
             scores = sigmoid([w[0] + w[features(t)].sum() for t in batch])
