@@ -84,7 +84,7 @@ NEAR = f"with {sql('vec')}, fi as (select label query_id, arg_min(embedding, doc
 
 def links(spark, sf):
     v = frame(spark, sf, "vec").select(F.col("doc_id").alias("id"), "embedding")
-    return graph.link_scores(v, 0.7).select("a", "b", F.round("score", 6).alias("score"))
+    return graph.link_scores(v, 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def classes(spark, sf):
@@ -118,7 +118,7 @@ QUERIES = {
     "rrf_fusion": (fused, f"{LISTS}, {top('fu', K, 'f')} select query_id, rank, doc_id, score from f"),
     "hybrid_retrieve": (hybrid, HYBRID),
     "retrieval_metrics": (metrics, METRICS),
-    "link_scores": (links, f"with {sql('vec')}, p as (select x.doc_id a, y.doc_id b, list_dot_product(cast(x.embedding as double[]), cast(y.embedding as double[])) s from vec x, vec y where x.doc_id < y.doc_id) select a, b, round(s, 6) score from p where s > 0.7"),
+    "link_scores": (links, f"with {sql('vec')}, p as (select x.doc_id a, y.doc_id b, list_dot_product(cast(x.embedding as double[]), cast(y.embedding as double[])) s from vec x, vec y where x.doc_id < y.doc_id) select a, b, round(s, 6) score from p where s > 0.3"),
     "argmax_classes": (classes, f"with {sql('vec')} select doc_id id, [{NAMES}][least(list_position(embedding, list_max(embedding)), {len(graph.PATTERNS)})] pattern, round(cast(list_max(embedding) as double), 6) confidence from vec"),
     "embedding_quality": (quality, QUALITY),
     "fusion_keys": (deduplicated, f"with {sql('docs')} select sha256(substring(text, 1, 100)) as key, count(*) n, min(doc_id) as first from docs group by all"),
