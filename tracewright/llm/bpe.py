@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,7 @@ from .common import over_texts, table
 #: The split of byte-level tokenizers of this kind (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_ASCII = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SPEC = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -41,6 +42,27 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Pieces(dict):
+    """Ids of pieces, in two generations: a full one becomes the old one, and what is met again comes
+    back from it, so frequent pieces stay. Pieces of over 64 characters are not kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.encode(piece.encode()), dtype="<u4").tobytes()
+            if len(piece) > 64:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file (bytes of a tokenizers JSON)."""
 
@@ -64,12 +86,19 @@ class Bpe:
             if len(b) == 1 or i in self.made:
                 self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
-        self.split, self.split_ascii = regex.compile(SPLIT), regex.compile(SPLIT_ASCII)
+        self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Pieces(self.encode_piece)
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
+    def forget(self) -> None:
+        """Drops what was remembered; the worker may next serve another operator."""
+        self.pieces.clear()
+        self.pieces.old.clear()
+        self.pairs.clear()
+        self.spines.clear()
+
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """Parts on the right (side 2) or left (1) edge of a token, each with the rank of the merge
         that takes it up."""
@@ -86,7 +115,8 @@ class Bpe:
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge across the border of a and b comes before those inside. Of equal merges
         the leftmost goes first: one inside a before, one inside b after the border's."""
-        if (known := self.pairs.get((a, b))) is None:
+        key = a << 32 | b
+        if (known := self.pairs.get(key)) is None:
             known = True
             for p, p_up in self.spine(a, 2):
                 for q, q_up in self.spine(b, 1):
@@ -96,18 +126,27 @@ class Bpe:
                         break
                 if not known:
                     break
-            if len(self.pairs) > 10 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[key] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
-        last, came = [-1] * (n + 1), [0] * (n + 1)
+        last, came, known = [-1] * (n + 1), [0] * (n + 1), self.pairs
         for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
             at = end + 1
-            if last[at] < 0 and (at == size or last[at - size] >= 0 and self.compatible(last[at - size], token)):
-                last[at], came[at] = token, at - size
+            if last[at] >= 0:
+                continue
+            start = at - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known.get(before << 32 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[at], came[at] = token, start
         out = []
         while n:
             out.append(last[n])
@@ -115,23 +154,8 @@ class Bpe:
         return out[::-1]
 
     def encode_plain(self, text: str) -> bytes:
-        known = self.pieces
-        parts = (self.split_ascii if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.split).findall(text)
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes()
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(p) <= 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        split = self.split_ascii if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.split
+        return b"".join(map(self.pieces.__getitem__, split.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -173,6 +197,7 @@ def bpe_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
                 "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
             }
 
+        work.done = bpe.forget
         return work
 
     return over_texts(docs.select("doc_id", "text"), make, SPEC)

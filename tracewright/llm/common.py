@@ -135,9 +135,13 @@ def sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x, dtype=np.float64)))
 
 
+#: Texts that a function gets at a time; bounds what a worker holds.
+SLICE = 1000
+
+
 def over_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], spec: str, text: str = "text") -> DataFrame:
-    """Maps batches of whole texts to columns. make() runs once in each task and gives a function from
-    texts (null: empty) to Arrow arrays by name; df's other columns named in spec pass as they are."""
+    """Maps batches of whole texts to columns. make() runs once in each task and gives a function (whose
+    attribute `done`, if any, is called at the end) from texts (null: empty) to Arrow arrays by name; df's other columns named in spec pass as they are."""
     ship(df.sparkSession)
     passed = [x.split()[0] for x in spec.split(", ") if x.split()[0] in df.columns and x.split()[0] != text]
 
@@ -145,12 +149,16 @@ def over_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], s
         import pyarrow as pa
 
         f = make()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            made = f(texts)
-            columns = {c: batch.column(c) for c in passed} | made
-            names = [x.split()[0] for x in spec.split(", ")]
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+        names = [x.split()[0] for x in spec.split(", ")]
+        try:
+            for whole_batch in batches:
+                for i in range(0, whole_batch.num_rows, SLICE):
+                    batch = whole_batch.slice(i, SLICE)
+                    made = f([t or "" for t in batch.column(text).to_pylist()])
+                    columns = {c: batch.column(c) for c in passed} | made
+                    yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+        finally:
+            getattr(f, "done", lambda: None)()
 
     return df.select(*passed, text).mapInArrow(work, spec)
 

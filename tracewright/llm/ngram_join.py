@@ -35,7 +35,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Target recall of a pair at exactly SIMILAR, and most hash functions that may be spent on it.
 RECALL, HASHES = 0.9998, 400
 BLOCK = 512
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def bands_and_rows(similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -113,8 +113,7 @@ def classes(docs: DataFrame) -> DataFrame:
         shingles, minhash = Shingles(), MinHash()
 
         def work(texts):
-            sets = [shingles(t) for t in texts]
-            keys = [minhash(s) if len(s) else None for s in sets]
+            keys = [minhash(s) if len(s := shingles(t)) else None for t in texts]
             flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
             ends = np.cumsum([0] + [0 if k is None else len(k) for k in keys])
             return {"bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))}
