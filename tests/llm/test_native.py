@@ -136,3 +136,14 @@ def test_shards_prune(spark):
 @pytest.mark.parametrize("run", [quality_rules.quality_rules, quality_rules.filtered, mixing.mix, mixing.mixed_documents, sharding.hilbert_shards])
 def test_empty_table(spark, run):
     assert run(docs(spark, [])).count() == 0
+
+
+def test_quality_cut_takes_symbol_junk_and_keeps_clean_tails(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    text = lambda n=60: " ".join(word() for _ in range(n))
+    line = text(8)
+    rows = [(i, text(), "en", "a") for i in range(200)] + [(900, " | ".join(text().split()), "en", "a"), (901, "\n".join([line, line] + [text(8) for _ in range(6)]), "en", "a"), (902, "one | two * " + text(), "en", "a")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert kept.pop(900) is False  # some 18% symbols
+    assert all(kept.values())

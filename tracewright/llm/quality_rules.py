@@ -29,13 +29,16 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Share of rows in the core; concentration steps; fewest rows that make an estimate.
 CORE, STEPS, LEAST = 0.75, 3, 50
-#: Squared distance: far beyond the 1 - 1e-9 quantile of chi-squared with 4 degrees of freedom (47),
-#: as the statistics of clean text have longer tails than the normal law.
-CUTOFF = 150.0
+#: Squared distance: the 1 - 1e-6 quantile of chi-squared with 4 degrees of freedom.
+CUTOFF = 33.4
+#: What makes the covariance of a normal law's core that of the law: CORE over the share of chi-squared
+#: with 6 degrees of freedom below the CORE quantile of that with 4.
+CONSISTENT = 1.487
 #: Least standard deviation of each transformed statistic: most documents have no symbols and no
-#: repeats at all, and a spread of 0 would reject the first one that has any. Repeats have wider ones, as
-#: the base rules judge them already.
-FLOORS = (0.06, 0.05, 0.08, 0.08)
+#: repeats at all, and a spread of 0 would reject the first one that has any. They follow the tails of
+#: labelled clean documents: these have no symbols, so that 3% are too many, but up to a third of their
+#: lines and a quarter of their windows repeated, which the base rules judge already.
+FLOORS = (0.06, 0.03, 0.15, 0.15)
 DIMS = tuple(f"__z{i}" for i in range(len(FLOORS)))
 
 
@@ -127,7 +130,7 @@ def estimate(core: DataFrame, group: list[str]) -> DataFrame:
     df = core.groupBy(*group).agg(*sums, *cross)
     for i in range(n):
         for j in range(i + 1):
-            c = F.col(f"__s{i}{j}") - F.col(f"__m{i}") * F.col(f"__m{j}")
+            c = CONSISTENT * (F.col(f"__s{i}{j}") - F.col(f"__m{i}") * F.col(f"__m{j}"))
             if i == j:
                 c = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2
             c = reduce(lambda a, k: a - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}"), range(j), c)
