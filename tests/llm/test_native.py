@@ -147,3 +147,16 @@ def test_quality_cut_takes_symbol_junk_and_keeps_clean_tails(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
     assert kept.pop(900) is False  # some 18% symbols
     assert all(kept.values())
+
+
+def test_quality_judges_small_groups_by_language_or_all(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(60))
+    junk = lambda: " | ".join(text().split())
+    rows = [(i, text(), "en", "a") for i in range(200)] + [(300 + i, text(), "en", "b") for i in range(20)]
+    odd = [(900, junk(), "en", "b"), (901, junk(), "en", None), (902, junk(), "xx", "c"), (903, junk(), None, None)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows + odd)).collect()}
+    assert not any(got[i]["kept"] for i, *_ in odd) and all(got[i]["kept"] for i, *_ in rows)
+    assert all(r["distance2"] is not None for r in got.values())
+    stay = {r["doc_id"] for r in quality_rules.filtered(docs(spark, rows + odd)).collect()}
+    assert stay == {i for i, *_ in rows}

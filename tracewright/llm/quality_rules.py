@@ -4,7 +4,9 @@ Each document gets four statistics of its whole text (letters a word, shares of
 lines and repeated 8-word windows). Their transforms are judged against a minimum covariance
 determinant estimate of the document's group (language and source): from medians and quartile spreads,
 concentration steps keep the CORE share of rows nearest to the current centre and estimate anew; a
-document is rejected if its Mahalanobis distance under the last estimate exceeds CUTOFF.
+document is rejected if its Mahalanobis distance under the last estimate exceeds CUTOFF. Groups of under
+LEAST rows are judged by the estimate of their language, and by that of all rows where the language has
+fewer, too.
 
 Every pass over the rows is one aggregate with partial sums for each group; quantiles come from
 histograms of fixed cells, so results do not depend on the partitioning and hot groups add up before
@@ -12,8 +14,8 @@ the shuffle. Estimates of a group are one row; they are broadcast while they are
 no row moves for them.
 
 Defined results: null text counts as empty and fails the base rules; null language or source form
-groups of their own; groups of under LEAST rows reject nobody; equal rows get equal results; an empty
-table gives an empty table; other columns are not read (`filtered` keeps them).
+groups of their own; a table of under LEAST rows that pass the base rules rejects none of them; equal
+rows get equal results; an empty table gives an empty table; other columns are not read (`filtered` keeps them).
 """
 
 from __future__ import annotations
@@ -141,6 +143,11 @@ def estimate(core: DataFrame, group: list[str]) -> DataFrame:
 GROUP = ["__lang", "__from"]
 
 
+def levels() -> list[tuple[Column, Column]]:
+    """A group, its language, all rows; names of languages and sources are never empty."""
+    return [(F.col("__lang"), F.col("__from")), (F.col("__lang"), F.lit("")), (F.lit(""), F.lit(""))]
+
+
 def prepared(stats: DataFrame) -> DataFrame:
     """+ base_failed, the group and the transformed statistics."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -149,8 +156,10 @@ def prepared(stats: DataFrame) -> DataFrame:
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """The last estimate of each group, from its rows that pass the base rules."""
-    inliers = rows.where(~F.col("base_failed"))
+    """For each group of the rows, the last estimate from those that pass the base rules: the group's own,
+    that of its language or that of all rows, the first that LEAST rows make. No estimate, no row."""
+    each = F.array(*(F.struct(*(c.alias(g) for c, g in zip(at, GROUP, strict=True))) for at in levels()))
+    inliers = rows.where(~F.col("base_failed")).select(F.explode(each).alias("__at"), *DIMS).select("__at.*", *DIMS)
     first = inliers.groupBy(*GROUP).agg(F.count("*").alias("__n"))
     for i, z in enumerate(DIMS):
         names = [f"__q{i}", f"__m{i}", f"__p{i}"]
@@ -162,11 +171,22 @@ def fitted(rows: DataFrame) -> DataFrame:
         near = distance(inliers.join(fit, GROUP)).withColumn("__log", F.log(F.col("__d2") + 1e-6)).select(*GROUP, *DIMS, "__log")
         edge = if_small(materialize(quantiles(near, GROUP, F.col("__log"), [CORE], 1 / 256, ["__edge"]), "quality-edge"))
         fit = estimate(near.join(edge, GROUP).where(F.floor(F.col("__log") * 256) < F.round(F.col("__edge") * 256)), GROUP)
-    return if_small(materialize(fit, "quality-fit"))
+    return if_small(materialize(nearest(rows.select(*GROUP).distinct(), materialize(fit, "quality-fit")), "quality-fit"))
+
+
+def nearest(groups: DataFrame, fit: DataFrame) -> DataFrame:
+    """Each group with the estimate of the first of its levels() that has one."""
+    numbers = [c for c in fit.columns if c not in GROUP]
+    fit = fit.select(*(F.col(g).alias(f"{g}_of") for g in GROUP), F.struct(*numbers).alias("__fit"))
+    for k, at in enumerate(levels()):
+        of = if_small(fit.withColumnsRenamed({f"{g}_of": f"{g}_{k}" for g in GROUP} | {"__fit": f"__fit_{k}"}))
+        groups = groups.join(of, reduce(Column.__and__, (of[f"{g}_{k}"] == c for g, c in zip(GROUP, at, strict=True))), "left")
+    found = F.coalesce(*(F.col(f"__fit_{k}") for k in range(len(levels()))))
+    return groups.select(*GROUP, found.alias("__fit")).where("__fit is not null").select(*GROUP, "__fit.*")
 
 
 def judged(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """prepared() + distance2 (null where no estimate is made), kept. One comparison decides: a condition
+    """prepared() + distance2 (null where the table is too small for any estimate), kept. One comparison decides: a condition
     on the base rules alone would be pushed below the join, and the text measured there once more."""
     out = distance(rows.join(fit, GROUP, "left"), "distance2")
     return out.withColumn("kept", F.coalesce(F.col("distance2"), F.lit(0.0)) <= F.when(F.col("base_failed"), -1.0).otherwise(CUTOFF))
