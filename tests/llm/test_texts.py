@@ -251,3 +251,13 @@ def test_empty_table(spark, run):
 
 def test_words():
     assert words_of("a\x1cb c d\te\r\n") == ["a\x1cb c", "d", "e"]
+
+
+@pytest.mark.parametrize("noisy", ["a i d i o t", "i d i o t s t u p i d", "i  d  i  o  t", "i\td\ti\to\tt", "st u pid", "id iot", "1 d 1 0 t", "i . d . i . o . t"])
+def test_viterbi_restores_spacing(noisy):
+    f = toxicity.Features(toxicity.Restorer(counts_of(["the idiot is a stupid and worthless trash", "plain words are here"] * 50)))
+    words = f.restored(f"the {noisy} is here").split()
+    assert words[0] == "the" and words[-2:] == ["is", "here"] and {"idiot", "stupid"} & set(words), words
+    assert f.restored("plain words are here and the idiot is a stupid trash") == "plain words are here and the idiot is a stupid trash"
+    assert f.restored("i d i o t s t u p i d") == "idiot stupid"
+    assert set(f("idiot")) <= set(f(f"the {noisy} is here")) or set(f("stupid")) <= set(f(f"the {noisy} is here"))

@@ -2,7 +2,8 @@
 
 Toxic words hide behind leetspeak, separators, spacing and repetition. Every noisy token gives a
 lattice: at each character the letters that it may stand for, a mark that may be dropped, a repetition
-that may collapse. A character trigram model, counted over all documents, weighs the paths, and Viterbi
+that may collapse. Neighbouring tokens whose border the model would rather drop, and neighbouring single
+characters, make a run with one lattice, in which spaces may be dropped or put in. A character trigram model, counted over all documents, weighs the paths, and Viterbi
 decoding restores the likeliest one. Restored words of the whole text are scored by a sparse logistic
 model, fitted on at most TRAINING labelled documents (only those whose crc32 of doc_id mod 4 isn't 2).
 
@@ -46,12 +47,12 @@ DROPPED = set("*.-_~^'`/\\,:;=")
 #: Log probabilities of the channel: a substituted letter, a dropped mark, a collapsed repetition, a
 #: character that stands for itself though it might stand for a letter.
 SUBSTITUTE, DROP, COLLAPSE, STAY = -1.5, -0.7, -0.5, -6.0
+#: Likewise, within a run of tokens: a dropped space, and one put in.
+CLOSE, OPEN = -1.5, -6.0
 #: Symbols of the language model: border, a to z, any other.
 SYMBOLS, OTHER = 28, 27
 
 NOISY = re.compile(r"[a-z].*[0-9@$!|+(#*._~^\-]|[0-9@$!|+(#*._~^\-].*[a-z]|([a-z])\1\1")
-#: Runs of single characters: spaced-out words.
-SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
 EDGES = "\"'().,;:?[]{}<>«»„“”"
 
 
@@ -96,7 +97,12 @@ class Restorer:
         uni = (one + 1) / (one.sum() + SYMBOLS)
         bi = (two + 20 * uni) / (two.sum(axis=1, keepdims=True) + 20)
         tri = (c + 20 * bi) / (c.sum(axis=2, keepdims=True) + 20)
-        self.log = np.log(tri).tolist()
+        log = np.log(tri)
+        self.log = log.tolist()
+        kept = log[:, :, :1, None] + log[None, :, 0, :, None] + log[None, None, 0]
+        closed = CLOSE + log[:, :, :, None] + log[None]
+        #: By the last two symbols of a word and the first two of the next: whether the space between goes.
+        self.joins = [bytes(row) for row in (closed > kept).reshape(SYMBOLS**2, SYMBOLS**2).astype(np.uint8)]
 
     def options(self, token: str, i: int) -> list[tuple[str, float]]:
         """(output, log probability of the channel) for one character."""
@@ -111,18 +117,24 @@ class Restorer:
             out.append(("", DROP if c in DROPPED else 4 * DROP))
         return [*out, (c, STAY)] if out else [(c, 0.0)]
 
-    def decode(self, token: str) -> str:
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The likeliest reading; spaced: of a run of tokens, where spaces go and come."""
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # last two symbols: score, back-pointers
-        for i in range(len(token)):
+        for i, c in enumerate(token):
+            if spaced and c != " " and token[i - 1 : i] != " ":
+                for (a, b), (score, path) in list(states.items()):
+                    total = score + OPEN + self.log[a][b][0]
+                    if b and ((b, 0) not in states or total > states[b, 0][0]):
+                        states[b, 0] = (total, (path, " "))
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for out, cost in self.options(token, i):
-                s = ord(out) - 96 if "a" <= out <= "z" else OTHER
+            for out, cost in [(" ", 0.0), ("", CLOSE)] if spaced and c == " " else self.options(token, i):
+                s = 0 if out == " " else ord(out) - 96 if "a" <= out <= "z" else OTHER
                 for (a, b), (score, path) in states.items():
                     key, total = ((b, s), score + cost + self.log[a][b][s]) if out else ((a, b), score + cost)
                     if key not in after or total > after[key][0]:
                         after[key] = (total, (path, out) if out else path)
             states = after
-        best = max(((score + self.log[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
+        best = max(((score + (self.log[a][b][0] if b or not spaced else 0.0), path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
         out, path = [], best[1]
         while path:
             path, c = path
@@ -145,29 +157,56 @@ class Features:
         """kept: whether each column counts; null: all do."""
         self.restorer, self.kept, self.known = restorer, kept, {}
 
-    def columns(self, token: str) -> tuple[int, ...]:
-        at = self.known.get(token)
-        if at is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            word = self.restorer.restore(token)
-            parts = [word] + [f"{word[:k]}-" for k in STEMS if len(word) >= k] if word else []
-            at = tuple(xxhash.xxh64_intdigest(p) % (WIDTH - 1) + 1 for p in parts)
-            if self.kept is not None:
-                at = tuple(c for c in at if self.kept[c])
-            self.known[token] = at
+    def columns(self, word: str) -> tuple[int, ...]:
+        parts = [word] + [f"{word[:k]}-" for k in STEMS if len(word) >= k] if word else []
+        at = tuple(xxhash.xxh64_intdigest(p) % (WIDTH - 1) + 1 for p in parts)
+        return at if self.kept is None else tuple(c for c in at if self.kept[c])
+
+    def token(self, token: str) -> tuple[tuple[int, ...], int, int, bool, str]:
+        """Columns of a token's word; numbers of its first two and last two symbols; whether it is one
+        character; the word."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        word = self.restorer.restore(token)
+        s = [ord(c) - 96 if "a" <= c <= "z" else OTHER for c in (word[:2] + word[-2:] if len(word) > 1 else word)]
+        head, tail = (s[0] * SYMBOLS + s[1], s[-2] * SYMBOLS + s[-1]) if len(s) > 1 else (s[0] * SYMBOLS, s[0]) if s else (0, 0)
+        self.known[token] = at = self.columns(word), head, tail, len(word) == 1, word
         return at
 
+    def run(self, run: tuple[str, ...]) -> tuple[tuple[int, ...], list[str]]:
+        """Columns of the words of a run of tokens; the words."""
+        if (at := self.known.get(run)) is None:
+            words = self.restorer.decode(" ".join(t.strip(EDGES) for t in run), spaced=True).split()
+            at = tuple({c for w in words for c in self.columns(w)}), words
+            if len(run) <= 8:
+                self.known[run] = at
+        return at
+
+    def runs(self, tokens: list[str]) -> list[tuple[str, ...]]:
+        """Neighbouring tokens of one lattice, or single ones; those without a word are left out."""
+        found: list[list[str]] = []
+        known, joins, tail, lone = self.known, self.restorer.joins, 0, False
+        for t in tokens:
+            _, head, after, single, word = known.get(t) or self.token(t)
+            if not word:
+                continue
+            if found and (joins[tail][head] or lone and single):
+                found[-1].append(t)
+            else:
+                found.append([t])
+            tail, lone = after, single
+        return [tuple(r) for r in found]
+
     def __call__(self, text: str) -> np.ndarray:
         """Distinct columns of the text, sorted."""
-        low = text.lower()
-        tokens = set(low.split())
-        tokens.update(m[0].replace(" ", "") for m in SPACED.finditer(low))
-        return np.array(sorted({c for t in tokens for c in self.columns(t)}), dtype=np.int64)
+        tokens = text.lower().split()
+        known = self.known
+        columns = {c for t in set(tokens) for c in (known.get(t) or self.token(t))[0]}
+        columns.update(c for r in self.runs(tokens) if len(r) > 1 for c in self.run(r)[0])
+        return np.array(sorted(columns), dtype=np.int64)
 
     def restored(self, text: str) -> str:
-        joined = SPACED.sub(lambda m: m[0].replace(" ", ""), text.lower())
-        return " ".join(self.restorer.restore(t) for t in joined.split())
+        return " ".join(w for r in self.runs(text.lower().split()) for w in (self.run(r)[1] if len(r) > 1 else [self.restorer.restore(r[0])]))
 
 
 def telling(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
