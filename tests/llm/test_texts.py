@@ -261,3 +261,9 @@ def test_viterbi_restores_spacing(noisy):
     assert f.restored("plain words are here and the idiot is a stupid trash") == "plain words are here and the idiot is a stupid trash"
     assert f.restored("i d i o t s t u p i d") == "idiot stupid"
     assert set(f("idiot")) <= set(f(f"the {noisy} is here")) or set(f("stupid")) <= set(f(f"the {noisy} is here"))
+
+
+@pytest.mark.parametrize("noisy, word", [("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"), ("i:d:i:o:t", "idiot"), ("s=t=u=p=i=d", "stupid"), ("i`d`i`o`t", "idiot"), ("i\\d;i'o't", "idiot"), ("stuupiid", "stupid"), ("iddiioott", "idiot"), ("stu" + 70 * "u" + "pid", "stupid"), (61 * "." + "i.d.i.o.t" + 61 * "-" + "s", "idiots")])
+def test_viterbi_decodes_all_that_the_channel_makes(noisy, word):
+    r = toxicity.Restorer(counts_of(["the idiot is stupid and worthless trash", "plain words are here", "idiots"] * 50))
+    assert r.restore(noisy) == word

@@ -52,7 +52,9 @@ CLOSE, OPEN = -1.5, -6.0
 #: Symbols of the language model: border, a to z, any other.
 SYMBOLS, OTHER = 28, 27
 
-NOISY = re.compile(r"[a-z].*[0-9@$!|+(#*._~^\-]|[0-9@$!|+(#*._~^\-].*[a-z]|([a-z])\1\1")
+#: Tokens that the channel may have changed: letters with a character of LEET or DROPPED, or one repeated.
+MARKS = "[" + re.escape("".join(sorted({*LEET, *DROPPED}))) + "]"
+NOISY = re.compile(rf"[a-z].*{MARKS}|{MARKS}.*[a-z]|([a-z])\1", re.S)
 EDGES = "\"'().,;:?[]{}<>«»„“”"
 
 
@@ -142,11 +144,9 @@ class Restorer:
         return "".join(reversed(out))
 
     def restore(self, token: str) -> str:
-        """The word that a lower-cased token stands for; very long tokens are cut in pieces of 64."""
+        """The word that a lower-cased token stands for."""
         token = token.strip(EDGES)
-        if not NOISY.search(token):
-            return token
-        return "".join(self.decode(token[i : i + 64]) for i in range(0, len(token), 64))
+        return self.decode(token) if NOISY.search(token) else token
 
 
 class Features:
