@@ -267,3 +267,22 @@ def test_viterbi_restores_spacing(noisy):
 def test_viterbi_decodes_all_that_the_channel_makes(noisy, word):
     r = toxicity.Restorer(counts_of(["the idiot is stupid and worthless trash", "plain words are here", "idiots"] * 50))
     assert r.restore(noisy) == word
+
+
+PAYLOAD = f"key {KEY} end".encode()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        *(f"{before}{base64.b64encode(PAYLOAD).decode()}" for before in ("https://h/x/", "id_", "a-", "ab/c/", "abc_")),
+        f"path/{base64.b64encode(gzip.compress(PAYLOAD)).decode()}",
+        base64.b64encode(b"\x00\xff bytes \x01" + PAYLOAD + b"\xfe").decode(),
+        "%FF" + "".join(f"%{ord(c):02X}" for c in KEY) + "%C3",
+    ],
+)
+def test_secrets_behind_separators_and_bad_bytes(hidden):
+    text = f"before {hidden} after"
+    found = [s for s in secrets.findings(text)[1] if s[0] == "access"]
+    assert found and all(7 <= s < e <= 7 + len(hidden) for _, s, e in found)
+    assert "[access removed]" in secrets.redacted(text)

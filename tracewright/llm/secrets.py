@@ -7,7 +7,7 @@ again, so cycles end. Each character of a
 layer knows the span of the document that it came from, so findings map back to the document.
 
 Percent codes, escapes and letter forms are decoded in place, with the text around them, so that a secret may lie
-partly in codes; base64 runs become layers of their own. Data that unpack to over `unpack_limit` bytes
+partly in codes; base64 runs become layers of their own, read from each offset, in their readable stretches. Data that unpack to over `unpack_limit` bytes
 are read up to there (a guard against bombs, far beyond any document).
 
 Defined results: null counts as empty; spans count code points, end exclusive; a span found in several
@@ -17,7 +17,6 @@ layers is one; repeated rows give repeated rows; an empty table gives an empty t
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import unicodedata
@@ -78,23 +77,38 @@ class Layer:
         return [(i, i + 1) for i in range(start, end)] if self.spans is None else self.spans[start:end]
 
 
-def readable(raw: bytes) -> str | None:
-    """Decoded text if raw is UTF-8 without control characters."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not any(ord(c) < 32 and c not in "\t\n\r\x0b\x0c" or ord(c) == 127 for c in text) else None
+#: Stretches without control characters and bytes that aren't UTF-8.
+READABLE = re.compile("[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
+#: Shortest readable stretch that can hold a finding or another layer: a coded character, as `%41`.
+SHORTEST = 3
 
 
-def unpacked(raw: bytes, limit: int) -> bytes | None:
-    """Content of gzip or zlib data."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(wbits=47).decompress(raw, limit)
-    except zlib.error:
-        return None
+def readable(raw: bytes) -> list[tuple[int, str]]:
+    """The readable stretches of raw, each with the byte where it starts."""
+    text = raw.decode("utf-8", "surrogateescape")
+    found, at, done = [], 0, 0
+    for m in READABLE.finditer(text):
+        at += len(text[done : m.start()].encode("utf-8", "surrogateescape"))
+        done = m.start()
+        if m.end() - m.start() >= SHORTEST:
+            found.append((at, m[0]))
+    return found
+
+
+def packed(raw: bytes) -> bool:
+    """Whether raw begins as gzip or zlib data do."""
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def unpacked(raw: bytes, limit: int) -> list[str]:
+    """Readable stretches of what gzip or zlib data hold at the innermost."""
+    depth = 0
+    while packed(raw) and depth < 64:
+        try:
+            raw, depth = zlib.decompressobj(wbits=47).decompress(raw, limit), depth + 1
+        except zlib.error:
+            break
+    return [text for _, text in readable(raw)] if depth else []
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -113,15 +127,16 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 def from_percent(layer: Layer):
     def decode(m):
-        try:
-            chars = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        spans, at = [], m.start()
-        for c in chars:
-            spans.append(layer.origin(at, at + 3 * len(c.encode())))
-            at += 3 * len(c.encode())
-        return chars, spans
+        raw = bytes.fromhex(m[0].replace("%", ""))
+        chars, spans, at = [], [], m.start()
+        for c in raw.decode("utf-8", "surrogateescape"):
+            size = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+            coded = "\udc80" <= c <= "\udcff"  # not UTF-8: stays as it is written
+            chars.append(layer.text[at : at + 3] if coded else c)
+            spans += layer.origins(at, at + 3) if coded else [layer.origin(at, at + 3 * size)]
+            at += 3 * size
+        out = "".join(chars)
+        return None if out == m[0] else (out, spans)
 
     return decode
 
@@ -149,28 +164,37 @@ def from_forms(layer: Layer):
     return decode
 
 
-def from_base64(layer: Layer, m: re.Match, limit: int) -> Layer | None:
-    """A base64 run's content: text, or what unpacks to text."""
+#: Separators that are letters of base64, too: what follows one may be a run of its own.
+JOINED = re.compile(r"[/_-]")
+
+
+def from_base64(layer: Layer, m: re.Match, limit: int) -> list[Layer]:
+    """Contents of a base64 run, read from each of the four offsets and after each separator: readable
+    stretches, or what unpacks to text. Offsets alike modulo 4 read the same, so four cover all starts of
+    text; packed data begin at a start of their own."""
     body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    if (text := readable(raw)) is not None:
-        spans, at = [], 0
-        for c in text:
-            size = len(c.encode())
-            spans.append(layer.origin(m.start() + at * 4 // 3, m.start() + -(-(at + size) * 4 // 3)))
-            at += size
-        return Layer(text, spans)
-    depth = 0
-    while (inner := unpacked(raw, limit)) is not None and depth < 64:
-        raw, depth = inner, depth + 1
-    if depth and (text := readable(raw)) is not None:
-        return Layer(text, [layer.origin(*m.span())] * len(text))
-    return None
+    found = []
+    for offset in range(4):
+        part = body[offset:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        start = m.start() + offset
+        for first, text in readable(raw):
+            spans, at = [], first
+            for c in text:
+                size = len(c.encode())
+                spans.append(layer.origin(start + at * 4 // 3, start + -(-(at + size) * 4 // 3)))
+                at += size
+            found.append(Layer(text, spans))
+    for begin in dict.fromkeys([0, 1, 2, 3, *(x.end() for x in JOINED.finditer(m[0]))]):
+        part = body[begin:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        # a cheap look at the first two bytes, before the rest is decoded
+        if len(part) < 4 or not packed(base64.b64decode(part[:4])):
+            continue
+        inner = unpacked(base64.b64decode(part + "=" * (-len(part) % 4)), limit)
+        found += [Layer(text, [layer.origin(m.start() + begin, m.end())] * len(text)) for text in inner]
+    return found
 
 
 def layers(layer: Layer, limit: int) -> list[Layer]:
@@ -181,8 +205,10 @@ def layers(layer: Layer, limit: int) -> list[Layer]:
         found.append(replaced(layer, ESCAPE, from_escape(layer)))
     if not text.isascii() and FORMS.search(text):
         found.append(replaced(layer, FORMS, from_forms(layer)))
-    found += [from_base64(layer, m, limit) for m in BASE64.finditer(text)]
-    return [x for x in found if x is not None]
+    found = [x for x in found if x is not None]
+    for m in BASE64.finditer(text):
+        found += from_base64(layer, m, limit)
+    return found
 
 
 def findings(text: str, unpack_limit: int = UNPACK_LIMIT) -> tuple[list[Span], list[Span]]:
