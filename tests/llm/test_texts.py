@@ -286,3 +286,13 @@ def test_secrets_behind_separators_and_bad_bytes(hidden):
     found = [s for s in secrets.findings(text)[1] if s[0] == "access"]
     assert found and all(7 <= s < e <= 7 + len(hidden) for _, s, e in found)
     assert "[access removed]" in secrets.redacted(text)
+
+
+def test_bpe_returns_ids_and_text(spark, library):
+    import corpus_pipeline
+
+    text = "Hello wörld 日本 <|endoftext|>"
+    row = bpe.bpe_documents(docs(spark, [(1, text)]), library[0]).first()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == library[1].encode(text, add_special_tokens=False).ids and row["decoded"] == text
+    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bytes(corpus_pipeline.encode(spark, docs(spark, [(1, text)]), "").first()["ids"]) == bytes(row["ids"])

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import over_texts, table
 
@@ -31,7 +32,7 @@ from .common import over_texts, table
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_ASCII = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 REMEMBERED = 100_000
-SPEC = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SPEC = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
 def byte_names() -> dict[str, int]:
@@ -181,8 +182,9 @@ def built(file: bytes) -> Bpe:
 
 
 def bpe_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. vocabulary: path of a
-    tokenizers file on the driver; its bytes (a few MB) are broadcast."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded text of every whole text and
+    the digests of both. vocabulary: path of a tokenizers file on the driver; its bytes (a few MB) are
+    broadcast."""
     with open(vocabulary, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -193,14 +195,15 @@ def bpe_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
             ids = [bpe.encode(t) for t in texts]
             return {
                 "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+                "ids": pa.array(ids, pa.binary()),
+                "decoded": pa.array([bpe.decode(x) for x in ids], pa.string()),
             }
 
         work.done = bpe.forget
         return work
 
-    return over_texts(docs.select("doc_id", "text"), make, SPEC)
+    rows = over_texts(docs.select("doc_id", "text"), make, SPEC)
+    return rows.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)})
 
 
 def default_vocabulary() -> str:
@@ -210,4 +213,5 @@ def default_vocabulary() -> str:
 
 
 def query(spark, sf_dir):
-    return bpe_documents(table(spark, sf_dir, "documents"), default_vocabulary())
+    rows = bpe_documents(table(spark, sf_dir, "documents"), default_vocabulary())
+    return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
