@@ -296,3 +296,23 @@ def test_bpe_returns_ids_and_text(spark, library):
     assert np.frombuffer(row["ids"], "<u4").tolist() == library[1].encode(text, add_special_tokens=False).ids and row["decoded"] == text
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bytes(corpus_pipeline.encode(spark, docs(spark, [(1, text)]), "").first()["ids"]) == bytes(row["ids"])
+
+
+def nested(data, depth):
+    for _ in range(depth):
+        data = gzip.compress(data)
+    return data
+
+
+@pytest.mark.parametrize(
+    "raw, limit",
+    [
+        (gzip.compress(b"first member ") + gzip.compress(PAYLOAD), 1 << 26),
+        (gzip.compress(b"\xc3\xa9" * 100_000 + PAYLOAD), 1001),
+        (nested(PAYLOAD, 70), 1 << 26),
+    ],
+)
+def test_secrets_in_all_of_compressed_data(raw, limit):
+    for hidden in (base64.b64encode(raw).decode(), urllib.parse.quote(raw, safe=""), "".join(f"\\x{b:02x}" for b in raw)):
+        found = [s for s in secrets.findings(f"before {hidden} after", limit)[1] if s[0] == "access"]
+        assert found and all(7 <= s < e <= 7 + len(hidden) for _, s, e in found)

@@ -7,8 +7,8 @@ again, so cycles end. Each character of a
 layer knows the span of the document that it came from, so findings map back to the document.
 
 Percent codes, escapes and letter forms are decoded in place, with the text around them, so that a secret may lie
-partly in codes; base64 runs become layers of their own, read from each offset, in their readable stretches. Data that unpack to over `unpack_limit` bytes
-are read up to there (a guard against bombs, far beyond any document).
+partly in codes; base64 runs become layers of their own, read from each offset, in their readable stretches. Packed data are
+unpacked member by member and to the innermost, at most `unpack_limit` bytes at a time, in overlapping chunks.
 
 Defined results: null counts as empty; spans count code points, end exclusive; a span found in several
 layers is one; repeated rows give repeated rows; an empty table gives an empty table.
@@ -21,6 +21,8 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MARK = re.compile(r"(?:word|passwd|secret|token|key)[\"']?\x20*[:=]", re.I | re.A)
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+PERCENT_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Full-width, circled and mathematical letters; soft hyphens, zero-width and direction marks.
 FORMS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e\u24b6-\u24e9\U0001d400-\U0001d7ff]+")
@@ -100,15 +103,70 @@ def packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
 
 
-def unpacked(raw: bytes, limit: int) -> list[str]:
-    """Readable stretches of what gzip or zlib data hold at the innermost."""
-    depth = 0
-    while packed(raw) and depth < 64:
-        try:
-            raw, depth = zlib.decompressobj(wbits=47).decompress(raw, limit), depth + 1
-        except zlib.error:
-            break
-    return [text for _, text in readable(raw)] if depth else []
+def members(chunks: Iterable[bytes], size: int) -> Iterator[bytes]:
+    """What all gzip or zlib members of a stream hold, at most `size` bytes at a time."""
+    z = zlib.decompressobj(wbits=47)
+    for data in chunks:
+        more = True
+        while data or more:
+            try:
+                out = z.decompress(data, size)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            data, more = z.unconsumed_tail, len(out) == size
+            if z.eof:
+                data, more, z = z.unused_data, False, zlib.decompressobj(wbits=47)
+
+
+def innermost(raw: bytes, size: int) -> Iterator[bytes]:
+    """Content of gzip or zlib data, unpacked until it isn't packed; a content met before ends it."""
+    stream, seen = iter([raw]), set()
+    while True:
+        first = b""
+        for chunk in stream:
+            first += chunk
+            if len(first) > size:
+                break
+        key = hashlib.sha256(first).digest()
+        if not packed(first) or key in seen:
+            return chain([first], stream)
+        seen.add(key)
+        inner = members(chain([first], stream), size)
+        if (begun := next(inner, None)) is None:  # text that only begins as packed data do
+            return chain([first], stream)
+        stream = chain([begun], inner)
+
+
+#: Bytes by which neighbouring chunks of unpacked data overlap.
+OVERLAP = 1 << 16
+
+
+def unpacked(raw: bytes, size: int) -> Iterator[str]:
+    """Readable stretches of what gzip or zlib data hold at the innermost, in overlapping chunks."""
+    held = b""
+    for chunk in innermost(raw, size):
+        held += chunk
+        yield from (text for _, text in readable(held))
+        held = held[-OVERLAP:]
+
+
+#: Where packed data may begin.
+HEADER = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]", re.S)
+WRITTEN = re.compile(r"[!-~]+")
+
+
+def from_codes(layer: Layer, pattern: re.Pattern, size: int) -> Iterator[Layer]:
+    """Layers of packed bytes written as percent codes or escapes, with plain characters between them."""
+    char = lambda m: chr(int(m[0][1:], 16) if pattern is PERCENT_CODE else code_of(m))
+    for run in WRITTEN.finditer(layer.text):
+        if not pattern.search(run[0]):
+            continue
+        raw = b"".join(c.encode("latin-1") if c < "\u0100" else c.encode("utf-8", "surrogatepass") for c in pattern.sub(char, run[0]))
+        for m in HEADER.finditer(raw):
+            for text in unpacked(raw[m.start() :], size):
+                yield Layer(text, [layer.origin(*run.span())] * len(text))
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -141,10 +199,15 @@ def from_percent(layer: Layer):
     return decode
 
 
+def code_of(m: re.Match) -> int:
+    """Number of an escape's character; beyond Unicode: that of the replacement character."""
+    code = int(next(g for g in m.groups() if g), 10 if m[6] else 16)
+    return code if code <= 0x10FFFF else 0xFFFD
+
+
 def from_escape(layer: Layer):
     def decode(m):
-        digits = next(g for g in m.groups() if g)
-        code = int(digits, 10 if m[6] else 16)
+        code = int(next(g for g in m.groups() if g), 10 if m[6] else 16)
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
             return None
         return chr(code), [layer.origin(*m.span())]
@@ -168,12 +231,11 @@ def from_forms(layer: Layer):
 JOINED = re.compile(r"[/_-]")
 
 
-def from_base64(layer: Layer, m: re.Match, limit: int) -> list[Layer]:
+def from_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
     """Contents of a base64 run, read from each of the four offsets and after each separator: readable
     stretches, or what unpacks to text. Offsets alike modulo 4 read the same, so four cover all starts of
     text; packed data begin at a start of their own."""
     body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    found = []
     for offset in range(4):
         part = body[offset:]
         part = part[: len(part) - (len(part) % 4 == 1)]
@@ -185,47 +247,52 @@ def from_base64(layer: Layer, m: re.Match, limit: int) -> list[Layer]:
                 size = len(c.encode())
                 spans.append(layer.origin(start + at * 4 // 3, start + -(-(at + size) * 4 // 3)))
                 at += size
-            found.append(Layer(text, spans))
+            yield Layer(text, spans)
     for begin in dict.fromkeys([0, 1, 2, 3, *(x.end() for x in JOINED.finditer(m[0]))]):
         part = body[begin:]
         part = part[: len(part) - (len(part) % 4 == 1)]
         # a cheap look at the first two bytes, before the rest is decoded
         if len(part) < 4 or not packed(base64.b64decode(part[:4])):
             continue
-        inner = unpacked(base64.b64decode(part + "=" * (-len(part) % 4)), limit)
-        found += [Layer(text, [layer.origin(m.start() + begin, m.end())] * len(text)) for text in inner]
-    return found
+        for text in unpacked(base64.b64decode(part + "=" * (-len(part) % 4)), limit):
+            yield Layer(text, [layer.origin(m.start() + begin, m.end())] * len(text))
 
 
-def layers(layer: Layer, limit: int) -> list[Layer]:
-    text, found = layer.text, []
+def layers(layer: Layer, limit: int) -> Iterator[Layer]:
+    """The layers found in one, made as they are asked for."""
+    text = layer.text
     if "%" in text:
-        found.append(replaced(layer, PERCENT, from_percent(layer)))
+        yield replaced(layer, PERCENT, from_percent(layer))
+        yield from from_codes(layer, PERCENT_CODE, limit)
     if "\\" in text or "&#" in text:
-        found.append(replaced(layer, ESCAPE, from_escape(layer)))
+        yield replaced(layer, ESCAPE, from_escape(layer))
+        yield from from_codes(layer, ESCAPE, limit)
     if not text.isascii() and FORMS.search(text):
-        found.append(replaced(layer, FORMS, from_forms(layer)))
-    found = [x for x in found if x is not None]
+        yield replaced(layer, FORMS, from_forms(layer))
     for m in BASE64.finditer(text):
-        found += from_base64(layer, m, limit)
-    return found
+        yield from from_base64(layer, m, limit)
 
 
 def findings(text: str, unpack_limit: int = UNPACK_LIMIT) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans after unwrapping every layer."""
     base = scan(text)
     every = set(base)
-    work, seen = layers(Layer(text), unpack_limit), {(text, 0, len(text))}
+    digest = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
+    work, seen = [layers(Layer(text), unpack_limit)], {(digest(text), 0, len(text))}
     while work:
-        layer = work.pop()
-        if not layer.text:
+        try:
+            layer = next(work[-1])
+        except StopIteration:
+            work.pop()
+            continue
+        if layer is None or not layer.text:
             continue
-        key = (layer.text, *layer.origin(0, len(layer.text)))
+        key = (digest(layer.text), *layer.origin(0, len(layer.text)))
         if key in seen:
             continue
         seen.add(key)
         every.update((k, *layer.origin(s, e)) for k, s, e in scan(layer.text))
-        work += layers(layer, unpack_limit)
+        work.append(layers(layer, unpack_limit))
     return base, ordered(every)
 
 
