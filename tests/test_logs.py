@@ -210,3 +210,12 @@ def test_pattern_classes(spark, pattern, kind):
     row = sequences.enriched(spark.createDataFrame([(pattern,)], "pattern array<string>")).first()
     assert row["pattern_type"] == kind and row["description"] == " → ".join(pattern)
     assert row["has_errors"] == any("ERROR" in p for p in pattern) and row["has_kafka"] == any("KAFKA" in p for p in pattern)
+
+
+def test_isolation_trees_draw_from_all_rows(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(6000, 2))
+    rows = spark.createDataFrame([("a", i, float(p), float(q)) for i, (p, q) in enumerate(x)], "g string, t long, p double, q double")
+    got = [r["score"] for r in anomaly.scored(rows, ["g"], ["p", "q"], ["t"], trees=40).orderBy("t").collect()]
+    assert np.allclose(got, anomaly.Forest(x, 40).score(x))

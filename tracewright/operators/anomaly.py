@@ -1,7 +1,7 @@
 """Isolation forests over window features.
 
-A forest is fitted for each group on at most SUBSAMPLE rows a tree, as the method has it; so a group's
-fit needs a bounded sample only, and every row is scored where it lies."""
+A forest is fitted for each group; each tree draws SUBSAMPLE rows at most from all rows of the group. The
+group's windows are in one task's memory, for the fit and for the scores."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tracewright.session import ship
 
 TREES, SUBSAMPLE, LEAST = 200, 256, 2
-#: Rows of a group that its trees draw from; a bound of the fit alone.
-POOL = 4096
 
 
 def path_norm(n: float) -> float:
@@ -62,9 +60,8 @@ def scored(rows: DataFrame, group: list[str], measures: list[str], order: list[s
         batch = batch.sort_values(order).reset_index(drop=True)
         if len(batch) < LEAST:
             return batch.iloc[:0][group + order].assign(score=pd.Series(dtype=float))
-        x = batch[measures].to_numpy(dtype=np.float64)
-        pool = x if len(x) <= POOL else x[np.random.default_rng(0).choice(len(x), POOL, replace=False)]
-        return batch[group + order].assign(score=Forest(np.nan_to_num(pool), trees, subsample).score(np.nan_to_num(x)))
+        x = np.nan_to_num(batch[measures].to_numpy(dtype=np.float64))
+        return batch[group + order].assign(score=Forest(x, trees, subsample).score(x))
 
     return rows.select(*group, *order, *measures).groupBy(*group).applyInPandas(fit, spec)
 
