@@ -260,7 +260,24 @@ def test_viterbi_restores_spacing(noisy):
     assert words[0] == "the" and words[-2:] == ["is", "here"] and {"idiot", "stupid"} & set(words), words
     assert f.restored("plain words are here and the idiot is a stupid trash") == "plain words are here and the idiot is a stupid trash"
     assert f.restored("i d i o t s t u p i d") == "idiot stupid"
-    assert set(f("idiot")) <= set(f(f"the {noisy} is here")) or set(f("stupid")) <= set(f(f"the {noisy} is here"))
+    assert f("idiot") <= f(f"the {noisy} is here") or f("stupid") <= f(f"the {noisy} is here")
+
+
+def test_toxicity_gate_loses_no_feature():
+    rng = random.Random(12)
+    words = "the idiot is a stupid and worthless trash plain words are here i d o t u p 1d10t st-u-pid aa bb don't 7 | *** w.o.r".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    restorer = toxicity.Restorer(counts_of(texts))
+    weights = {w: 1.0 for w in ("idiot", "idio-", "stup-", "worth-", "", "trash-", "zebra")}
+    gated, all_of = toxicity.Features(restorer, weights), toxicity.Features(restorer)
+    assert all(gated(t) == all_of(t) & weights.keys() for t in texts)
+
+
+def test_toxicity_without_labels_or_documents(spark):
+    d, labels = docs(spark, [(1, "idiot"), (2, None), (1, "idiot"), (4, "long words " * 40000)]), spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert all(r["score"] == pytest.approx(6.1e-6, rel=0.1) for r in toxicity.toxicity(d, labels.where("false")).collect())
+    assert all(r["predicted"] == 1 for r in toxicity.toxicity(d, labels).collect())
+    assert toxicity.toxicity(docs(spark, []), labels).count() == 0 and ordinal.quality(docs(spark, []), labels).count() == 0
 
 
 @pytest.mark.parametrize("noisy, word", [("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"), ("i:d:i:o:t", "idiot"), ("s=t=u=p=i=d", "stupid"), ("i`d`i`o`t", "idiot"), ("i\\d;i'o't", "idiot"), ("stuupiid", "stupid"), ("iddiioott", "idiot"), ("stu" + 70 * "u" + "pid", "stupid"), (61 * "." + "i.d.i.o.t" + 61 * "-" + "s", "idiots")])

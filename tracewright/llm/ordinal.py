@@ -19,7 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import Rows, descend, labelled_sample, over_texts, sigmoid, table, words_of
+from tracewright.session import ship
+
+from .common import Rows, descend, labelled_texts, over_texts, sigmoid, table, words_of
 
 TRAINING = 8_000
 WIDTH = 1 << 16
@@ -109,11 +111,25 @@ class CumulativeLink:
         return self.values[0] + tails @ np.diff(self.values), tails[:, -1]
 
 
+def featured(sample: DataFrame) -> tuple[list, np.ndarray]:
+    """(features, ratings) of a sample's texts, by key. Texts stay where they are; the driver gets at
+    most WIDTH columns for each."""
+
+    def work(batches):
+        features = Features()
+        for batch in batches:
+            rows = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("label"), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], names=["key", "label", "at", "share"])
+
+    ship(sample.sparkSession)
+    got = sample.mapInArrow(work, "key string, label long, at array<int>, share array<float>").toPandas().sort_values("key", kind="stable")
+    return [(np.asarray(i, np.int64), np.asarray(v, np.float64)) for i, v in zip(got["at"], got["share"], strict=True)], got["label"].to_numpy(dtype=np.int64)
+
+
 def quality(docs: DataFrame, labels: DataFrame, column: str = "quality", training: int = TRAINING, keep: float = KEEP) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, column -> doc_id, score, expected_grade, tail_probability, kept."""
-    texts, ratings = labelled_sample(docs, labels, column, training)
-    features = Features()
-    model = CumulativeLink.fit([features(t) for t in texts], ratings)
+    rows, ratings = featured(labelled_texts(docs, labels, column, training))
+    model = CumulativeLink.fit(rows, ratings)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.values))
 
     def make():

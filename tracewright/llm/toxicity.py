@@ -7,9 +7,10 @@ characters, make a run with one lattice, in which spaces may be dropped or put i
 decoding restores the likeliest one. Restored words of the whole text are scored by a sparse logistic
 model, fitted on at most TRAINING labelled documents (only those whose crc32 of doc_id mod 4 isn't 2).
 
-Lang, source and doc_id are never inputs of a score. Defined results: null and empty texts get the
-model's score of no words; repeated rows get equal scores; without labels every score is 0; an empty
-table gives an empty table; other columns are not read.
+Lang, source and doc_id are never inputs of a score. Only letters a to z are restored and weighed;
+others stay as they are. Defined results: null and empty texts get the model's score of no words;
+repeated rows get equal scores; without labels of both kinds every score is that of the bias (6e-6, or
+1 less that); an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,22 +18,21 @@ from __future__ import annotations
 import math
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-from .common import Rows, descend, labelled_sample, over_texts, sigmoid, table
+from .common import Rows, descend, labelled_texts, over_texts, sigmoid, table
 
 #: Most labelled documents that the fit collects.
 TRAINING = 12_000
 THRESHOLD = 0.3
 #: Standard errors from which a feature counts as telling.
 TELLING = 3.0
-WIDTH = 1 << 20
 #: Lengths of the beginnings of words that count as features.
 STEMS = (4, 5, 6)
 REMEMBERED = 300_000
@@ -55,7 +55,15 @@ SYMBOLS, OTHER = 28, 27
 #: Tokens that the channel may have changed: letters with a character of LEET or DROPPED, or one repeated.
 MARKS = "[" + re.escape("".join(sorted({*LEET, *DROPPED}))) + "]"
 NOISY = re.compile(rf"[a-z].*{MARKS}|{MARKS}.*[a-z]|([a-z])\1", re.S)
+LEETED = re.compile("[" + re.escape("".join(sorted(LEET))) + "]")
 EDGES = "\"'().,;:?[]{}<>«»„“”"
+WITHOUT = str.maketrans("", "", "".join(sorted(DROPPED)) + " ")
+AGAIN = re.compile(r"(.)\1+", re.S)
+
+
+def skeleton(text: str) -> str:
+    """The text without marks, spaces and repetitions."""
+    return AGAIN.sub(r"\1", text.translate(WITHOUT))
 
 
 def symbol_table() -> np.ndarray:
@@ -104,7 +112,7 @@ class Restorer:
         kept = log[:, :, :1, None] + log[None, :, 0, :, None] + log[None, None, 0]
         closed = CLOSE + log[:, :, :, None] + log[None]
         #: By the last two symbols of a word and the first two of the next: whether the space between goes.
-        self.joins = [bytes(row) for row in (closed > kept).reshape(SYMBOLS**2, SYMBOLS**2).astype(np.uint8)]
+        self.joins = (closed > kept).reshape(SYMBOLS**2, SYMBOLS**2)
 
     def options(self, token: str, i: int) -> list[tuple[str, float]]:
         """(output, log probability of the channel) for one character."""
@@ -150,119 +158,176 @@ class Restorer:
 
 
 class Features:
-    """Columns of a text's restored words and of their first letters, which inflected forms share;
-    tokens are remembered up to a bound."""
-
-    def __init__(self, restorer: Restorer, kept: np.ndarray | None = None):
-        """kept: whether each column counts; null: all do."""
-        self.restorer, self.kept, self.known = restorer, kept, {}
-
-    def columns(self, word: str) -> tuple[int, ...]:
-        parts = [word] + [f"{word[:k]}-" for k in STEMS if len(word) >= k] if word else []
-        at = tuple(xxhash.xxh64_intdigest(p) % (WIDTH - 1) + 1 for p in parts)
-        return at if self.kept is None else tuple(c for c in at if self.kept[c])
-
-    def token(self, token: str) -> tuple[tuple[int, ...], int, int, bool, str]:
-        """Columns of a token's word; numbers of its first two and last two symbols; whether it is one
-        character; the word."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        word = self.restorer.restore(token)
-        s = [ord(c) - 96 if "a" <= c <= "z" else OTHER for c in (word[:2] + word[-2:] if len(word) > 1 else word)]
-        head, tail = (s[0] * SYMBOLS + s[1], s[-2] * SYMBOLS + s[-1]) if len(s) > 1 else (s[0] * SYMBOLS, s[0]) if s else (0, 0)
-        self.known[token] = at = self.columns(word), head, tail, len(word) == 1, word
+    """Features of a text: its restored words, and their beginnings (with a hyphen), which inflected forms
+    share. Tokens are numbered and remembered up to a bound.
+
+    weights: the features that count; null: all do. With weights, lattices that can't spell any of them
+    are not decoded. A lattice without characters of LEET spells only what its letters without marks,
+    spaces and repetitions hold, so a look at those tells; one with such characters is always decoded."""
+
+    def __init__(self, restorer: Restorer, weights: dict[str, float] | None = None):
+        self.restorer, self.weights = restorer, weights
+        self.wanted = None
+        if weights is not None:
+            self.wanted = ahocorasick.Automaton()
+            for w in weights:
+                if w:
+                    self.wanted.add_word(skeleton(w.removesuffix("-")), 1)
+            self.wanted.make_automaton()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.runs_known: dict[tuple[str, ...], tuple[str, ...]] = {}
+        self.tokens: list[str] = []
+        self.found: list[tuple[str, ...]] = []
+        self.words: list[str] = []
+        self.head, self.tail, self.lone, self.telling = (np.zeros(1 << 12, t) for t in (np.int32, np.int32, np.int8, bool))
+
+    def possible(self, token: str) -> bool:
+        """Whether some path of the token's lattice may spell a feature that counts."""
+        return self.wanted is None or LEETED.search(token) is not None or len(self.wanted) > 0 and next(self.wanted.iter(skeleton(token)), None) is not None
+
+    def features(self, word: str) -> list[str]:
+        parts = [word, *(f"{word[:k]}-" for k in STEMS if len(word) >= k)] if word else []
+        return parts if self.weights is None else [p for p in parts if p in self.weights]
+
+    def number(self, token: str) -> int:
+        """A new token's number; notes its word, its features and the symbols at its ends."""
+        bare = token.strip(EDGES)
+        word = self.restorer.decode(bare) if NOISY.search(bare) and self.possible(bare) else bare
+        ends = word if LEETED.search(bare) else bare.translate(WITHOUT)  # the same with and without weights
+        s = [ord(c) - 96 if "a" <= c <= "z" else OTHER for c in (ends[:2] + ends[-2:] if len(ends) > 1 else ends)]
+        at = self.known[token] = len(self.tokens)
+        if at == len(self.head):
+            self.head, self.tail, self.lone, self.telling = (np.concatenate([x, np.zeros_like(x)]) for x in (self.head, self.tail, self.lone, self.telling))
+        self.head[at], self.tail[at] = (s[0] * SYMBOLS + s[1], s[-2] * SYMBOLS + s[-1]) if len(s) > 1 else (s[0] * SYMBOLS, s[0]) if s else (0, 0)
+        self.lone[at] = 1 if len(ends) == 1 else 0 if ends else -1
+        found = tuple(self.features(word))
+        self.telling[at] = bool(found)
+        self.tokens.append(bare)
+        self.words.append(word)
+        self.found.append(found)
         return at
 
-    def run(self, run: tuple[str, ...]) -> tuple[tuple[int, ...], list[str]]:
-        """Columns of the words of a run of tokens; the words."""
-        if (at := self.known.get(run)) is None:
-            words = self.restorer.decode(" ".join(t.strip(EDGES) for t in run), spaced=True).split()
-            at = tuple({c for w in words for c in self.columns(w)}), words
+    def numbers(self, text: str) -> np.ndarray:
+        """Numbers of the text's tokens, those without a word left out."""
+        if len(self.tokens) > REMEMBERED:
+            self.forget()
+        known, number = self.known, self.number
+        ids = np.array([known[t] if t in known else number(t) for t in text.lower().split()], dtype=np.int64)
+        return ids[self.lone[ids] >= 0]
+
+    def joined(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches (start, end) of two and more tokens that share a lattice."""
+        lone = self.lone[ids] > 0
+        close = self.restorer.joins[self.tail[ids[:-1]], self.head[ids[1:]]] | (lone[:-1] & lone[1:])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], close, [False]])))
+        return list(zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True))
+
+    def run(self, run: tuple[str, ...]) -> tuple[str, ...]:
+        """The words of a run of tokens."""
+        if (words := self.runs_known.get(run)) is None:
+            words = tuple(self.restorer.decode(" ".join(run), spaced=True).split())
             if len(run) <= 8:
-                self.known[run] = at
-        return at
-
-    def runs(self, tokens: list[str]) -> list[tuple[str, ...]]:
-        """Neighbouring tokens of one lattice, or single ones; those without a word are left out."""
-        found: list[list[str]] = []
-        known, joins, tail, lone = self.known, self.restorer.joins, 0, False
-        for t in tokens:
-            _, head, after, single, word = known.get(t) or self.token(t)
-            if not word:
-                continue
-            if found and (joins[tail][head] or lone and single):
-                found[-1].append(t)
-            else:
-                found.append([t])
-            tail, lone = after, single
-        return [tuple(r) for r in found]
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Distinct columns of the text, sorted."""
-        tokens = text.lower().split()
-        known = self.known
-        columns = {c for t in set(tokens) for c in (known.get(t) or self.token(t))[0]}
-        columns.update(c for r in self.runs(tokens) if len(r) > 1 for c in self.run(r)[0])
-        return np.array(sorted(columns), dtype=np.int64)
+                if len(self.runs_known) > REMEMBERED:
+                    self.runs_known.clear()
+                self.runs_known[run] = words
+        return words
+
+    def __call__(self, text: str) -> set[str]:
+        """Distinct features of the text."""
+        ids = self.numbers(text)
+        found = {f for i in set(ids[self.telling[ids]].tolist()) for f in self.found[i]}
+        for start, end in self.joined(ids):
+            run = tuple(self.tokens[i] for i in ids[start:end].tolist())
+            if self.possible("".join(run)):
+                found.update(f for w in self.run(run) for f in self.features(w))
+        return found
 
     def restored(self, text: str) -> str:
-        return " ".join(w for r in self.runs(text.lower().split()) for w in (self.run(r)[1] if len(r) > 1 else [self.restorer.restore(r[0])]))
+        ids, out, at = self.numbers(text), [], 0
+        for start, end in [*self.joined(ids), (len(ids), len(ids))]:
+            out += [self.words[i] for i in ids[at:start].tolist()]
+            out += self.run(tuple(self.tokens[i] for i in ids[start:end].tolist())) if end > start else ()
+            at = end
+        return " ".join(out)
+
+
+def counted(sample: DataFrame, counts) -> DataFrame:
+    """(feature, a, b): in how many toxic and other texts of the sample each feature is found."""
+
+    def work(batches):
+        features, total = Features(Restorer(counts.value)), {}
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for f in features(text):
+                    both = total.setdefault(f, [0, 0])
+                    both[label <= 0] += 1
+        names = list(total)
+        for i in range(0, len(names), 10_000):
+            part = names[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([total[f][k] for f in part], pa.int64()) for k in (0, 1))], names=["feature", "a", "b"])
 
+    return sample.mapInArrow(work, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-def telling(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Columns whose share among toxic texts differs from that among the others by TELLING standard
+
+def telling(features: DataFrame, toxic: int, other: int) -> DataFrame:
+    """Features whose share among toxic texts differs from that among the others by TELLING standard
     errors of the log odds ratio or more, and that occur in three texts at least."""
-    count = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=WIDTH)
-    a, b = count([s for s, y in zip(sets, labels, strict=True) if y]), count([s for s, y in zip(sets, labels, strict=True) if not y])
-    n, m = labels.sum(), len(labels) - labels.sum()
-    odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
-    error = np.sqrt(1 / (a + 0.5) + 1 / (n - a + 0.5) + 1 / (b + 0.5) + 1 / (m - b + 0.5))
-    return (np.abs(odds) >= TELLING * error) & (a + b >= 3)
-
-
-def fit(features: Features, texts: list[str], labels: np.ndarray, steps: int = 400, penalty: float = 2e-4) -> np.ndarray:
-    """Weights; the bias is weight 0. Only telling columns are fitted; equal texts count once."""
-    first = {t: i for i, t in reversed(list(enumerate(texts)))}
-    at = sorted(first.values())
-    labels = labels[at]
-    w = np.zeros(WIDTH)
-    if not len(labels) or labels.min() == labels.max():
-        w[0] = 12.0 if len(labels) and labels.max() else -12.0
-        return w
-    sets = [features(texts[i]) for i in at]
-    keep = telling(sets, labels > 0)
-    rows = [np.concatenate([[0], s[keep[s]]]) for s in sets]
-    used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    ends = np.cumsum([len(r) for r in rows])[:-1]
-    x = Rows([(c, np.ones(len(c))) for c in np.split(inverse, ends)], len(used))
-    shrunk = penalty * (used > 0)
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    c, d = F.lit(toxic) - F.col("a") + 0.5, F.lit(other) - F.col("b") + 0.5
+    odds, error = F.log(a / c) - F.log(b / d), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return features.where((F.abs(odds) >= TELLING * error) & (F.col("a") + F.col("b") >= 3)).select("feature")
+
+
+def fit(sample: DataFrame, counts, steps: int = 400, penalty: float = 2e-4) -> dict[str, float]:
+    """Weights of the telling features; that of "" is the bias. sample: a row for each different text.
+
+    Texts stay where they are; the driver gets the telling features, and their numbers for each text."""
+    size = {r["label"] > 0: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    toxic, other = size.get(True, 0), size.get(False, 0)
+    if not toxic or not other:
+        return {"": 12.0 if toxic else -12.0}
+    names = sorted(r["feature"] for r in telling(counted(sample, counts), toxic, other).collect())
+
+    def work(batches):
+        features, number = Features(Restorer(counts.value), dict.fromkeys(names, 1.0)), {f: i + 1 for i, f in enumerate(names)}
+        for batch in batches:
+            found = [sorted(number[f] for f in features(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["key", "label", "found"])
+
+    rows = sample.mapInArrow(work, "key string, label long, found array<int>").toPandas().sort_values("key", kind="stable")
+    labels = (rows["label"].to_numpy() > 0).astype(np.float64)
+    x = Rows([(c, np.ones(len(c))) for c in (np.concatenate([[0], f]).astype(np.int64) for f in rows["found"])], len(names) + 1)
+    shrunk = np.full(len(names) + 1, penalty)
+    shrunk[0] = 0
 
     def gradient(v):
         return x.back(sigmoid(x.times(v)) - labels) / len(labels) + shrunk * v
 
-    start = np.zeros(len(used))
+    start = np.zeros(len(names) + 1)
     start[0] = math.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))
-    w[used] = descend(gradient, start, steps, 0.05)
-    return w
+    return dict(zip(["", *names], descend(gradient, start, steps, 0.05).tolist(), strict=True))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic -> doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
-    counts = trigram_counts(docs)
     out_of = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    texts, marks = labelled_sample(docs, labels, "toxic", TRAINING, ~out_of(F.col("__id")))
-    weights = fit(Features(Restorer(counts)), texts, (marks > 0).astype(np.float64)).astype(np.float32)
-    model = spark.sparkContext.broadcast((counts, weights))  # SYMBOLS^3 and WIDTH numbers
+    counts = spark.sparkContext.broadcast(trigram_counts(docs))  # SYMBOLS^3 numbers
+    sample = labelled_texts(docs, labels, "toxic", TRAINING, ~out_of(F.col("__id")))
+    model = spark.sparkContext.broadcast(fit(sample, counts))
 
     def make():
-        w = model.value[1].astype(np.float64)
-        features = Features(Restorer(model.value[0]), w != 0)
+        weights = model.value
+        features = Features(Restorer(counts.value), {f: w for f, w in weights.items() if f})
 
         def work(batch):
-            scores = sigmoid([w[0] + w[features(t)].sum() for t in batch])
+            scores = sigmoid([weights[""] + sum(sorted(weights[f] for f in features(t))) for t in batch])
             return {"score": pa.array(scores, pa.float64()), "predicted": pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())}
 
+        work.done = features.forget
         return work
 
     rows = docs.select("doc_id", out_of(F.col("doc_id")).alias("held_out"), "text")
