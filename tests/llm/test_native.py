@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 
 from tracewright.llm import mixing, quality_rules, sharding
@@ -160,3 +162,44 @@ def test_quality_judges_small_groups_by_language_or_all(spark):
     assert all(r["distance2"] is not None for r in got.values())
     stay = {r["doc_id"] for r in quality_rules.filtered(docs(spark, rows + odd)).collect()}
     assert stay == {i for i, *_ in rows}
+
+
+def in_duckdb(sql, docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    return con.sql(sql).fetchall(), [c[0] for c in con.sql(sql).description]
+
+
+def test_quality_equals_sql(spark, odd_rows):
+    rng = random.Random(13)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(15, 90))) + " |" * k
+    rows = odd_rows + [(1000 + i, text(rng.choice([0, 0, 0, 1, 30])), rng.choice(["en", "de"]), rng.choice(["a", "b", None])) for i in range(260)]
+    d = docs(spark, rows)
+    want, names = in_duckdb(quality_rules.SQL, d)
+    got = [tuple(r[n] for n in names) for r in quality_rules.quality_rules(d).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r[-2] for r in got}) == 2
+
+
+def test_quality_estimate_is_near_the_best_of_many_starts(spark):
+    """Brute force: concentration steps from 60 random starts find no determinant much below ours."""
+    rng = np.random.default_rng(3)
+    z = np.floor(np.abs(np.concatenate([rng.normal([1.6, 0.05, 0.1, 0.1], [0.05, 0.03, 0.1, 0.05], (400, 4)), rng.normal([2.5, 0.6, 0.5, 0.3], 0.05, (100, 4))])) * quality_rules.GRID + 0.5)
+    rows = [(*map(int, r), "aen", "aweb", False) for r in z]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in quality_rules.DIMS) + ", __lang string, __from string, base_failed boolean")
+    (fit,) = quality_rules.fitted(df).collect()
+    x, n = z / quality_rules.GRID, 4
+    factor = np.array([[fit[f"__l{i}{j}"] if j <= i else 0 for j in range(n)] for i in range(n)])
+    assert np.allclose([fit[f"__m{i}"] for i in range(n)], x[:400].mean(axis=0), atol=0.03)
+
+    def spread(core):
+        return np.cov(core.T, bias=True) * quality_rules.CONSISTENT + np.diag(np.square(quality_rules.FLOORS))
+
+    best = np.inf
+    for _ in range(60):
+        core = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(12):
+            inverse = np.linalg.inv(spread(core))
+            gap = x - core.mean(axis=0)
+            core = x[np.argsort(np.einsum("ij,jk,ik->i", gap, inverse, gap), kind="stable")[: int(0.75 * len(x))]]
+        best = min(best, np.sqrt(np.linalg.det(spread(core))))
+    assert np.prod(np.diag(factor)) <= 1.05 * best
