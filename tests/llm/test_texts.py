@@ -269,8 +269,11 @@ def test_toxicity_gate_loses_no_feature():
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     restorer = toxicity.Restorer(counts_of(texts))
     weights = {w: 1.0 for w in ("idiot", "idio-", "stup-", "worth-", "", "trash-", "zebra")}
-    gated, all_of = toxicity.Features(restorer, weights), toxicity.Features(restorer)
-    assert all(gated(t) == all_of(t) & weights.keys() for t in texts)
+    every, whole = toxicity.Features(restorer), ["", "  ", "é ü", *texts, "word\u3000i\u2003d i o t", "(idiot) ((1diot)) <id> iot.", "bad dog", "st  upid" * 9]
+    want = [every(t) & weights.keys() for t in whole]
+    searched = toxicity.Searched(restorer, weights)
+    assert searched(whole) == want and [searched([t])[0] for t in whole] == want and any(want)
+    assert toxicity.Searched(restorer, {})(whole) == [set()] * len(whole)
 
 
 def test_toxicity_without_labels_or_documents(spark):

@@ -48,7 +48,7 @@ DROPPED = set("*.-_~^'`/\\,:;=")
 #: character that stands for itself though it might stand for a letter.
 SUBSTITUTE, DROP, COLLAPSE, STAY = -1.5, -0.7, -0.5, -6.0
 #: Likewise, within a run of tokens: a dropped space, and one put in.
-CLOSE, OPEN = -1.5, -6.0
+CLOSE, OPEN = -2.5, -6.0
 #: Symbols of the language model: border, a to z, any other.
 SYMBOLS, OTHER = 28, 27
 
@@ -57,15 +57,10 @@ MARKS = "[" + re.escape("".join(sorted({*LEET, *DROPPED}))) + "]"
 NOISY = re.compile(rf"[a-z].*{MARKS}|{MARKS}.*[a-z]|([a-z])\1", re.S)
 LEETED = re.compile("[" + re.escape("".join(sorted(LEET))) + "]")
 EDGES = "\"'().,;:?[]{}<>«»„“”"
-WITHOUT = str.maketrans("", "", "".join(sorted(DROPPED)) + " ")
+WITHOUT = str.maketrans("", "", "".join(sorted(DROPPED)))
 AGAIN = re.compile(r"(.)\1+", re.S)
 
 
-def skeleton(text: str) -> str:
-    """The text without marks, spaces and repetitions."""
-    return AGAIN.sub(r"\1", text.translate(WITHOUT))
-
-
 def symbol_table() -> np.ndarray:
     codes = np.full(256, OTHER, np.int32)
     codes[[ord(c) for c in " \t\n\x0b\x0c\r"]] = 0
@@ -108,7 +103,7 @@ class Restorer:
         bi = (two + 20 * uni) / (two.sum(axis=1, keepdims=True) + 20)
         tri = (c + 20 * bi) / (c.sum(axis=2, keepdims=True) + 20)
         log = np.log(tri)
-        self.log = log.tolist()
+        self.log, self.flat = log, log.ravel().tolist()
         kept = log[:, :, :1, None] + log[None, :, 0, :, None] + log[None, None, 0]
         closed = CLOSE + log[:, :, :, None] + log[None]
         #: By the last two symbols of a word and the first two of the next: whether the space between goes.
@@ -129,22 +124,33 @@ class Restorer:
 
     def decode(self, token: str, spaced: bool = False) -> str:
         """The likeliest reading; spaced: of a run of tokens, where spaces go and come."""
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # last two symbols: score, back-pointers
+        flat, before = self.flat, ""
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # number of the last two symbols: score, back-pointers
         for i, c in enumerate(token):
-            if spaced and c != " " and token[i - 1 : i] != " ":
-                for (a, b), (score, path) in list(states.items()):
-                    total = score + OPEN + self.log[a][b][0]
-                    if b and ((b, 0) not in states or total > states[b, 0][0]):
-                        states[b, 0] = (total, (path, " "))
-            after: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for out, cost in [(" ", 0.0), ("", CLOSE)] if spaced and c == " " else self.options(token, i):
+            if spaced and c != " " and before != " ":
+                for k, (score, path) in list(states.items()):
+                    if last := k % SYMBOLS:
+                        total = score + OPEN + flat[k * SYMBOLS]
+                        if (known := states.get(last * SYMBOLS)) is None or total > known[0]:
+                            states[last * SYMBOLS] = (total, (path, " "))
+            if "a" <= c <= "z" and c != before:
+                options = ((c, 0.0),)
+            else:
+                options = ((" ", 0.0), ("", CLOSE)) if spaced and c == " " else self.options(token, i)
+            after: dict[int, tuple[float, tuple]] = {}
+            for out, cost in options:
+                if not out:
+                    for k, (score, path) in states.items():
+                        if (known := after.get(k)) is None or score + cost > known[0]:
+                            after[k] = (score + cost, path)
+                    continue
                 s = 0 if out == " " else ord(out) - 96 if "a" <= out <= "z" else OTHER
-                for (a, b), (score, path) in states.items():
-                    key, total = ((b, s), score + cost + self.log[a][b][s]) if out else ((a, b), score + cost)
-                    if key not in after or total > after[key][0]:
-                        after[key] = (total, (path, out) if out else path)
-            states = after
-        best = max(((score + (self.log[a][b][0] if b or not spaced else 0.0), path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
+                for k, (score, path) in states.items():
+                    key, total = k % SYMBOLS * SYMBOLS + s, score + cost + flat[k * SYMBOLS + s]
+                    if (known := after.get(key)) is None or total > known[0]:
+                        after[key] = (total, (path, out))
+            states, before = after, c
+        best = max(((score + (flat[k * SYMBOLS] if k % SYMBOLS or not spaced else 0.0), path) for k, (score, path) in states.items()), key=lambda x: x[0])
         out, path = [], best[1]
         while path:
             path, c = path
@@ -159,71 +165,50 @@ class Restorer:
 
 class Features:
     """Features of a text: its restored words, and their beginnings (with a hyphen), which inflected forms
-    share. Tokens are numbered and remembered up to a bound.
-
-    weights: the features that count; null: all do. With weights, lattices that can't spell any of them
-    are not decoded. A lattice without characters of LEET spells only what its letters without marks,
-    spaces and repetitions hold, so a look at those tells; one with such characters is always decoded."""
+    share. Tokens are numbered and remembered up to a bound. weights: the features that count; null: all."""
 
     def __init__(self, restorer: Restorer, weights: dict[str, float] | None = None):
         self.restorer, self.weights = restorer, weights
-        self.wanted = None
-        if weights is not None:
-            self.wanted = ahocorasick.Automaton()
-            for w in weights:
-                if w:
-                    self.wanted.add_word(skeleton(w.removesuffix("-")), 1)
-            self.wanted.make_automaton()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[str, tuple[str, ...], int, int, int]] = {}
         self.runs_known: dict[tuple[str, ...], tuple[str, ...]] = {}
-        self.tokens: list[str] = []
-        self.found: list[tuple[str, ...]] = []
-        self.words: list[str] = []
-        self.head, self.tail, self.lone, self.telling = (np.zeros(1 << 12, t) for t in (np.int32, np.int32, np.int8, bool))
-
-    def possible(self, token: str) -> bool:
-        """Whether some path of the token's lattice may spell a feature that counts."""
-        return self.wanted is None or LEETED.search(token) is not None or len(self.wanted) > 0 and next(self.wanted.iter(skeleton(token)), None) is not None
 
     def features(self, word: str) -> list[str]:
         parts = [word, *(f"{word[:k]}-" for k in STEMS if len(word) >= k)] if word else []
         return parts if self.weights is None else [p for p in parts if p in self.weights]
 
-    def number(self, token: str) -> int:
-        """A new token's number; notes its word, its features and the symbols at its ends."""
-        bare = token.strip(EDGES)
-        word = self.restorer.decode(bare) if NOISY.search(bare) and self.possible(bare) else bare
-        ends = word if LEETED.search(bare) else bare.translate(WITHOUT)  # the same with and without weights
-        s = [ord(c) - 96 if "a" <= c <= "z" else OTHER for c in (ends[:2] + ends[-2:] if len(ends) > 1 else ends)]
-        at = self.known[token] = len(self.tokens)
-        if at == len(self.head):
-            self.head, self.tail, self.lone, self.telling = (np.concatenate([x, np.zeros_like(x)]) for x in (self.head, self.tail, self.lone, self.telling))
-        self.head[at], self.tail[at] = (s[0] * SYMBOLS + s[1], s[-2] * SYMBOLS + s[-1]) if len(s) > 1 else (s[0] * SYMBOLS, s[0]) if s else (0, 0)
-        self.lone[at] = 1 if len(ends) == 1 else 0 if ends else -1
-        found = tuple(self.features(word))
-        self.telling[at] = bool(found)
-        self.tokens.append(bare)
-        self.words.append(word)
-        self.found.append(found)
-        return at
-
-    def numbers(self, text: str) -> np.ndarray:
-        """Numbers of the text's tokens, those without a word left out."""
-        if len(self.tokens) > REMEMBERED:
-            self.forget()
-        known, number = self.known, self.number
-        ids = np.array([known[t] if t in known else number(t) for t in text.lower().split()], dtype=np.int64)
-        return ids[self.lone[ids] >= 0]
-
-    def joined(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches (start, end) of two and more tokens that share a lattice."""
-        lone = self.lone[ids] > 0
-        close = self.restorer.joins[self.tail[ids[:-1]], self.head[ids[1:]]] | (lone[:-1] & lone[1:])
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], close, [False]])))
-        return list(zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True))
+    def token(self, bare: str) -> tuple[str, tuple[str, ...], int, int, int]:
+        """A stripped token's word, features, numbers of the first two and last two symbols of what counts
+        at its ends (the word, or the token without marks where no character stands for another), and
+        the length of that."""
+        if (found := self.known.get(bare)) is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            word = self.restorer.restore(bare)
+            ends = word if LEETED.search(bare) else bare.translate(WITHOUT)
+            s = [ord(c) - 96 if "a" <= c <= "z" else OTHER for c in (ends[:2] + ends[-2:] if len(ends) > 1 else ends)]
+            head, tail = (s[0] * SYMBOLS + s[1], s[-2] * SYMBOLS + s[-1]) if len(s) > 1 else (s[0] * SYMBOLS, s[0]) if s else (0, 0)
+            found = self.known[bare] = word, tuple(self.features(word)), head, tail, len(ends)
+        return found
+
+    def runs(self, text: str, spelled: bool = False) -> list[tuple[str, ...]]:
+        """Neighbouring tokens that share a lattice, or single ones; those without a word are left out.
+        spelled: only runs of single characters are put together."""
+        found: list[list[str]] = []
+        joins, tail, size = self.restorer.joins, 0, 0
+        for t in text.lower().split():
+            t = t.strip(EDGES)
+            _, _, head, end, length = self.token(t)
+            if not length:
+                continue
+            if found and (size == length == 1 or not spelled and joins[tail, head]):
+                found[-1].append(t)
+            else:
+                found.append([t])
+            tail, size = end, length
+        return [tuple(r) for r in found]
 
     def run(self, run: tuple[str, ...]) -> tuple[str, ...]:
         """The words of a run of tokens."""
@@ -235,33 +220,146 @@ class Features:
                 self.runs_known[run] = words
         return words
 
-    def __call__(self, text: str) -> set[str]:
+    def of_run(self, run: tuple[str, ...]) -> set[str]:
+        found = {f for t in run for f in self.token(t)[1]}
+        return found if len(run) == 1 else found | {f for w in self.run(run) for f in self.features(w)}
+
+    def __call__(self, text: str, spelled: bool = False) -> set[str]:
         """Distinct features of the text."""
-        ids = self.numbers(text)
-        found = {f for i in set(ids[self.telling[ids]].tolist()) for f in self.found[i]}
-        for start, end in self.joined(ids):
-            run = tuple(self.tokens[i] for i in ids[start:end].tolist())
-            if self.possible("".join(run)):
-                found.update(f for w in self.run(run) for f in self.features(w))
-        return found
+        return {f for r in self.runs(text, spelled) for f in self.of_run(r)}
 
     def restored(self, text: str) -> str:
-        ids, out, at = self.numbers(text), [], 0
-        for start, end in [*self.joined(ids), (len(ids), len(ids))]:
-            out += [self.words[i] for i in ids[at:start].tolist()]
-            out += self.run(tuple(self.tokens[i] for i in ids[start:end].tolist())) if end > start else ()
-            at = end
-        return " ".join(out)
+        return " ".join(w for r in self.runs(text) for w in (self.run(r) if len(r) > 1 else [self.token(r[0])[0]]))
+
+
+#: Kinds of characters besides the symbols 0 to OTHER: letters in disguise, marks.
+DISGUISED, MARK = 30, 31
+#: Characters that are looked at together.
+CHUNK = 1 << 18
+
+
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each character, and whether it may stand at the edge of a token."""
+    kind, edge = np.full(0x110000, OTHER, np.uint8), np.zeros(0x110000, bool)
+    kind[[c for c in range(0x3001) if chr(c).isspace()]] = 0
+    kind[97:123] = np.arange(1, 27)
+    kind[[ord(c) for c in LEET]] = DISGUISED
+    kind[[ord(c) for c in DROPPED]] = MARK
+    edge[[ord(c) for c in EDGES]] = True
+    return kind, edge
+
+
+class Searched:
+    """Features that count, of many texts: equal to Features with weights, but only lattices that may
+    spell one of them are decoded.
+
+    A lattice without disguised letters spells only what its characters without marks, spaces and
+    repetitions hold, so an automaton over the features finds all that may; one with disguised letters is
+    always decoded. Tokens, their ends and the runs they make are found for a chunk of texts at a time."""
+
+    def __init__(self, restorer: Restorer, weights: dict[str, float]):
+        self.features, self.kinds, self.edges = Features(restorer, weights), *kinds()
+        self.wanted = ahocorasick.Automaton()
+        for w in weights:
+            if word := AGAIN.sub(r"\1", w.removesuffix("-").translate(WITHOUT)):
+                self.wanted.add_word(word, len(word))
+        self.wanted.make_automaton()
+
+    def __call__(self, texts: list[str]) -> list[set[str]]:
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t.lower())
+            size += len(t)
+            if size > CHUNK:
+                out += self.chunk(held)
+                held, size = [], 0
+        return out + self.chunk(held) if held else out
+
+    def chunk(self, texts: list[str]) -> list[set[str]]:
+        found: list[set[str]] = [set() for _ in texts]
+        text = " ".join(texts)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kinds[code]
+        written = kind > 0
+        token = np.cumsum(written & ~np.concatenate([[False], written[:-1]])) - 1  # of each character
+        # first and last character of each token within its edges
+        inner = np.flatnonzero(written & ~self.edges[code])
+        if not len(inner):
+            return found
+        first, last = ends_of(token[inner])
+        number = token[inner[first]]  # tokens that have any
+        begin, end = inner[first], inner[last]
+        new = np.full(token[-1] + 1, -1)
+        new[number] = np.arange(len(number))
+        # what counts at its ends: all but marks
+        kept = np.flatnonzero((kind > 0) & (kind != MARK))
+        at = new[token[kept]]
+        within = (at >= 0) & (kept >= begin[at]) & (kept <= end[at])
+        kept, at = kept[within], at[within]
+        disguised = np.zeros(len(number), bool)
+        disguised[at[kind[kept] == DISGUISED]] = True
+        first, last = ends_of(at)
+        symbol = np.minimum(kind[kept], OTHER).astype(np.int32)
+        size = np.zeros(len(number), np.int64)
+        size[at[first]] = last - first + 1
+        head, tail = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
+        two = last > first
+        head[at[first]] = symbol[first] * SYMBOLS + np.where(two, symbol[np.minimum(first + 1, len(symbol) - 1)], 0)
+        tail[at[first]] = np.where(two, symbol[np.maximum(last - 1, 0)] * SYMBOLS, 0) + symbol[last]
+        bare = lambda i: text[begin[i] : end[i] + 1]
+        for i in np.flatnonzero(disguised).tolist():
+            head[i], tail[i], size[i] = self.features.token(bare(i))[2:]
+        # runs of the tokens that have a word
+        some = np.flatnonzero(size)
+        if not len(some):
+            return found
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        of = np.searchsorted(starts, begin[some], side="right") - 1
+        lone = size[some] == 1
+        close = self.features.restorer.joins[tail[some[:-1]], head[some[1:]]] | (lone[:-1] & lone[1:])
+        close &= of[:-1] == of[1:]
+        run = np.concatenate([[0], np.cumsum(~close)])
+        place = np.full(len(number), -1)
+        place[some] = np.arange(len(some))
+        # the runs that may spell a feature that counts
+        letters = code[kept]
+        fresh = np.concatenate([[True], letters[1:] != letters[:-1]])
+        group = np.flatnonzero(fresh)
+        later = np.append(group[1:], len(letters)) - 1  # last character of each repetition
+        look = letters[group].tobytes().decode("utf-32-le", "surrogatepass")
+        hits = np.array([(e - n + 1, e) for e, n in self.wanted.iter(look)] if len(self.wanted) else [], dtype=np.int64).reshape(-1, 2)
+        low, high = place[at[later[hits[:, 0]]]], place[at[group[hits[:, 1]]]]
+        low, high = np.minimum(low, high), np.maximum(low, high)  # a repetition over both
+        # a token of its own spells words from its beginning on; within a run, spaces may be put in
+        beginning = np.zeros(len(number), np.int64)
+        beginning[at[first]] = first
+        alone = np.bincount(run)[run] == 1
+        use = (low >= 0) & (run[low] == run[high])
+        use &= ~alone[low] | (beginning[some[low]] >= group[hits[:, 0]]) & (beginning[some[low]] <= later[hits[:, 0]])
+        asked = np.unique(np.concatenate([run[low[use]], run[place[np.flatnonzero(disguised & (size > 0))]]]))
+        begins, until = np.searchsorted(run, asked), np.searchsorted(run, asked, side="right")
+        for lo, hi in zip(begins.tolist(), until.tolist(), strict=True):
+            found[of[lo]] |= self.features.of_run(tuple(bare(i) for i in some[lo:hi].tolist()))
+        return found
+
+
+def ends_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and the last of each stretch of equal keys."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.flatnonzero(keys[1:] != keys[:-1])
+    return np.concatenate([[0], change + 1]), np.append(change, len(keys) - 1)
 
 
 def counted(sample: DataFrame, counts) -> DataFrame:
-    """(feature, a, b): in how many toxic and other texts of the sample each feature is found."""
+    """(feature, a, b): in how many toxic and other texts of the sample each feature is found; read from
+    single tokens and letters spelled out."""
 
     def work(batches):
         features, total = Features(Restorer(counts.value)), {}
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for f in features(text):
+                for f in features(text, spelled=True):
                     both = total.setdefault(f, [0, 0])
                     both[label <= 0] += 1
         names = list(total)
@@ -292,9 +390,9 @@ def fit(sample: DataFrame, counts, steps: int = 400, penalty: float = 2e-4) -> d
     names = sorted(r["feature"] for r in telling(counted(sample, counts), toxic, other).collect())
 
     def work(batches):
-        features, number = Features(Restorer(counts.value), dict.fromkeys(names, 1.0)), {f: i + 1 for i, f in enumerate(names)}
+        searched, number = Searched(Restorer(counts.value), dict.fromkeys(names, 1.0)), {f: i + 1 for i, f in enumerate(names)}
         for batch in batches:
-            found = [sorted(number[f] for f in features(t)) for t in batch.column("text").to_pylist()]
+            found = [sorted(number[f] for f in fs) for fs in searched(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["key", "label", "found"])
 
     rows = sample.mapInArrow(work, "key string, label long, found array<int>").toPandas().sort_values("key", kind="stable")
@@ -321,13 +419,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def make():
         weights = model.value
-        features = Features(Restorer(counts.value), {f: w for f, w in weights.items() if f})
+        searched = Searched(Restorer(counts.value), {f: w for f, w in weights.items() if f})
 
         def work(batch):
-            scores = sigmoid([weights[""] + sum(sorted(weights[f] for f in features(t))) for t in batch])
+            scores = sigmoid([weights[""] + sum(sorted(weights[f] for f in fs)) for fs in searched(batch)])
             return {"score": pa.array(scores, pa.float64()), "predicted": pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())}
 
-        work.done = features.forget
+        work.done = searched.features.forget
         return work
 
     rows = docs.select("doc_id", out_of(F.col("doc_id")).alias("held_out"), "text")
