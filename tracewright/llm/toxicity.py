@@ -31,8 +31,9 @@ from .common import Rows, descend, labelled_texts, over_texts, sigmoid, table
 #: Most labelled documents that the fit collects.
 TRAINING = 12_000
 THRESHOLD = 0.3
-#: Standard errors from which a feature counts as telling.
-TELLING = 3.0
+#: Standard errors from which a feature counts as telling, and its least lift, as log odds ratio: words
+#: of the language that most toxic texts are in, or of long texts, lift the odds a little.
+TELLING, LIFT = 3.0, 2.0
 #: Lengths of the beginnings of words that count as features.
 STEMS = (4, 5, 6)
 REMEMBERED = 300_000
@@ -372,11 +373,11 @@ def counted(sample: DataFrame, counts) -> DataFrame:
 
 def telling(features: DataFrame, toxic: int, other: int) -> DataFrame:
     """Features whose share among toxic texts differs from that among the others by TELLING standard
-    errors of the log odds ratio or more, and that occur in three texts at least."""
+    errors of the log odds ratio and by LIFT or more, and that occur in three texts at least."""
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     c, d = F.lit(toxic) - F.col("a") + 0.5, F.lit(other) - F.col("b") + 0.5
     odds, error = F.log(a / c) - F.log(b / d), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return features.where((F.abs(odds) >= TELLING * error) & (F.col("a") + F.col("b") >= 3)).select("feature")
+    return features.where((F.abs(odds) >= F.greatest(F.lit(LIFT), TELLING * error)) & (F.col("a") + F.col("b") >= 3)).select("feature")
 
 
 def fit(sample: DataFrame, counts, steps: int = 400, penalty: float = 2e-4) -> dict[str, float]:
