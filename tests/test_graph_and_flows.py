@@ -50,10 +50,23 @@ def test_degrees_and_indexes(spark):
 def test_node_features(spark):
     n = spark.createDataFrame([(1, "kafkatopic", True, "BRANCHING"), (2, None, None, None)], "id long, type string, is_reactive boolean, complexity string")
     got = {r["id"]: r["features"] for r in graph.node_features(n, edges(spark, [(1, 2)])).collect()}
-    assert len(got[1]) == 32 and got[1][1] == 1 and got[1][10] == 1 and got[1][11] == 1 and got[1][12] == 2 and sum(got[1]) == 5
+    assert len(got[1]) == 32 and got[1][4] == 1 and got[1][10] == 1 and got[1][11] == 1 and got[1][12] == 2 and sum(got[1]) == 5
     assert got[2][0] == 1 and got[2][10:] == [1.0] + [0.0] * 21
 
 
+def test_node_types_stand_at_their_places(spark):
+    order = ["Service", "Class", "Method", "Endpoint", "KafkaTopic", "Database", "Ingress", "ConfigMap", "LogTemplate", "AnomalyEpisode"]
+    rows = [(i, t, False, "NONE") for i, t in enumerate([*order, "unheard of", " "])]
+    got = {r["id"]: r["features"] for r in graph.node_features(spark.createDataFrame(rows, "id long, type string, is_reactive boolean, complexity string"), edges(spark, [(0, 1)])).collect()}
+    assert [list(got[i][:10]).index(1) for i in range(12)] == [*range(10), 0, 0]
+
+
+def test_config_references_are_uses(spark):
+    n = spark.createDataFrame([(1, "Service"), (2, "ConfigMap")], "id long, label string")
+    e = spark.createDataFrame([(1, 2, "CONFIG_REF"), (1, 9, "HTTP_CALL")], "src long, dst long, type string")
+    assert [r["relation"] for r in graph.resolved_edges(e, n).collect()] == ["USES_CONFIG"]
+
+
 def test_topics(spark):
     p = spark.createDataFrame([("t", "b"), ("t", "a"), ("u", "a")], "topic string, service string")
     c = spark.createDataFrame([("t", "c")], "topic string, service string")

@@ -61,6 +61,9 @@ def test_last_exception(spark):
     stack = "java.lang.RuntimeException: boom\n  at x\nCaused by: java.sql.SQLException: Connection refused"
     assert tuple(one(spark, logs.last_exception, stack)) == ("java.sql.SQLException", "Connection refused")
     assert one(spark, logs.last_exception, "no colon here") is None
+    trace = "java.lang.RuntimeException: boom\n\tat com.acme.Main.run(Main.java:3)\n  Caused by: java.io.IOException:  gone \r\n\tat com.acme.Io.read(Io.java:77)\n\t... 2 more"
+    assert tuple(one(spark, logs.last_exception, trace)) == ("java.io.IOException", "gone")
+    assert one(spark, logs.last_exception, "\tat com.acme.Main.run(Main.java:3)") is None
 
 
 @pytest.mark.parametrize(
@@ -202,7 +205,7 @@ def test_pattern_supports(spark):
 @pytest.mark.parametrize(
     "pattern, kind",
     [
-        (["a::ERROR(x)", "b::ERROR(y)"], "ERROR_PROPAGATION"), (["a::ERROR(x)", "a::ERROR(y)"], "CASCADE_FAILURE"), (["a::KAFKA_PRODUCE(x)", "b::KAFKA_CONSUME(x)"], "ASYNC_FANOUT"),
+        (["a::ERROR(x)", "b::ERROR(y)"], "ERROR_PROPAGATION"), (["a::ERROR(x)", "a::ERROR(y)"], "CASCADE_FAILURE"), (["a::KAFKA_PRODUCE(x)", "b::KAFKA_CONSUME(x)"], "ASYNC_FANOUT"), (["a::KAFKA_PRODUCE(x)", "b::LOG(x)"], "ASYNC_FANOUT"), (["a::KAFKA_PRODUCE(x)"], "NORMAL"),
         (["a::LOG(x)"] * 3, "RETRY_PATTERN"), (["a::LOG(x)", "b::LOG(x)", "a::LOG(x)"], "NORMAL"), (["a::ERROR(x)"], "NORMAL"),
     ],
 )

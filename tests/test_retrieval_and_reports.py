@@ -106,6 +106,9 @@ def test_narrative_scores(spark):
     assert value(text.judge_score(F.lit('```json\n{"score": 0.8}\n```'))) == 0.8 and value(text.judge_score(F.lit("none"))) == 0.5
     assert value(text.slug(F.lit("Order Flow: #1!"))) == "order-flow-1"
     assert value(text.database_name(F.lit("jdbc:postgresql://h:5432/orders?ssl=1"))) == "orders"
+    names = {"jdbc:sqlserver://h/a;b=1": "a;b=1", "redis://h:6379": "h:6379", "mem:h": "h", "": "unknown", "jdbc:h2:mem:test": "h2:mem:test", "x/": "unknown"}
+    assert {u: value(text.database_name(F.lit(u))) for u in names} == names
+    assert value(F.array_join(text.analyzed(F.lit("Größe der Straße, 2x été")), " ")) == "größe der straße 2x été"
     assert value(text.truncated(F.lit("abcdef"), 3, dots=True)) == "abc..."
 
 
@@ -127,6 +130,9 @@ def test_metadata_tables(spark):
     new = spark.createDataFrame([("a", "1", 2), ("b", "3", 2), ("c", "4", 2)], "path string, hash string, seq int")
     assert {tuple(r) for r in relational.changed(old, new).collect()} == {("b", "MODIFIED"), ("c", "ADDED"), ("n", "REMOVED")}
     assert [r["path"] for r in relational.unseen(new, old, "path").collect()] == ["c"]
+    batch = spark.createDataFrame([("x", 2), ("x", 1), ("y", 3), (None, 4), ("z", 5)], "etag string, at int")
+    seen = spark.createDataFrame([("z",)], "etag string")
+    assert sorted(tuple(r) for r in relational.unseen(batch, seen).collect()) == [("x", 1), ("y", 3)]
     assert {r["path"]: r["hash"] for r in relational.upsert(old, new, ["path"], F.col("seq")).collect()} == {"a": "1", "b": "3", "c": "4", "n": None}
     assert relational.latest(new, [F.col("path").desc()], F.col("seq") == 2).first()["path"] == "c"
     table = spark.createDataFrame([("t", "late", 2), ("t", "early", 1)], "k string, v string, o int")

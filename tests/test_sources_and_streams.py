@@ -220,19 +220,19 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     rows = [(i, datetime(2024, 1, 1, 0, i % 50), "e", 1.0) for i in range(100)] + [(200, datetime(2024, 1, 9), "e", 1.0)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = events.window_counts_once(spark, str(tmp_path)).collect()
-    assert [(r["n"], r["total"]) for r in got] == [(100, 100.0)]  # the last window is still open
+    assert sorted((r["n"], r["total"]) for r in got) == [(1, 1.0), (100, 100.0)]  # the open last window too
 
 
 def test_dispatch_and_envelopes(spark, tmp_path):
     src = tmp_path / "in"
-    rows = spark.createDataFrame([("snapshot-ready", "{}"), ("pipeline-failed", "x"), ("other", "y")], "topic string, payload string")
+    rows = spark.createDataFrame([("pipeline.snapshot.ready", "{}"), ("pipeline.stage.failed", "x"), ("other", "y")], "topic string, payload string")
     rows.write.json(str(src))
     seen = {}
     stream = spark.readStream.schema(rows.schema).json(str(src))
     events.dispatch(stream, {t: lambda df, t=t: seen.setdefault(t, df.count()) for t in events.TOPICS}, str(tmp_path / "cp")).awaitTermination()
-    assert seen == {"snapshot-ready": 1, "pipeline-failed": 1, "pipeline-completed": 0}
+    assert seen == {"pipeline.snapshot.ready": 1, "pipeline.stage.failed": 1, "pipeline.stage.completed": 0}
     body = json.loads(events.envelope(rows).first()["value"])
-    assert body["type"] == "snapshot-ready" and len(body["id"]) == 64
+    assert body["type"] == "pipeline.snapshot.ready" and len(body["id"]) == 64
 
 
 def test_keyed_state_keeps_the_first_write(spark, tmp_path):

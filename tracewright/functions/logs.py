@@ -10,6 +10,8 @@ APP = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\.?\d*)\s+(TRACE|DEBUG|INFO|WARN
 ACCESS = r'^\[([^\]]+)\]\s+"(\w+)\s+([^"]+)\s+[^"]+"\s+(\d+)\s+.+$'
 ENVOY = r"^\[([^\]]+)\]\[(\w+)\]\[([^\]]+)\]\s+(.+)$"
 EXCEPTION = r"(?:Caused by:\s+)?([a-zA-Z0-9_.]+):\s*(.*)"
+#: It has to fit the whole trimmed line, so that stack frames name no exception.
+EXCEPTION_LINE, BLANK_ENDS = rf"^{EXCEPTION}$", r"^[\x00-\x20]+|[\x00-\x20]+$"
 TRACEPARENT = r"(?i)traceparent[=:]\s*00-([0-9a-f]{32})-([0-9a-f]{16})-\d{2}"
 B3 = r"(?i)x-b3[=:]\s*([0-9a-f]{16,32})-([0-9a-f]{16})"
 
@@ -42,10 +44,10 @@ def trace_context(text: Column) -> Column:
 
 
 def last_exception(text: Column) -> Column:
-    """struct(exception_class, exception_message) of the last line that names one."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(EXCEPTION))
+    """struct(exception_class, exception_message) of the last line that is one as a whole, trimmed."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, BLANK_ENDS, "")), lambda x: x.rlike(EXCEPTION_LINE))
     last = F.element_at(lines, -1)
-    return F.when(F.size(lines) > 0, F.struct(F.regexp_extract(last, EXCEPTION, 1).alias("exception_class"), F.regexp_extract(last, EXCEPTION, 2).alias("exception_message")))
+    return F.when(F.size(lines) > 0, F.struct(F.regexp_extract(last, EXCEPTION_LINE, 1).alias("exception_class"), F.regexp_extract(last, EXCEPTION_LINE, 2).alias("exception_message")))
 
 
 def service_of_log_path(path: Column) -> Column:

@@ -78,9 +78,12 @@ def judge_score(answer: Column) -> Column:
 
 
 def database_name(url: Column) -> Column:
-    """Database of a JDBC URL: what follows the last slash, without parameters."""
-    name = F.regexp_extract(url, r"/([^/?;]+)(?:[?;].*)?$", 1)
-    return F.when(name != "", name).otherwise(F.lit("unknown"))
+    """Database of a JDBC URL: what follows the last slash, without parameters; else what follows the
+    host's colon."""
+    after = F.regexp_extract(url, r"(?s)/([^/]+)\z", 1)
+    named = F.when(F.instr(after, "?") > 1, F.substring_index(after, "?", 1)).otherwise(after)
+    port = F.regexp_extract(url, r"(?s)\A(?:.*?://[^:]*|[^:]{2}[^:]*):(.*)\z", 1)
+    return F.when(F.coalesce(named, F.lit("")) != "", named).when(F.coalesce(port, F.lit("")) != "", port).otherwise(F.lit("unknown"))
 
 
 def calls(body: Column) -> Column:
@@ -95,10 +98,11 @@ def reactive_complexity(names: Column) -> Column:
 
 
 def difficulty(complexity: Column) -> Column:
-    """Rule for a migration's difficulty where no model is given."""
+    """Rule for a migration's difficulty where no model is given (fixed values)."""
     return F.when(complexity == "NONE", "TRIVIAL").when(complexity == "LINEAR", "LOW").when(complexity == "BRANCHING", "MEDIUM").otherwise("HIGH")
 
 
+#: In the order of their ordinals (fixed values).
 COMPLEXITIES = ("NONE", "LINEAR", "BRANCHING", "COMPLEX")
 
 
@@ -106,11 +110,15 @@ def complexity_ordinal(complexity: Column) -> Column:
     return F.greatest(F.array_position(F.array(*map(F.lit, COMPLEXITIES)), F.upper(F.coalesce(complexity, F.lit("NONE")))) - 1, F.lit(0)).cast("int")
 
 
+#: What parts terms: all but letters and digits of any script.
+NOT_TERM = r"[^\p{L}\p{N}]+"
+
+
 def analyzed(text: Column, code: bool = False) -> Column:
     """Lower-cased terms of a text; code: also cut at camel case, without the stop words."""
     if code:
         text = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
-    terms = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    terms = F.filter(F.split(F.lower(text), NOT_TERM), lambda t: t != "")
     return F.filter(terms, lambda t: ~t.isin(*CODE_STOP_WORDS)) if code else terms
 
 

@@ -28,9 +28,13 @@ def changed(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "ha
     return both.select(key, kind.alias("change")).where("change is not null")
 
 
-def unseen(new: DataFrame, seen: DataFrame, key: str = "etag") -> DataFrame:
-    """New rows whose key isn't among the seen, one for each key in any order of arrival."""
-    return new.join(seen.select(key).distinct(), key, "left_anti")
+def unseen(new: DataFrame, seen: DataFrame, key: str = "etag", order: list[str] | None = None) -> DataFrame:
+    """New rows whose key isn't among the seen, one for each key: the first by `order` (null: by all other
+    columns, in theirs). Rows without a key are left out."""
+    order = order or [c for c in new.columns if c != key]
+    fresh = new.where(F.col(key).isNotNull()).join(seen.select(key).distinct(), key, "left_anti")
+    first = F.min_by(F.struct(*new.columns), F.struct(*order) if order else F.lit(0))
+    return fresh.groupBy(F.col(key).alias("__key")).agg(first.alias("__row")).select("__row.*")
 
 
 def first_lookup(rows: DataFrame, table: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -47,7 +51,7 @@ def stratified(events: DataFrame, cap: int) -> DataFrame:
 
     marked = events.withColumn("__error", is_error(F.col("severity")))
     errors = marked.where("__error").orderBy("ts", "event_id").limit(cap)
-    counts = marked.agg(F.sum(F.col("__error").cast("long")).alias("errors"), F.approx_count_distinct("service", 0.01).alias("services")).first()
+    counts = marked.agg(F.sum(F.col("__error").cast("long")).alias("errors"), F.count_distinct("service").alias("services")).first()
     quota = max(0, cap - min(cap, counts["errors"] or 0)) // max(1, counts["services"] or 1)
     w = Window.partitionBy("service").orderBy("ts", "event_id")
     rest = marked.where("not __error").withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= quota).drop("__rank")

@@ -75,7 +75,7 @@ def pattern_class(items: Column) -> Column:
     of = lambda part: F.size(F.filter(items, lambda i: i.contains(part)))
     size = F.size(items)
     errors = (size >= 2) & (of("::ERROR(") == size)
-    return F.when(errors & (F.size(services_of(items)) > 1), "ERROR_PROPAGATION").when(errors, "CASCADE_FAILURE").when(of("::KAFKA_") >= 2, "ASYNC_FANOUT").when(longest_run(items) >= 3, "RETRY_PATTERN").otherwise("NORMAL")
+    return F.when(errors & (F.size(services_of(items)) > 1), "ERROR_PROPAGATION").when(errors, "CASCADE_FAILURE").when((size >= 2) & (of("::KAFKA_") >= 1), "ASYNC_FANOUT").when(longest_run(items) >= 3, "RETRY_PATTERN").otherwise("NORMAL")
 
 
 def enriched(patterns: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ TABLES = {
         "line": f"case when event_id % 11 = 0 then 'junk ' || event_id when event_id % 3 = 0 then {SECOND} || ' ' || {SEVERITY} || ' [worker-' || (event_id % 4) || '] com.acme.Service - ' || {MESSAGE} || ' traceparent=00-' || {TRACE_HEX} || '-' || {SPAN_HEX} || '-01'"
                 f" when event_id % 3 = 1 then '[' || {SECOND} || '] \"GET /api/' || event_type || ' HTTP/1.1\" ' || (200 + event_id % 5) || ' - X-B3: ' || {TRACE_HEX} || '-' || {SPAN_HEX}"
                 f" else '[' || {SECOND} || '][' || case when event_type = 'error' then 'error' when event_id % 5 = 0 then 'warning' else 'debug' end || '][router] ' || {MESSAGE} end",
-        "stack": "case when event_id % 2 = 0 then 'java.lang.RuntimeException: failed ' || event_id || '\n  at com.acme.Main\nCaused by: java.sql.SQLException: refused ' || user_id else event_type end".replace("\n", "' || chr(10) || '"),
+        "stack": "case when event_id % 2 = 0 then 'java.lang.RuntimeException: failed ' || event_id || '\n\tat com.acme.Main.run(Main.java:3)\nCaused by: java.sql.SQLException: refused ' || user_id || '\n\tat com.acme.Db.open(Db.java:' || (event_id % 90) || ')\n\t... 2 more' else event_type end".replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '"),
     }),
     "art_old": ("documents", {"path": "'doc/' || doc_id", "hash": "sha2_256(text)", "seq": "0", "keep": "doc_id % 10 <> 0"}),
     "art_new": ("documents", {"path": "'doc/' || doc_id", "hash": "case when doc_id % 5 = 0 then sha2_256(text || '!') else sha2_256(text) end", "seq": "1", "keep": "doc_id % 7 <> 0"}),
@@ -34,7 +34,7 @@ TABLES = {
                 " when 8 then 'conf/app.properties' when 9 then 'README.md' when 10 then 'deploy/charts/app/chart.yaml' else 'ops/deployments/x' || doc_id || '.yml' end",
         "log_path": "case doc_id % 5 when 0 then 'logs/order-service/app.log' when 1 then 'logs/edge/istio-proxy.txt' when 2 then 'logs/pay-api/pod1/trace.log' when 3 then 'data/blob' || doc_id || '.bin' else 'single' end",
     }),
-    "gn": ("supplier", {"id": "s_suppkey", "has_endpoint": "s_suppkey % 3 = 0", "type": "case s_suppkey % 4 when 0 then 'Service' when 1 then 'KafkaTopic' when 2 then 'Class' else 'Method' end", "is_reactive": "s_suppkey % 2 = 0", "complexity": "case s_suppkey % 5 when 0 then 'NONE' when 1 then 'LINEAR' when 2 then 'BRANCHING' when 3 then 'COMPLEX' end"}),
+    "gn": ("supplier", {"id": "s_suppkey", "has_endpoint": "s_suppkey % 3 = 0", "type": "case s_suppkey % 4 when 0 then 'Service' when 1 then 'KafkaTopic' when 2 then 'Class' else case s_suppkey % 8 when 3 then 'AnomalyEpisode' else 'Method' end end", "is_reactive": "s_suppkey % 2 = 0", "complexity": "case s_suppkey % 5 when 0 then 'NONE' when 1 then 'LINEAR' when 2 then 'BRANCHING' when 3 then 'COMPLEX' end"}),
     "vec": ("embeddings", {"doc_id": "vec_id", "embedding": "embedding", "label": "label"}),
     "q": ("benchmark", {"query_id": "item_id", "query": "text"}),
     "docs": ("documents", {"doc_id": "doc_id", "text": "text", "source": "source", "lang": "lang"}),

@@ -61,7 +61,7 @@ def features(spark, sf):
 
 
 FEATURES = f"""{GE}, dg as (select id, count(*) d from (select src id from ge union all select dst from ge) group by all),
-f as (select gn.id, list_transform(range(10), lambda i: case when i = case type when 'Service' then 0 when 'KafkaTopic' then 1 when 'Class' then 5 else 6 end then 1 else 0 end) h, coalesce(d, 0) d, cast(is_reactive as int) r, case complexity when 'LINEAR' then 1 when 'BRANCHING' then 2 when 'COMPLEX' then 3 else 0 end c from gn left join dg on gn.id = dg.id)
+f as (select gn.id, list_transform(range(10), lambda i: case when i = case type when 'Service' then 0 when 'KafkaTopic' then 4 when 'Class' then 1 when 'AnomalyEpisode' then 9 else 2 end then 1 else 0 end) h, coalesce(d, 0) d, cast(is_reactive as int) r, case complexity when 'LINEAR' then 1 when 'BRANCHING' then 2 when 'COMPLEX' then 3 else 0 end c from gn left join dg on gn.id = dg.id)
 select id, array_to_string(list_transform(h || [d, r, c] || list_transform(range(19), lambda i: 0), lambda x: cast(x as varchar)), ',') features from f"""
 
 
@@ -153,11 +153,11 @@ def evidence(spark, sf):
 def resolved(spark, sf):
     """Call edges whose ends are known nodes of a label, as relations."""
     nodes = frame(spark, sf, "gn").selectExpr("id", "type as label").where("label <> 'KafkaTopic'")
-    typed = edges(spark, sf).selectExpr("src", "dst", "case when src % 2 = 0 then 'HTTP_CALL' when src % 3 = 0 then 'KAFKA_PRODUCE' else 'OTHER' end as type")
+    typed = edges(spark, sf).selectExpr("src", "dst", "case when src % 2 = 0 then 'HTTP_CALL' when src % 3 = 0 then 'KAFKA_PRODUCE' when src % 5 = 0 then 'CONFIG_REF' else 'OTHER' end as type")
     return graph.resolved_edges(typed, nodes).select("src", "dst", "src_label", "dst_label", "relation")
 
 
-RESOLVED = f"""{GE} select src, dst, a.type src_label, b.type dst_label, case when src % 2 = 0 then 'CALLS_HTTP' when src % 3 = 0 then 'PRODUCES_TO' else 'OTHER' end relation
+RESOLVED = f"""{GE} select src, dst, a.type src_label, b.type dst_label, case when src % 2 = 0 then 'CALLS_HTTP' when src % 3 = 0 then 'PRODUCES_TO' when src % 5 = 0 then 'USES_CONFIG' else 'OTHER' end relation
 from ge join gn a on src = a.id and a.type <> 'KafkaTopic' join gn b on dst = b.id and b.type <> 'KafkaTopic'"""
 
 

@@ -37,8 +37,8 @@ def exceptions(spark, sf):
     return frame(spark, sf, "lines").select("event_id", logs.last_exception(F.col("stack")).alias("x")).select("event_id", "x.exception_class", "x.exception_message").where("exception_class is not null")
 
 
-EXCEPTIONS = f"""with {sql("lines")}, l as (select event_id, list_filter(string_split(stack, chr(10)), lambda x: regexp_matches(x, '{logs.EXCEPTION}')) f from lines)
-select event_id, regexp_extract(f[len(f)], '{logs.EXCEPTION}', 1) exception_class, regexp_extract(f[len(f)], '{logs.EXCEPTION}', 2) exception_message from l where len(f) > 0"""
+EXCEPTIONS = f"""with {sql("lines")}, l as (select event_id, list_filter(list_transform(string_split(stack, chr(10)), lambda x: regexp_replace(x, '{logs.BLANK_ENDS}', '', 'g')), lambda x: regexp_matches(x, '{logs.EXCEPTION_LINE}')) f from lines)
+select event_id, regexp_extract(f[len(f)], '{logs.EXCEPTION_LINE}', 1) exception_class, regexp_extract(f[len(f)], '{logs.EXCEPTION_LINE}', 2) exception_message from l where len(f) > 0"""
 
 MASK = "case " + " ".join(f"when regexp_matches(t, '{p}') then '{m}'" for p, m in text.MASKS) + " else t end"
 MASKED = f"masked as (select event_id, service, array_to_string(list_transform(regexp_split_to_array(trim(message), '\\s+'), lambda t: {MASK}), ' ') as template from ev)"
@@ -217,5 +217,5 @@ QUERIES = {
     "embedding_texts": (passages, f"with {sql('ev')} select event_id, 'passage: [' || service || '] ' || severity || ': ' || template_id || case when exception_class is not null then ' | exception: ' || exception_class else '' end passage from ev"),
     "template_texts": (template_texts, f"with {sql('ev')}, {MASKED} select service, 'passage: [' || service || '] Log template: ' || template || ' (frequency: ' || count(*) || ')' passage from masked group by service, template"),
     "stage_metrics": (stages, STAGES),
-    "streaming_windows": (stream.window_counts_once, None),
+    "streaming_windows": (stream.window_counts_once, "select date_trunc('day', ts) as start, event_type, count(*) n, round(sum(value), 6) total from events group by all"),
 }

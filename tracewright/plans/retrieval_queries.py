@@ -11,8 +11,8 @@ from tracewright.plans.adapters import frame, sql
 K = 10
 DOCS = f"{sql('docs')}, {sql('q')}"
 #: Terms of texts and queries, then the two ranked lists of 3k that the hybrid query fuses.
-TERMS = """t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') l from docs), tt as (select doc_id, len(l) dl, unnest(l) term from t), tf as (select doc_id, dl, term, count(*) tf from tt group by all),
-qt as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) term from q), df as (select term, count(*) df from tf group by all), tot as (select count(*) n, avg(len(l)) a from t where len(l) > 0)"""
+TERMS = f"""t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '{text.NOT_TERM}'), lambda x: x <> '') l from docs), tt as (select doc_id, len(l) dl, unnest(l) term from t), tf as (select doc_id, dl, term, count(*) tf from tt group by all),
+qt as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(query), '{text.NOT_TERM}'), lambda x: x <> '')) term from q), df as (select term, count(*) df from tf group by all), tot as (select count(*) n, avg(len(l)) a from t where len(l) > 0)"""
 BM25 = f"""sc as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {retrieval.K1 + 1} / (tf + {retrieval.K1} * (1 - {retrieval.B} + {retrieval.B} * dl / a))), 6) score from qt join tf using (term) join df using (term), tot group by all)"""
 
 
@@ -48,7 +48,7 @@ def hybrid(spark, sf):
     return retrieval.hybrid(list(lists(spark, sf)), frame(spark, sf, "docs"), frame(spark, sf, "q"), K)
 
 
-HYBRID = f"""{LISTS}, {top('fu', 2 * K, 'f2')}, qs as (select query_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) ql from q),
+HYBRID = f"""{LISTS}, {top('fu', 2 * K, 'f2')}, qs as (select query_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '{text.NOT_TERM}'), lambda x: x <> '')) ql from q),
 re as (select query_id, doc_id, f2.rank fr, case when len(ql) = 0 then 0.0 else round(len(list_intersect(ql, l)) / len(ql), 6) end score from f2 join qs using (query_id) join t using (doc_id))
 select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, fr) as rank from re qualify rank <= {K}"""
 

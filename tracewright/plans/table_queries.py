@@ -155,7 +155,7 @@ def code_terms(spark, sf):
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
-TERMS = rf"""with {sql("docs")}, t as (select unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) term from docs)
+TERMS = rf"""with {sql("docs")}, t as (select unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '{text.NOT_TERM}'), lambda x: x <> '')) term from docs)
 select term, count(*) n from t where term not in ({listed(text.CODE_STOP_WORDS)}) group by all"""
 
 

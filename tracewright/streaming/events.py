@@ -14,7 +14,7 @@ from tracewright.session import ship
 from tracewright.sources.files import file_system, scratch
 
 #: Topics of pipeline control events (fixed values).
-TOPICS = ("pipeline-completed", "pipeline-failed", "snapshot-ready")
+TOPICS = ("pipeline.stage.completed", "pipeline.stage.failed", "pipeline.snapshot.ready")
 
 
 def window_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -33,12 +33,19 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def window_counts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the stream over what is there into a table of the shared folder, and reads that."""
+    """Runs the stream over what is there into a table of the shared folder, and reads that. Each batch
+    writes the windows that it changed, open ones too; the last version of a window counts. No event is
+    late here, in whatever order the files come."""
     out = f"{scratch(spark)}/windows-{uuid.uuid4().hex}"
-    rows = window_counts(event_stream(spark, f"{sf_dir}/events.parquet"), "1 day")
-    stream = rows.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    rows = window_counts(event_stream(spark, f"{sf_dir}/events.parquet"), "1 day", late="36500 days")
+
+    def batch(changed: DataFrame, number: int) -> None:
+        changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/data/{number:09d}")
+
+    stream = rows.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{out}/data").select("start", "event_type", "n", "total")
+    written = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, batch int").option("recursiveFileLookup", "true").parquet(f"{out}/data")
+    return written.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last")).select("start", "event_type", "last.n", "last.total")
 
 
 def dispatch(events: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str):
