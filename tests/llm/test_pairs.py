@@ -70,6 +70,55 @@ def test_join_equals_all_pairs(spark, corpus, block, monkeypatch):
     assert len(set(first.values())) == len(first)
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_join_of_templates_and_chains(spark, block, monkeypatch):
+    """Texts of one template (alike to some 0.6 to 0.9) and a chain: more than a block of them is tied."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(5000)]
+    template, rows = [rng.choice(words) for _ in range(80)], []
+    for i in range(70):
+        w = list(template)
+        for at in rng.sample(range(16), rng.randint(0, 4)):
+            w[at * 5] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    chain = [rng.choice(words) for _ in range(1200)]
+    rows += [(100 + i, " ".join(chain[i * 15 : i * 15 + 60])) for i in range(70)]
+    got = {r["doc_id"]: r for r in ngram_join.ngram_join(docs(spark, rows)).collect()}
+    links, group = brute(rows)
+    assert [got[i]["n_links"] for i, _ in rows] == links
+    assert len({r["class_id"] for r in got.values()}) == len(set(group)) == len({(g, got[i]["class_id"]) for (i, _), g in zip(rows, group, strict=True)})
+
+
+def test_groups_of_repeated_and_null_ids_do_not_clash(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (None, "some thing else entirely here now"), (None, "and one more text of its own")]
+    got = ngram_join.ngram_join(docs(spark, rows)).collect()
+    name = lambda i: {r["class_id"] for r in got if r["doc_id"] == i}
+    assert name(6) != name(7) and name(5) == name(6) | name(7) and len(name(None)) == 2
+    assert [r["group_first"] for r in got if r["doc_id"] in (6, 7)] == [5, 5]
+    out = ngram_join.deduplicated(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted((str(i), t) for i, t in rows if i in (5, None))
+
+
+def test_one_row_stays_whatever_the_partitioning(spark):
+    rows = [(1, "same text of it", "en", s, 3, "clash", k) for k, s in enumerate(["z", "b", None, "a"])]
+    for parts in (1, 3):
+        (kept,) = ngram_join.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+        assert kept["source"] is None
+
+
+def test_join_equals_sql(spark, corpus):
+    import duckdb
+
+    d = docs(spark, [*corpus, corpus[3]])
+    con = duckdb.connect()
+    con.register("documents", d.toArrow())
+    want = con.sql(ngram_join.SQL)
+    got = [tuple(r[c] for c in want.columns) for r in ngram_join.ngram_join(d).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
+
+
 def test_one_of_each_group_stays(spark, corpus):
     d = docs(spark, [*corpus, corpus[0]])
     out = ngram_join.deduplicated(d)

@@ -4,15 +4,22 @@
    their class, so groups of thousands cost as much as one document).
 2. MinHash signatures of the classes' shingle sets; BANDS bands of ROWS rows (chosen for the target
    recall). Classes that share a band hash are candidates: each is tied to the bucket's first class, so
-   a bucket of m gives m - 1 rows, not m squared; components of these ties hold every candidate pair.
-3. In each component all pairs are verified on full shingle sets, as products of sparse incidence
-   blocks: large components are dealt as pairs of blocks of BLOCK classes, so a task's memory is
-   bounded, and tasks return counts of links and a spanning forest of them, never the pairs.
+   a bucket of m gives m - 1 rows, not m squared. Components of these ties hold every candidate pair.
+3. Candidates are verified on full shingle sets, as products of sparse incidence blocks of BLOCK classes
+   at most. A component of one block is verified whole. In a larger one (templates, chains of slightly
+   like texts) first the ties are verified, and only those that hold unite: what they unite is verified
+   whole, as pairs of blocks; pairs of different such parts are verified bucket by bucket, each in the
+   least bucket that it shares. A task's memory is bounded, and tasks return counts of links and a
+   spanning forest of them, never the pairs.
 4. Components of the links are the groups of near duplicates.
 
+So the work is that of the candidate pairs: a chain of slightly like texts costs its length, while m texts
+that all share a bucket cost m squared comparisons, in bounded blocks.
+
 Words are lower-cased runs without white space; a text of fewer than five words is one shingle of all
-it has. Defined results: null counts as empty; empty texts are copies of each other; repeated rows are
-copies; null doc_ids stand last when a group picks its first document; an empty table gives an empty
+it has. A group's name (`class_id`) is the md5 of its first text (by least doc_id, null last, then md5), so that
+neither null nor repeated doc_ids make groups clash. Defined results: null counts as empty; empty texts
+are copies of each other; repeated rows are copies; an empty table gives an empty
 table; other columns are not read (`deduplicated` keeps them).
 """
 
@@ -177,28 +184,48 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, si
     return common >= similar * (sizes[left][:, None] + sizes[b][None, :] - common) - 1e-9
 
 
+def shared_least(a: list, b: list, key: int) -> np.ndarray:
+    """Boolean matrix: of which pairs of key lists `key`, which all hold, is the least that both hold.
+    The lists are sorted."""
+    lower = sorted({k for ks in (*a, *b) for k in ks if k < key})
+    number = {k: i for i, k in enumerate(lower)}
+
+    def marks(lists):
+        out = np.zeros((len(lists), len(lower)), np.float32)
+        for i, ks in enumerate(lists):
+            out[i, [number[k] for k in ks if k < key]] = 1
+        return out
+
+    return marks(a) @ marks(b).T == 0 if lower else np.ones((len(a), len(b)), bool)
+
+
+#: Kinds of units: a whole part, a bucket across parts, ties to a bucket's first.
+WHOLE, ACROSS, TIES = 0, 1, 2
+
+
 def verify(batches: Iterator) -> Iterator:
-    """Sorted rows of pairs of blocks -> links of each class (to documents, to texts) and a forest."""
+    """Sorted rows of units (kind, unit, bi, bj, nid, n, block, part, keys, text) -> links of each class
+    (to documents, to texts) and a forest of them; of TIES units the forest only."""
     shingles = Shingles()
-    for group in runs(batches, ["root", "bi", "bj"]):
-        rows = list({r[3]: r for r in group}.values())  # a class's document may stand there twice
-        root, bi, bj = group[0][:3]
-        nid, n, block = (np.array([r[i] for r in rows], dtype=np.int64) for i in (3, 4, 5))
-        sets = [shingles(r[6]) for r in rows]
+    for group in runs(batches, ["kind", "unit", "bi", "bj"]):
+        rows = list({(r[4], r[6]): r for r in group}.values())  # a class's document may stand there twice
+        kind, unit, bi, bj = group[0][:4]
+        nid, n, block, part = (np.array([r[i] for r in rows], dtype=np.int64) for i in (4, 5, 6, 7))
         here = np.flatnonzero(block == bi)
         there = None if bi == bj else np.flatnonzero(block == bj)
         if not len(here) or there is not None and not len(there):
             continue
-        near = links(sets, here, there)
+        near = links([shingles(r[9]) for r in rows], here, there)
         if there is None:
-            there = here
             np.fill_diagonal(near, False)
-            docs, texts = near @ n[here], near.sum(axis=1)
-            at = here
-        else:
-            docs = np.concatenate([near @ n[there], near.T @ n[here]])
-            texts = np.concatenate([near.sum(axis=1), near.sum(axis=0)])
-            at = np.concatenate([here, there])
+        other = here if there is None else there
+        if kind == ACROSS:
+            near &= part[here][:, None] != part[other][None, :]
+            if near.any():
+                near &= shared_least([rows[i][8] for i in here], [rows[i][8] for i in other], unit)
+        docs, texts, at = near @ n[other], near.sum(axis=1), here
+        if there is not None:
+            docs, texts, at = np.concatenate([docs, near.T @ n[here]]), np.concatenate([texts, near.sum(axis=0)]), np.concatenate([here, there])
         parent = {}
 
         def find(x, parent=parent):
@@ -208,12 +235,13 @@ def verify(batches: Iterator) -> Iterator:
             return x
 
         for i, row in zip(here.tolist(), near, strict=True):
-            for j in there[row].tolist():
+            for j in other[row].tolist():
                 a, b = find(int(nid[i])), find(int(nid[j]))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
+        counts = kind != TIES
         yield pa.RecordBatch.from_pydict({
-            "nid": pa.array(nid[at], pa.int64()), "docs": pa.array(docs, pa.int64()), "texts": pa.array(texts, pa.int64()), "top": pa.array([find(int(x)) for x in nid[at]], pa.int64()),
+            "nid": pa.array(nid[at], pa.int64()), "docs": pa.array(docs * counts, pa.int64()), "texts": pa.array(texts * counts, pa.int64()), "top": pa.array([find(int(x)) for x in nid[at]], pa.int64()),
         })
 
 
@@ -230,55 +258,126 @@ def verified(batches):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def blocks_of(members: DataFrame, by: list[str]) -> DataFrame:
+    """members + __blocks, the number of blocks of the unit that `by` names, and block, the member's."""
+    sizes = members.groupBy(*by).agg(F.count("*").alias("__c"))
+    sized = members.join(sizes, by).withColumn("__blocks", F.ceil(F.col("__c") / BLOCK).cast("int")).drop("__c")
+    return sized.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("__blocks")).cast("int"))
+
+
+UNIT = ["kind", "unit", "bi", "bj", "nid", "block", "part", "keys"]
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """A row for each member and pair of blocks that it takes part in."""
+    rows = members.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return rows.withColumns({"bi": F.least("block", "__other"), "bj": F.greatest("block", "__other")}).select(*UNIT)
+
+
+def checked(units: DataFrame, texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The units' links: (nid, docs, texts, top). Texts of their members only move, once for each unit."""
+    spark = docs.sparkSession
+    some = materialize(units.select("nid").distinct().join(texts.select("nid", "ckey", "rep", "n"), "nid"), f"{name}-members")
+    body = docs.select(F.col("doc_id").alias("__doc"), F.md5(whole(F.col("text"))).alias("__key"), whole(F.col("text")).alias("text"))
+    body = probable(body, "__key", bitmap(some, "ckey"))  # most texts have no candidate and stay where they are
+    body = body.join(some, (F.col("__key") == F.col("ckey")) & F.col("__doc").eqNullSafe(F.col("rep"))).select("nid", "n", "text")
+    rows = units.join(body, "nid").select("kind", "unit", "bi", "bj", "nid", "n", "block", "part", "keys", "text")
+    dealt = rows.repartition(partitions(spark), "kind", "unit", "bi", "bj").sortWithinPartitions("kind", "unit", "bi", "bj", "nid")
+    return materialize(dealt.mapInArrow(verified, "nid long, docs long, texts long, top long"), name)
+
+
+def large_units(texts: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame:
+    """Units of the components of over BLOCK classes; large: (nid, root)."""
+    keys = materialize(texts.join(large.select("nid"), "nid").select("nid", F.explode("bands").alias("unit")), "join-keys")
+    buckets = keys.groupBy("unit").agg(F.min("nid").alias("first"), F.count("*").alias("__c")).where("__c > 1").drop("__c")
+    keys = materialize(keys.join(buckets, "unit"), "join-buckets")
+    none = F.lit(None).cast("array<bigint>")
+    # ties: the first against its bucket mates, a block of them at a time
+    ties = keys.where("nid <> first").select("nid", F.col("first").alias("unit")).distinct()
+    sizes = ties.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+    mates = ties.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("__blocks")).cast("int") + 1)
+    hubs = sizes.select("unit", F.explode(F.sequence(F.lit(1), "__blocks")).alias("bj"), F.col("unit").alias("nid"), F.lit(0).alias("block"))
+    ties = mates.select("unit", F.col("block").alias("bj"), "nid", "block").unionByName(hubs).withColumns({"kind": F.lit(TIES), "bi": F.lit(0), "part": F.lit(0).cast("long"), "keys": none})
+    held = components(checked(ties.select(*UNIT), texts, docs, "join-ties").select(F.col("nid").alias("a"), F.col("top").alias("b")))
+    parts = large.join(held, F.col("nid") == F.col("node"), "left").select("nid", F.coalesce(held["root"], F.col("nid")).alias("part"))
+    parts = materialize(parts, "join-parts")
+    whole_parts = parts.join(parts.groupBy("part").agg(F.count("*").alias("__m")).where("__m > 1").select("part"), "part")
+    units = block_pairs(blocks_of(whole_parts.select(F.lit(WHOLE).alias("kind"), F.col("part").alias("unit"), "nid", "part", none.alias("keys")), ["unit"]))
+    # buckets that hold several parts
+    spread = keys.select("unit", "nid").join(parts, "nid")
+    mixed = spread.groupBy("unit").agg(F.min("part").alias("__a"), F.max("part").alias("__b")).where("__a < __b").select("unit")
+    spread = materialize(spread.join(mixed, "unit"), "join-across")
+    lists = spread.groupBy("nid").agg(F.sort_array(F.collect_list("unit")).alias("keys"))  # BANDS keys at most
+    across = blocks_of(spread.join(lists, "nid").select(F.lit(ACROSS).alias("kind"), "unit", "nid", "part", "keys"), ["unit"])
+    return units.unionByName(block_pairs(across))
+
+
 def joined_classes(docs: DataFrame) -> DataFrame:
-    """A row for each different text: ckey, rep, n, class_id (least doc_id of its group), group_texts,
+    """A row for each different text: ckey, rep (least doc_id), n (documents), class_id (name of its
+    group), group_first (the group's least doc_id), group_texts,
     n_links (other documents at SIMILAR or more, copies too), n_text_links (other texts), first
     (whether it is the text that stays of its group)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     texts = classes(docs)
-    tied = materialize(components(candidates(texts)), "join-tied")
-    sizes = tied.groupBy("root").agg(F.count("*").alias("__c")).withColumn("__blocks", F.ceil(F.col("__c") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int")
-    members = tied.join(sizes, "root").withColumn("block", block).join(texts.select("nid", "ckey", "rep", "n"), F.col("node") == F.col("nid"))
-    members = materialize(members.select("nid", "ckey", "rep", "n", "root", "block", "__blocks"), "join-members")
-    body = docs.select(F.col("doc_id").alias("__doc"), F.md5(whole(F.col("text"))).alias("__key"), whole(F.col("text")).alias("text"))
-    body = probable(body, "__key", bitmap(members, "ckey"))  # most texts have no candidate and stay where they are
-    rows = body.join(members, (F.col("__key") == F.col("ckey")) & F.col("__doc").eqNullSafe(F.col("rep")))
-    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    rows = rows.select("root", F.least("block", "__other").alias("bi"), F.greatest("block", "__other").alias("bj"), "nid", "n", "block", "text")
-    dealt = rows.repartition(partitions(spark), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "nid")
-    checked = materialize(dealt.mapInArrow(verified, "nid long, docs long, texts long, top long"), "join-checked")
-    linked = checked.groupBy("nid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    top = components(checked.select(F.col("nid").alias("a"), F.col("top").alias("b")))
+    tied = materialize(components(candidates(texts)).withColumnRenamed("node", "nid"), "join-tied")
+    sizes = tied.groupBy("root").agg(F.count("*").alias("__c"))
+    sized = materialize(tied.join(sizes, "root"), "join-sized")
+    small = sized.where(F.col("__c") <= BLOCK).select(F.lit(WHOLE).alias("kind"), F.col("root").alias("unit"), F.lit(0).alias("bi"), F.lit(0).alias("bj"), "nid", F.lit(0).alias("block"), F.col("root").alias("part"), F.lit(None).cast("array<bigint>").alias("keys"))
+    large = sized.where(F.col("__c") > BLOCK).select("nid", "root")
+    units = small
+    if large.limit(1).count():
+        units = small.unionByName(large_units(texts, materialize(large, "join-large"), docs))
+    found = checked(units, texts, docs, "join-checked")
+    linked = found.groupBy("nid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
+    top = components(found.select(F.col("nid").alias("a"), F.col("top").alias("b")))
     known = texts.drop("bands").join(linked, "nid", "left").join(top, F.col("nid") == F.col("node"), "left").drop("node")
     known = materialize(known.withColumn("root", F.coalesce("root", "nid")), "join-known")
-    groups = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("group_texts"), F.min_by("nid", F.struct(F.col("rep").isNull(), "rep", "ckey")).alias("__first"))
-    out = known.join(groups, "root")
+    place = F.struct(F.col("rep").isNull(), "rep", "ckey")
+    groups = known.groupBy("root").agg(F.min_by("ckey", place).alias("class_id"), F.min("rep").alias("group_first"), F.count("*").alias("group_texts"))
     links_of = F.coalesce("docs", F.lit(0)) + F.col("n") - 1
-    return out.select("ckey", "rep", "n", "class_id", "group_texts", links_of.cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), (F.col("nid") == F.col("__first")).alias("first"))
+    out = known.join(groups, "root")
+    return out.select("ckey", "rep", "n", "class_id", "group_first", "group_texts", links_of.cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), (F.col("ckey") == F.col("class_id")).alias("first"))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text -> a row for each document: doc_id, class_id (group of near duplicates),
-    text_id (least doc_id of its very text), n_links, n_text_links."""
+    """docs: doc_id, text -> a row for each document: doc_id, class_id (name of its group of near
+    duplicates), group_first (the group's least doc_id), text_id (least doc_id of its very text),
+    n_links, n_text_links, group_texts."""
     known = joined_classes(docs)
     rows = docs.select("doc_id", F.md5(whole(F.col("text"))).alias("ckey"))
-    return rows.join(known, "ckey").select("doc_id", "class_id", F.col("rep").alias("text_id"), "n_links", "n_text_links", "group_texts")
+    return rows.join(known, "ckey").select("doc_id", "class_id", "group_first", F.col("rep").alias("text_id"), "n_links", "n_text_links", "group_texts")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the least doc_id. Only documents
-    that have a copy or a link move; the others pass as they are."""
+    """One document of each group, with all its columns: of the group's first text the row with the least
+    doc_id (null last), then the least of its other columns in their order. Only documents that have a copy or a link
+    move; the others pass as they are."""
     known = joined_classes(docs).where("n > 1 or group_texts > 1")
     known = materialize(known.select(F.col("ckey").alias("__ckey"), F.col("rep").alias("__rep"), "first"), "join-touched")
     bits = bitmap(known, "__ckey")
     rows = docs.withColumn("__key", F.md5(whole(F.col("text"))))
     maybe = probable(rows, "__key", bits).join(known.select("__ckey", "__rep", F.col("first").alias("__first")), F.col("__key") == F.col("__ckey"), "left")
     alone = maybe.where("__ckey is null").select(*docs.columns)
-    stay = maybe.where(F.col("__first") & F.col("doc_id").eqNullSafe(F.col("__rep"))).dropDuplicates(["__key"]).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = maybe.where(F.col("__first") & F.col("doc_id").eqNullSafe(F.col("__rep"))).groupBy("__key").agg(F.min(row).alias("__row")).select("__row.*")
     return probable(rows, "__key", bits, among=False).select(*docs.columns).unionByName(alone).unionByName(stay)
 
 
 def query(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of texts by their shared shingles, components by a recursive table. For small tables.
+SQL = rf"""
+with recursive t as (select md5(coalesce(text, '')) ckey, min(doc_id) rep, count(*) n, lower(any_value(coalesce(text, ''))) low from documents group by 1),
+w as (select ckey, regexp_extract_all(low, '[^\x20\x09-\x0D]+') w from t),
+h as (select distinct ckey, md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) g from (select ckey, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) i from w where len(w) > 0)),
+z as (select ckey, count(*) z from h group by 1),
+p as (select a.ckey a, b.ckey b, count(*) c from h a join h b on a.g = b.g and a.ckey <> b.ckey group by all),
+l as materialized (select a, b from p join z x on x.ckey = a join z y on y.ckey = b where c >= {SIMILAR} * (x.z + y.z - c) - 1e-9),
+r(a, b) as (select ckey, ckey from t union select r.a, l.b from r join l on r.b = l.a),
+g as (select a ckey, arg_min(t.ckey, (rep is null, coalesce(rep, 0), t.ckey)) class_id, min(rep) group_first, count(*) group_texts from r join t on r.b = t.ckey group by a),
+k as (select a ckey, sum(t.n) docs, count(*) texts from l join t on l.b = t.ckey group by a)
+select doc_id, class_id, group_first, rep text_id, cast(coalesce(docs, 0) + n - 1 as bigint) n_links, coalesce(texts, 0) n_text_links, group_texts
+from documents join t on md5(coalesce(text, '')) = t.ckey join g on g.ckey = t.ckey left join k on k.ckey = t.ckey
+"""

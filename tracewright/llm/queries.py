@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op10_quality_rules": quality_rules.SQL}
