@@ -336,3 +336,57 @@ def test_secrets_in_all_of_compressed_data(raw, limit):
     for hidden in (base64.b64encode(raw).decode(), urllib.parse.quote(raw, safe=""), "".join(f"\\x{b:02x}" for b in raw)):
         found = [s for s in secrets.findings(f"before {hidden} after", limit)[1] if s[0] == "access"]
         assert found and all(7 <= s < e <= 7 + len(hidden) for _, s, e in found)
+
+
+def wrapped(raw, width=76, end="\n"):
+    body = base64.b64encode(raw).decode()
+    return end.join(body[i : i + width] for i in range(0, len(body), width))
+
+
+@pytest.mark.parametrize("hidden", [wrapped(b"filler " * 30 + PAYLOAD), wrapped(b"x" * 40 + PAYLOAD, 64, "\r\n"), wrapped(gzip.compress(random.Random(3).randbytes(200) + b" " + PAYLOAD)), wrapped(b"filler " * 20 + PAYLOAD, 20, "\n    ")])
+def test_secrets_in_wrapped_base64(hidden):
+    found = [s for s in secrets.findings(f"before\n{hidden}\nafter")[1] if s[0] == "access"]
+    assert found and all(7 <= s < e <= 7 + len(hidden) for _, s, e in found)
+
+
+@pytest.mark.parametrize("pack", ["bz2", "lzma"])
+def test_secrets_in_other_packings(pack):
+    import importlib
+
+    raw = importlib.import_module(pack).compress(PAYLOAD) * 2
+    for hidden in (base64.b64encode(raw).decode(), urllib.parse.quote(raw, safe="")):
+        assert any(s[0] == "access" for s in secrets.findings(f"see {hidden} end")[1])
+
+
+def test_secrets_round_trip_at_random():
+    """Random nestings in random surroundings: found, with spans inside what hides them; percent codes,
+    escapes and base64 of one byte a character map exactly."""
+    rng = random.Random(17)
+    encoders = {
+        "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        "escape": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "entity": lambda t: "".join(f"&#{ord(c)};" for c in t),
+        "wide": lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t),
+        "base64": lambda t: base64.b64encode(f"{'x' * rng.randint(0, 5)} {t} end".encode()).decode(),
+        "gzip": lambda t: base64.b64encode(gzip.compress(f"key {t} end".encode())).decode(),
+        "wrapped": lambda t: wrapped(f"{'words ' * rng.randint(8, 20)}{t} end".encode(), rng.choice([32, 64, 76])),
+    }
+    for _ in range(150):
+        hidden, used = KEY, [rng.choice(list(encoders)) for _ in range(rng.randint(1, 3))]
+        for name in used:
+            hidden = encoders[name](hidden)
+        before = rng.choice(["", "é word ", "100%25 sure ", "a=b&c=", "日本 ", "https://host/p?q="])
+        after = rng.choice(["", " tail", "\n", " %zz", "。"])
+        found = [s for s in secrets.findings(before + hidden + after)[1] if s[0] == "access"]
+        assert found and all(len(before) <= s < e <= len(before) + len(hidden) for _, s, e in found), (used, hidden)
+
+
+def test_secrets_of_long_texts_need_little_memory():
+    import tracemalloc
+
+    text = "plain words of text, " * 250_000 + "AKIA%41BCDEFGHIJKLMNOP" + " and more" * 10
+    tracemalloc.start()
+    found = secrets.findings(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("access", 5_250_000, 5_250_022) in found and peak < 12 * len(text)

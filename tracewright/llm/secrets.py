@@ -1,14 +1,16 @@
 """Secret scans with recursive decoding.
 
 Every whole text is scanned; layers found in it (URL percent codes, Unicode and character escapes,
-full-width and styled letters, base64, and compressed data within base64) are decoded and go on a
+full-width and styled letters, base64, and compressed data within any of these) are decoded and go on a
 worklist, until none gives a new layer. A layer of the same text and place as one before isn't taken up
-again, so cycles end. Each character of a
-layer knows the span of the document that it came from, so findings map back to the document.
+again, so cycles end. A layer knows where in the layer before its characters come from, by the places of
+its decoded characters alone, so findings map back to the document and long texts with few codes cost
+little more than themselves.
 
 Percent codes, escapes and letter forms are decoded in place, with the text around them, so that a secret may lie
-partly in codes; base64 runs become layers of their own, read from each offset, in their readable stretches. Packed data are
-unpacked member by member and to the innermost, at most `unpack_limit` bytes at a time, in overlapping chunks.
+partly in codes; base64 runs, wrapped over lines or not, become layers of their own, read from each offset, in their
+readable stretches. Packed data (gzip, zlib, bzip2, xz) are unpacked member by member and to the innermost, at most
+`unpack_limit` bytes at a time, in overlapping chunks.
 
 Defined results: null counts as empty; spans count code points, end exclusive; a span found in several
 layers is one; repeated rows give repeated rows; an empty table gives an empty table.
@@ -17,11 +19,16 @@ layers is one; repeated rows give repeated rows; an empty table gives an empty t
 from __future__ import annotations
 
 import base64
+import bz2
+import codecs
 import hashlib
+import lzma
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -67,17 +74,54 @@ def ordered(spans) -> list[Span]:
 
 
 class Layer:
-    """A text and, for each of its characters, the span in the document that it came from."""
+    """A text that was found in another layer. locate: from a stretch (start, end) of it to the stretch of
+    the layer before; null: the document itself."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None):
-        self.text, self.spans = text, spans
+    def __init__(self, text: str, parent: Layer | None = None, locate: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.parent, self.locate = text, parent, locate
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Span in the document of the characters start .. end - 1."""
-        return (start, end) if self.spans is None else (self.spans[start][0], self.spans[end - 1][1])
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.locate(start, end)
+            layer = layer.parent
+        return start, end
+
+
+def constant(start: int, end: int) -> Callable:
+    return lambda *_: (start, end)
+
+
+def edited(layer: Layer, edits: Iterable[tuple[int, int, str]]) -> Layer | None:
+    """The layer with stretches (start, end, what stands for it: a character or none) replaced; rising."""
+    text, parts, done, size = layer.text, [], 0, 0
+    at, long, start, end = (array("q") for _ in range(4))
+    for a, b, out in edits:
+        if a > done:
+            parts.append(text[done:a])
+            size += a - done
+        at.append(size)
+        long.append(len(out))
+        start.append(a)
+        end.append(b)
+        parts.append(out)
+        size += len(out)
+        done = b
+    if not at:
+        return None
+    parts.append(text[done:])
+
+    def place(i: int) -> tuple[int, int]:
+        k = bisect_right(at, i) - 1
+        if k < 0:
+            return i, i + 1
+        if i < at[k] + long[k]:
+            return start[k], end[k]
+        p = end[k] + i - at[k] - long[k]
+        return p, p + 1
 
-    def origins(self, start: int, end: int) -> list[tuple[int, int]]:
-        return [(i, i + 1) for i in range(start, end)] if self.spans is None else self.spans[start:end]
+    return Layer("".join(parts), layer, lambda i, j: (place(i)[0], place(j - 1)[1]))
 
 
 #: Stretches without control characters and bytes that aren't UTF-8.
@@ -98,30 +142,53 @@ def readable(raw: bytes) -> list[tuple[int, str]]:
     return found
 
 
-def packed(raw: bytes) -> bool:
-    """Whether raw begins as gzip or zlib data do."""
-    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+class Inflater:
+    """zlib's object for gzip and zlib, with the interface of bz2's and lzma's."""
+
+    def __init__(self):
+        self.z, self.held = zlib.decompressobj(wbits=47), b""
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        out = self.z.decompress(self.held + data, most)
+        self.held = self.z.unconsumed_tail
+        self.full = len(out) == most
+        return out
+
+    eof = property(lambda self: self.z.eof)
+    unused_data = property(lambda self: self.z.unused_data)
+    needs_input = property(lambda self: not self.held and not self.full)
+
 
+def unpacker(raw) -> Callable | None:
+    """What unpacks data that begin so; null: nothing does."""
+    first = bytes(raw[:6])
+    if first[:2] == b"\x1f\x8b" or len(raw) > 2 and first[0] & 15 == 8 and (first[0] << 8 | first[1]) % 31 == 0:
+        return Inflater
+    return bz2.BZ2Decompressor if first[:3] == b"BZh" else lzma.LZMADecompressor if first == b"\xfd7zXZ\x00" else None
 
-def members(chunks: Iterable[bytes], size: int) -> Iterator[bytes]:
-    """What all gzip or zlib members of a stream hold, at most `size` bytes at a time."""
-    z = zlib.decompressobj(wbits=47)
+
+def members(chunks: Iterable[bytes], make: Callable, size: int) -> Iterator[bytes]:
+    """What all members of a packed stream hold, at most `size` bytes at a time."""
+    z = make()
     for data in chunks:
-        more = True
-        while data or more:
+        while True:
             try:
                 out = z.decompress(data, size)
-            except zlib.error:
+            except (zlib.error, OSError, lzma.LZMAError):
                 return
             if out:
                 yield out
-            data, more = z.unconsumed_tail, len(out) == size
+            data = b""
             if z.eof:
-                data, more, z = z.unused_data, False, zlib.decompressobj(wbits=47)
+                data, z = z.unused_data, make()
+                if not data:
+                    break
+            elif z.needs_input:
+                break
 
 
 def innermost(raw: bytes, size: int) -> Iterator[bytes]:
-    """Content of gzip or zlib data, unpacked until it isn't packed; a content met before ends it."""
+    """Content of packed data, unpacked until it isn't packed; a content met before ends it."""
     stream, seen = iter([raw]), set()
     while True:
         first = b""
@@ -129,32 +196,47 @@ def innermost(raw: bytes, size: int) -> Iterator[bytes]:
             first += chunk
             if len(first) > size:
                 break
-        key = hashlib.sha256(first).digest()
-        if not packed(first) or key in seen:
+        key, make = hashlib.sha256(first).digest(), unpacker(first)
+        if make is None or key in seen:
             return chain([first], stream)
         seen.add(key)
-        inner = members(chain([first], stream), size)
+        inner = members(chain([first], stream), make, size)
         if (begun := next(inner, None)) is None:  # text that only begins as packed data do
             return chain([first], stream)
         stream = chain([begun], inner)
 
 
+def opens(raw) -> bool:
+    """Whether data begin as packed data do and a first stretch of them unpacks."""
+    make = unpacker(raw)
+    if make is None:
+        return False
+    try:
+        make().decompress(bytes(raw[:512]), 64)
+    except (zlib.error, OSError, lzma.LZMAError):
+        return False
+    return True
+
+
 #: Bytes by which neighbouring chunks of unpacked data overlap.
 OVERLAP = 1 << 16
 
 
-def unpacked(raw: bytes, size: int) -> Iterator[str]:
-    """Readable stretches of what gzip or zlib data hold at the innermost, in overlapping chunks."""
+def unpacked(raw, size: int) -> Iterator[str]:
+    """Readable stretches of what packed data hold at the innermost, in overlapping chunks."""
+    if not opens(raw):
+        return
     held = b""
-    for chunk in innermost(raw, size):
+    for chunk in innermost(bytes(raw), size):
         held += chunk
         yield from (text for _, text in readable(held))
         held = held[-OVERLAP:]
 
 
 #: Where packed data may begin.
-HEADER = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]", re.S)
+HEADER = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00", re.S)
 WRITTEN = re.compile(r"[!-~]+")
+codecs.register_error("as-utf-8", lambda e: (e.object[e.start : e.end].encode("utf-8", "surrogatepass"), e.end))
 
 
 def from_codes(layer: Layer, pattern: re.Pattern, size: int) -> Iterator[Layer]:
@@ -163,40 +245,22 @@ def from_codes(layer: Layer, pattern: re.Pattern, size: int) -> Iterator[Layer]:
     for run in WRITTEN.finditer(layer.text):
         if not pattern.search(run[0]):
             continue
-        raw = b"".join(c.encode("latin-1") if c < "\u0100" else c.encode("utf-8", "surrogatepass") for c in pattern.sub(char, run[0]))
+        raw = memoryview(pattern.sub(char, run[0]).encode("latin-1", "as-utf-8"))
         for m in HEADER.finditer(raw):
             for text in unpacked(raw[m.start() :], size):
-                yield Layer(text, [layer.origin(*run.span())] * len(text))
+                yield Layer(text, layer, constant(*run.span()))
 
 
-def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with matches decoded in place; decode gives (characters, spans) or None to leave one."""
-    out, spans, at = [], [], 0
-    for m in pattern.finditer(layer.text):
-        if (got := decode(m)) is None:
-            continue
-        out += (layer.text[at : m.start()], got[0])
-        spans += layer.origins(at, m.start()) + got[1]
-        at = m.end()
-    if not out:
-        return None
-    return Layer("".join(out) + layer.text[at:], spans + layer.origins(at, len(layer.text)))
-
-
-def from_percent(layer: Layer):
-    def decode(m):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        chars, spans, at = [], [], m.start()
-        for c in raw.decode("utf-8", "surrogateescape"):
-            size = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-            coded = "\udc80" <= c <= "\udcff"  # not UTF-8: stays as it is written
-            chars.append(layer.text[at : at + 3] if coded else c)
-            spans += layer.origins(at, at + 3) if coded else [layer.origin(at, at + 3 * size)]
-            at += 3 * size
-        out = "".join(chars)
-        return None if out == m[0] else (out, spans)
-
-    return decode
+def percent_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Coded characters; bytes that aren't UTF-8 stay as they are written."""
+    for m in PERCENT.finditer(text):
+        at = m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            coded = not "\udc80" <= c <= "\udcff"
+            size = 3 * len(c.encode()) if coded else 3
+            if coded:
+                yield at, at + size, c
+            at += size
 
 
 def code_of(m: re.Match) -> int:
@@ -205,32 +269,44 @@ def code_of(m: re.Match) -> int:
     return code if code <= 0x10FFFF else 0xFFFD
 
 
-def from_escape(layer: Layer):
-    def decode(m):
+def escape_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in ESCAPE.finditer(text):
         code = int(next(g for g in m.groups() if g), 10 if m[6] else 16)
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
-        return chr(code), [layer.origin(*m.span())]
+        if code <= 0x10FFFF and not 0xD800 <= code < 0xE000:
+            yield m.start(), m.end(), chr(code)
 
-    return decode
 
-
-def from_forms(layer: Layer):
-    def decode(m):
-        chars, spans = [], []
+def form_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in FORMS.finditer(text):
         for i, c in enumerate(m[0], m.start()):
-            plain = "" if INVISIBLE.match(c) else unicodedata.normalize("NFKC", c)
-            chars.append(plain)
-            spans += [layer.origin(i, i + 1)] * len(plain)
-        return "".join(chars), spans
-
-    return decode
+            yield i, i + 1, "" if INVISIBLE.match(c) else unicodedata.normalize("NFKC", c)
 
 
 #: Separators that are letters of base64, too: what follows one may be a run of its own.
 JOINED = re.compile(r"[/_-]")
 
 
+#: A base64 run over several lines, and what parts them.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*")
+
+
+def unwrapped(layer: Layer) -> Iterator[Layer]:
+    """Wrapped runs on one line: lines of one length (the first may begin within its line), and the
+    shorter one that ends them."""
+    for m in WRAPPED.finditer(layer.text):
+        ends = [*LINE_END.finditer(m[0])]
+        long = [b - a for a, b in zip([0, *(x.end() for x in ends)], [*(x.start() for x in ends), len(m[0].rstrip("="))], strict=True)]
+        width = max(long[0], long[1])
+        last = next((i for i, n in enumerate(long) if i and n != width), len(long))
+        if last < len(long) and long[last] < width:
+            last += 1
+        text = m[0] if last == len(long) else m[0][: ends[last - 1].start()]
+        run = Layer(text, layer, lambda i, j, at=m.start(): (at + i, at + j))
+        if (joined := edited(run, ((x.start(), x.end(), "") for x in ends[: last - 1]))) is not None:
+            yield joined
+
+
 def from_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
     """Contents of a base64 run, read from each of the four offsets and after each separator: readable
     stretches, or what unpacks to text. Offsets alike modulo 4 read the same, so four cover all starts of
@@ -240,37 +316,39 @@ def from_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
         part = body[offset:]
         part = part[: len(part) - (len(part) % 4 == 1)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        start = m.start() + offset
         for first, text in readable(raw):
-            spans, at = [], first
-            for c in text:
-                size = len(c.encode())
-                spans.append(layer.origin(start + at * 4 // 3, start + -(-(at + size) * 4 // 3)))
-                at += size
-            yield Layer(text, spans)
+
+            def locate(i: int, j: int, start=m.start() + offset, first=first, text=text):
+                a, b = (i, j) if text.isascii() else (len(text[:i].encode()), len(text[:j].encode()))
+                return start + (first + a) * 4 // 3, start + -(-(first + b) * 4 // 3)
+
+            yield Layer(text, layer, locate)
     for begin in dict.fromkeys([0, 1, 2, 3, *(x.end() for x in JOINED.finditer(m[0]))]):
         part = body[begin:]
         part = part[: len(part) - (len(part) % 4 == 1)]
-        # a cheap look at the first two bytes, before the rest is decoded
-        if len(part) < 4 or not packed(base64.b64decode(part[:4])):
+        # a cheap look at the first bytes, before the rest is decoded
+        if len(part) < 8 or unpacker(base64.b64decode(part[:8])) is None:
             continue
         for text in unpacked(base64.b64decode(part + "=" * (-len(part) % 4)), limit):
-            yield Layer(text, [layer.origin(m.start() + begin, m.end())] * len(text))
+            yield Layer(text, layer, constant(m.start() + begin, m.end()))
 
 
-def layers(layer: Layer, limit: int) -> Iterator[Layer]:
+def layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
     """The layers found in one, made as they are asked for."""
     text = layer.text
     if "%" in text:
-        yield replaced(layer, PERCENT, from_percent(layer))
+        yield edited(layer, percent_edits(text))
         yield from from_codes(layer, PERCENT_CODE, limit)
     if "\\" in text or "&#" in text:
-        yield replaced(layer, ESCAPE, from_escape(layer))
+        yield edited(layer, escape_edits(text))
         yield from from_codes(layer, ESCAPE, limit)
     if not text.isascii() and FORMS.search(text):
-        yield replaced(layer, FORMS, from_forms(layer))
+        yield edited(layer, form_edits(text))
     for m in BASE64.finditer(text):
         yield from from_base64(layer, m, limit)
+    for joined in unwrapped(layer):
+        for m in BASE64.finditer(joined.text):
+            yield from from_base64(joined, m, limit)
 
 
 def findings(text: str, unpack_limit: int = UNPACK_LIMIT) -> tuple[list[Span], list[Span]]:
