@@ -1,12 +1,12 @@
 """Mixing sources to target weights.
 
-Documents get a hash-random key; (source, key) is range-sorted over the cluster; sums of each range
+Documents get a hash-random key of doc_id and text; (source, key) is range-sorted over the cluster; sums of each range
 partition, added up in order, tell which partition holds a source's cut; only its rows are added up
 one by one. A source whose budget exceeds its size is repeated whole, then cut at the rest.
 
 Defined results: a null or wordless text has size 0 and gives nothing; sources go by code point, null
-last, as sources of their own; rows that agree in source, key and size are indistinguishable and share
-what falls on them in equal whole words; an empty table gives an empty table; other columns are kept.
+last, as sources of their own; rows that agree in source, doc_id and text are interchangeable: of those
+at the cut, as many as the budget holds are taken, one of them in part; an empty table gives an empty table; other columns are kept.
 """
 
 from __future__ import annotations
@@ -45,14 +45,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     """+ __source (sorts by code point, null last), __key (hash-random), __size."""
     return docs.withColumns({
         "__source": F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b")),
-        "__key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+        "__key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit(""))))),
         "__size": n_words(F.col("text")),
     })
 
 
 def cuts(docs: DataFrame) -> DataFrame:
     """A row for each source: source_size, target, whole passes, and the key and size at which the
-    last pass ends, with the words that each document just there still gives."""
+    last pass ends, with the words that the documents just there still give and their number (__ties)."""
     narrow = materialize(keyed(docs.select("doc_id", "source", "text")).select("__source", "__key", "__size"), "mix-sizes")
     ranged = narrow.repartitionByRange(partitions(docs.sparkSession), "__source", "__key").withColumn("__part", F.spark_partition_id())
     ranged = materialize(ranged, "mix-ranged")
@@ -68,30 +68,49 @@ def cuts(docs: DataFrame) -> DataFrame:
     inner = Window.partitionBy("__source").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, -1)
     ties = ties.withColumn("__before", F.col("__start") + F.coalesce(F.sum(F.col("__size") * F.col("__ties")).over(inner), F.lit(0)))
     at = ties.where("__before < __rest and __rest <= __before + __size * __ties")
-    at = at.select("__source", F.col("__key").alias("__cut_key"), F.col("__size").alias("__cut_size"), F.floor((F.col("__rest") - F.col("__before")) / F.col("__ties")).cast("long").alias("__give"))
+    at = at.select("__source", F.col("__key").alias("__cut_key"), F.col("__size").alias("__cut_size"), (F.col("__rest") - F.col("__before")).alias("__give"), "__ties")
     return materialize(targets.join(at, "__source", "left"), "mix-cuts")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows + __nth, each one's number among those of its __source, from 0; rows are written, and numbered
+    by the counts of their parts, so that no task gets them all."""
+    rows = materialize(rows.withColumn("__id", F.monotonically_increasing_id()), "mix-ties")
+    part = F.shiftright("__id", 33)
+    first = rows.groupBy("__source", part.alias("__of")).agg(F.count("*").alias("__c"), F.min("__id").alias("__first"))
+    # a part may hold several sources: its rows of one are numbered by a window over that part alone
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy("__source").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.select(F.col("__source").alias("__s"), F.col("__of").alias("__p"), before.alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__source", part).orderBy("__id")) - 1
+    out = rows.withColumn("__in", inside).join(first, (F.col("__source") == F.col("__s")) & (part == F.col("__p")))
+    return out.withColumn("__nth", F.col("__start") + F.col("__in")).drop("__id", "__in", "__s", "__p", "__start")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """docs + size, source_size, target, taken (words that the mix takes of the document) and the
     helpers __passes and __last (whole passes; words of the last, partial one)."""
     before = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.col("__size") < F.col("__cut_size")))
-    at = (F.col("__key") == F.col("__cut_key")) & (F.col("__size") == F.col("__cut_size"))
-    last = F.when(before, F.col("__size")).when(at, F.col("__give")).otherwise(F.lit(0)).cast("long")
+    at = F.coalesce((F.col("__key") == F.col("__cut_key")) & (F.col("__size") == F.col("__cut_size")), F.lit(False))
+    last = F.when(at, F.least(F.col("__size"), F.greatest(F.lit(0), F.col("__give") - F.col("__nth") * F.col("__size")))).when(before, F.col("__size")).otherwise(F.lit(0)).cast("long")
     plan = cuts(docs)
     clash = [c for c in ("size", "source_size", "target", "taken") if c in docs.columns]
-    out = keyed(docs.drop(*clash)).join(plan, "__source").withColumn("__last", last)
-    return out.withColumn("taken", F.col("__size") * F.col("__passes") + F.col("__last")).withColumnRenamed("__size", "size").drop("__source", "__key", "__cut_key", "__cut_size", "__give", "__rest")
+    out = keyed(docs.drop(*clash)).join(plan, "__source")
+    if (plan.agg(F.max("__ties")).first()[0] or 1) > 1:  # rows alike to be told apart
+        out = out.where(~at).withColumn("__nth", F.lit(0).cast("long")).unionByName(numbered(out.where(at)))
+    else:
+        out = out.withColumn("__nth", F.lit(0).cast("long"))
+    out = out.withColumn("__last", last)
+    return out.withColumn("taken", F.col("__size") * F.col("__passes") + F.col("__last")).withColumnRenamed("__size", "size").drop("__source", "__key", "__cut_key", "__cut_size", "__give", "__rest", "__ties", "__nth")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of docs: a document once for each whole pass, and its first
-    words once more where the last pass ends in it; n_chars follows the text."""
+    """The mix itself, with the columns of docs: a document once for each whole pass, and its text up to
+    the end of the last word taken once more where the last pass ends in it; n_chars follows the text."""
     mine = docs.columns
     out = mix(docs.withColumns({f"__own_{c}": F.col(c) for c in mine if c in ("size", "source_size", "target", "taken")}))
     copies = F.col("__passes") + F.when(F.col("__last") > 0, 1).otherwise(0)
     out = out.where(F.col("taken") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    part = F.when((F.col("__copy") > F.col("__passes")) & (F.col("__last") < F.col("size")), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__last").cast("int")), " "))
+    part = F.when((F.col("__copy") > F.col("__passes")) & (F.col("__last") < F.col("size")), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("__last").cast("int")), ""))
     out = out.withColumn("__text", F.coalesce(part, F.col("text")))
     named = {c: F.col(f"__own_{c}" if f"__own_{c}" in out.columns else c) for c in mine} | {"text": F.col("__text")}
     if "n_chars" in mine:
@@ -105,7 +124,7 @@ def query(spark, sf_dir):
 
 
 SQL = r"""
-with d as (select doc_id, coalesce('a' || source, 'b') s, md5(coalesce(cast(doc_id as varchar), '')) k,
+with d as (select doc_id, coalesce('a' || source, 'b') s, md5(coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) k,
                   cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size from documents),
 z as (select s, cast(sum(size) as bigint) source_size from d group by s),
 w as (select *, cast((row_number() over (order by s) - 1) % 3 + 1 as double) w, cast(source_size * 3 as double) cap, row_number() over (order by s) n from z),

@@ -62,11 +62,11 @@ def cells(docs: DataFrame, column: str, out: str) -> DataFrame:
     return counts.select(F.col(column).alias(f"__{column}"), F.floor(below * (1 << BITS) / total).cast("int").alias(out))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, lang, source, curve: every document's
-    place. docs: doc_id, text, lang, source."""
+def placed(docs: DataFrame, shards: int, carried: list[str]) -> DataFrame:
+    """hilbert_shards() with the columns `carried` of docs, as structs in __row; they move once, in the range sort."""
     text = whole(F.col("text"))
-    rows = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    extra = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("__row")] if carried else []
+    rows = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), *extra)
     rows = materialize(rows, "shard-rows")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     top = (1 << BITS) - 1
@@ -76,6 +76,9 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.withColumns({"__a2": F.least(F.floor(F.log2("size")), F.lit(top)), "__a3": F.greatest(F.lit(0), F.least(at, F.lit(top)))}).drop("__source", "__lang")
     rows = hilbert(rows, ["__a0", "__a1", "__a2", "__a3"], "curve")
     order = ["curve", "doc_id", "text_crc32", "size"]
+    # rows alike in all of these may be many; any order among them will do, so a random number parts them
+    order.append("__any")
+    rows = rows.withColumn("__any", F.rand(5))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     rows = materialize(rows, "shard-sorted").withColumn("__part", F.shiftright("__at", 33))
     counts = rows.groupBy("__part").agg(F.count("*").alias("__c"))
@@ -85,12 +88,22 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.join(F.broadcast(counts), "__part")  # a row for each range partition
     rows = rows.withColumn("__rank", rank).withColumn("shard", F.expr(f"(__rank * {shards}) div __total").cast("int"))
     slot = F.col("__rank") - F.expr(f"(cast(shard as bigint) * __total + {shards - 1}) div {shards}")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source", "curve")
+    return rows.select(*(["__row"] if carried else []), "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source", "curve")
+
+
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, lang, source, curve: every document's
+    place. docs: doc_id, text, lang, source."""
+    return placed(docs, shards, [])
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes documents (unique doc_id) into one folder for each shard, in curve order."""
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Writes the documents with all their columns (one named shard or slot gives way) into a folder for
+    each shard. The range sort's partitions are runs of the curve, so each is a file or two, in curve
+    order, of narrow ranges in every dimension; a shard of any size is written by many tasks."""
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = placed(docs, shards, columns)
+    rows.select(*(F.col(f"__row.`{c}`").alias(c) for c in columns), "slot", "shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir):
