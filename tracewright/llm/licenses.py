@@ -170,9 +170,9 @@ class Classifier:
         self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         rows = lots[1]
         truth = np.array([c for _, c in rows])
-        top, wrong = self.named(self.scores([w for w, _ in rows]), truth)
-        #: Least probability at which at most one prediction in a hundred is wrong, on templates not fitted.
-        self.least = next((t for t in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95) if (top >= t).any() and wrong[top >= t].mean() <= 0.01), 0.95)
+        top = self.named(self.scores([w for w, _ in rows]), truth)[0][truth == len(self.families) - 1]
+        #: Least probability at which at most one in a hundred of the strangers not fitted gets a family.
+        self.least = next((t for t in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95) if (top >= t).mean() <= 0.01), 0.95)
         #: On kept variants of fitted templates: share of named families that are right.
         rows = lots[0][::5]
         truth = np.array([c for _, c in rows])
