@@ -6,15 +6,17 @@
    recall). Classes that share a band hash are candidates: each is tied to the bucket's first class, so
    a bucket of m gives m - 1 rows, not m squared. Components of these ties hold every candidate pair.
 3. Candidates are verified on full shingle sets, as products of sparse incidence blocks of BLOCK classes
-   at most. A component of one block is verified whole. In a larger one (templates, chains of slightly
-   like texts) first the ties are verified, and only those that hold unite: what they unite is verified
-   whole, as pairs of blocks; pairs of different such parts are verified bucket by bucket, each in the
+   at most. A component of one block is verified whole, and so is a larger one, as pairs of blocks, whose
+   buckets together hold as many pairs as it has (near copies of one text share most buckets). In a
+   larger one with fewer (chains of slightly like texts) first the ties are verified, and only those that hold unite: what they unite is verified
+   whole; pairs of different such parts are verified bucket by bucket, each in the
    least bucket that it shares. A task's memory is bounded, and tasks return counts of links and a
    spanning forest of them, never the pairs.
 4. Components of the links are the groups of near duplicates.
 
 So the work is that of the candidate pairs: a chain of slightly like texts costs its length, while m texts
-that all share a bucket cost m squared comparisons, in bounded blocks.
+that all share a bucket cost m squared comparisons, in bounded blocks, and each text is sent once for
+each block.
 
 Words are lower-cased runs without white space; a text of fewer than five words is one shingle of all
 it has. A group's name (`class_id`) is the md5 of its first text (by least doc_id, null last, then md5), so that
@@ -287,10 +289,23 @@ def checked(units: DataFrame, texts: DataFrame, docs: DataFrame, name: str) -> D
 
 
 def large_units(texts: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame:
-    """Units of the components of over BLOCK classes; large: (nid, root)."""
-    keys = materialize(texts.join(large.select("nid"), "nid").select("nid", F.explode("bands").alias("unit")), "join-keys")
-    buckets = keys.groupBy("unit").agg(F.min("nid").alias("first"), F.count("*").alias("__c")).where("__c > 1").drop("__c")
-    keys = materialize(keys.join(buckets, "unit"), "join-buckets")
+    """Units of the components of over BLOCK classes; large: (nid, root, __c), __c classes in all."""
+    keys = materialize(texts.join(large, "nid").select("nid", "root", "__c", F.explode("bands").alias("unit")), "join-keys")
+    buckets = keys.groupBy("unit").agg(F.min("nid").alias("first"), F.count("*").alias("__m"), F.min("root").alias("root"), F.min("__c").alias("__c")).where("__m > 1")
+    buckets = materialize(buckets, "join-buckets")
+    crowded = buckets.groupBy("root").agg(F.sum(F.col("__m").cast("double") * F.col("__m")).alias("__pairs"), F.min("__c").alias("__c")).where("__pairs >= cast(__c as double) * __c").select("root")
+    crowded = materialize(crowded, "join-crowded")
+    entire = large.join(crowded, "root").select(F.lit(WHOLE).alias("kind"), F.col("root").alias("unit"), "nid", F.col("root").alias("part"), F.lit(None).cast("array<bigint>").alias("keys"))
+    units = block_pairs(blocks_of(entire, ["unit"]))
+    sparse = materialize(large.join(crowded, "root", "left_anti"), "join-sparse")
+    if not sparse.limit(1).count():
+        return units
+    return units.unionByName(sparse_units(texts, sparse, docs, keys.join(buckets.select("unit", "first"), "unit").join(crowded, "root", "left_anti").select("unit", "nid", "first")))
+
+
+def sparse_units(texts: DataFrame, large: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Units of components whose buckets hold fewer pairs than they have; keys: (unit, nid, first of the unit)."""
+    keys = materialize(keys, "join-sparse-keys")
     none = F.lit(None).cast("array<bigint>")
     # ties: the first against its bucket mates, a block of them at a time
     ties = keys.where("nid <> first").select("nid", F.col("first").alias("unit")).distinct()
@@ -323,7 +338,7 @@ def joined_classes(docs: DataFrame) -> DataFrame:
     sizes = tied.groupBy("root").agg(F.count("*").alias("__c"))
     sized = materialize(tied.join(sizes, "root"), "join-sized")
     small = sized.where(F.col("__c") <= BLOCK).select(F.lit(WHOLE).alias("kind"), F.col("root").alias("unit"), F.lit(0).alias("bi"), F.lit(0).alias("bj"), "nid", F.lit(0).alias("block"), F.col("root").alias("part"), F.lit(None).cast("array<bigint>").alias("keys"))
-    large = sized.where(F.col("__c") > BLOCK).select("nid", "root")
+    large = sized.where(F.col("__c") > BLOCK).select("nid", "root", "__c")
     units = small
     if large.limit(1).count():
         units = small.unionByName(large_units(texts, materialize(large, "join-large"), docs))
