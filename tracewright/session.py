@@ -28,8 +28,15 @@ def session(app: str = "tracewright", master: str | None = None, **settings: str
     return builder.getOrCreate()
 
 
+#: Rows and bytes that a Python function gets at a time: texts may be long, and workers share a machine.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each context: Python functions run there."""
+    """Sends the package to the executors, once for each context, as Python functions run there, and
+    bounds the batches that they get."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_tracewright_shipped", False):
         return
