@@ -31,7 +31,7 @@ from .common import over_texts, table
 #: The split of byte-level tokenizers of this kind (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_ASCII = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 SPEC = "doc_id long, n_tokens long, ids binary, decoded string"
 
 

@@ -139,7 +139,7 @@ def sigmoid(x):
 
 
 #: Texts that a function gets at a time; bounds what a worker holds.
-SLICE = 1000
+SLICE = 500
 
 
 def over_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], spec: str, text: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Target recall of a pair at exactly SIMILAR, and most hash functions that may be spent on it.
 RECALL, HASHES = 0.9998, 400
 BLOCK = 512
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
 
 def bands_and_rows(similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
