@@ -31,8 +31,11 @@ from .common import Rows, descend, labelled_texts, over_texts, sigmoid, table
 #: Most labelled documents that the fit collects.
 TRAINING = 12_000
 THRESHOLD = 0.3
-#: Standard errors from which a feature counts as telling.
-TELLING = 3.0
+#: Standard errors from which a feature counts as telling, and its least log odds ratio: words of the
+#: language that most toxic texts are in, or of long texts, lift the odds a little.
+TELLING, LIFT = 3.0, 1.0
+#: Telling features whose weight is below this share of the largest are dropped, and the rest fitted again.
+LEAST = 0.1
 #: Lengths of the beginnings of words that count as features.
 STEMS = (4, 5, 6)
 REMEMBERED = 300_000
@@ -372,11 +375,11 @@ def counted(sample: DataFrame, counts) -> DataFrame:
 
 def telling(features: DataFrame, toxic: int, other: int) -> DataFrame:
     """Features whose share among toxic texts differs from that among the others by TELLING standard
-    errors of the log odds ratio or more, and that occur in three texts at least."""
+    errors of the log odds ratio and by LIFT or more, and that occur in three texts at least."""
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     c, d = F.lit(toxic) - F.col("a") + 0.5, F.lit(other) - F.col("b") + 0.5
     odds, error = F.log(a / c) - F.log(b / d), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return features.where((F.abs(odds) >= TELLING * error) & (F.col("a") + F.col("b") >= 3)).select("feature")
+    return features.where((F.abs(odds) >= F.greatest(F.lit(LIFT), TELLING * error)) & (F.col("a") + F.col("b") >= 3)).select("feature")
 
 
 def fit(sample: DataFrame, counts, steps: int = 400, penalty: float = 2e-4) -> dict[str, float]:
@@ -397,16 +400,22 @@ def fit(sample: DataFrame, counts, steps: int = 400, penalty: float = 2e-4) -> d
 
     rows = sample.mapInArrow(work, "key string, label long, found array<int>").toPandas().sort_values("key", kind="stable")
     labels = (rows["label"].to_numpy() > 0).astype(np.float64)
-    x = Rows([(c, np.ones(len(c))) for c in (np.concatenate([[0], f]).astype(np.int64) for f in rows["found"])], len(names) + 1)
-    shrunk = np.full(len(names) + 1, penalty)
-    shrunk[0] = 0
-
-    def gradient(v):
-        return x.back(sigmoid(x.times(v)) - labels) / len(labels) + shrunk * v
-
-    start = np.zeros(len(names) + 1)
-    start[0] = math.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))
-    return dict(zip(["", *names], descend(gradient, start, steps, 0.05).tolist(), strict=True))
+    found = [np.asarray(f, np.int64) for f in rows["found"]]
+
+    def fitted(kept: np.ndarray) -> np.ndarray:
+        """The bias, and the weights of the features of these numbers, which count from 1."""
+        column = np.zeros(len(names) + 1, np.int64)
+        column[kept] = np.arange(1, len(kept) + 1)
+        x = Rows([(c, np.ones(len(c))) for c in (np.concatenate([[0], column[f][column[f] > 0]]) for f in found)], len(kept) + 1)
+        shrunk = np.full(len(kept) + 1, penalty)
+        shrunk[0] = 0
+        start = np.zeros(len(kept) + 1)
+        start[0] = math.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))
+        return descend(lambda v: x.back(sigmoid(x.times(v)) - labels) / len(labels) + shrunk * v, start, steps, 0.05)
+
+    size = np.abs(fitted(np.arange(1, len(names) + 1))[1:])
+    kept = np.flatnonzero(size >= LEAST * size.max(initial=0.0)) + 1
+    return dict(zip(["", *(names[k - 1] for k in kept)], fitted(kept).tolist(), strict=True))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
