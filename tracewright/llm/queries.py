@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hnsw, licenses, mixing, ngram_join, ordinal, quality_rules, secrets, sharding, toxicity
+from . import bpe, hnsw, licenses, mixing, ngram_join, ordinal, quality_rules, secrets, sharding, telephony, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_hilbert_shards": sharding.query,
         "op9_ordinal_quality": ordinal.query,
         "op10_quality_rules": quality_rules.query,
+        "op13_telephony": telephony.query,
     }
 
 
