@@ -1,14 +1,17 @@
 """Divergence of sources and compression of vectors against brute force and their SQL."""
 
+import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewright.llm import divergence
+from tracewright.llm import divergence, heap_lloyd
 
 
 def terms(text):
@@ -100,3 +103,89 @@ def test_terms_are_cut_between(monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 2)
     text = "ab cdé  ÉA1日本語 x".encode()
     assert [t for part in divergence.pieces(text) for t in divergence.TERM.findall(part.lower())] == [t.encode() for t in terms(text.decode())]
+
+
+def lloyd(vectors, rounds=heap_lloyd.ROUNDS):
+    """(id, label, code, error) by measuring every part against every entry in every round."""
+    vectors = sorted(vectors, key=lambda v: (v[0] is None, v[0] or 0, v[2]))
+    x = [[math.floor(int(c) * 1024 if abs(c) > 2**60 else c * 1024) for c in v[2]] for v in vectors]
+    size = len(x[0])
+    at = [i * size // 4 for i in range(5)]
+    books = [[v[at[p] : at[p + 1]] for v in x[:256]] for p in range(4)]
+    apart = lambda a, b: sum((i - j) ** 2 for i, j in zip(a, b, strict=True))
+    for step in range(rounds + 1):
+        near = [[min((apart(v[at[p] : at[p + 1]], e), k) for k, e in enumerate(books[p])) for v in x] for p in range(4)]
+        if step == rounds:
+            break
+        for p in range(4):
+            for k in range(len(books[p])):
+                mine = [v[at[p] : at[p + 1]] for v, (_, e) in zip(x, near[p], strict=True) if e == k]
+                if mine:
+                    books[p][k] = [sum(c) // len(mine) for c in zip(*mine, strict=True)]
+    digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    return sorted((str(v[0]), str(v[1]), "".join(f"{near[p][i][1]:02x}" for p in range(4)), sum(near[p][i][0] for p in range(4))) for i, v in enumerate(vectors)), digest
+
+
+VECTORS = "vec_id long, label int, embedding array<double>, code string, error int"
+
+
+def vector_table(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], VECTORS)
+
+
+def vectors(n, size, seed, spread=0.3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(7, size))
+    rows = [(int(i) * 3, int(rng.integers(0, 4)), (centres[rng.integers(0, 7)] + spread * rng.normal(size=size)).tolist()) for i in range(n)]
+    return rows + [(5, None, rows[3][2]), (5, 1, rows[4][2]), (None, 2, rows[0][2]), (2, 2, rows[9][2]), (1, 2, rows[9][2])]
+
+
+@pytest.mark.parametrize(("rows", "size"), [(vectors(700, 16, 1), 16), (vectors(40, 10, 2), 10), (vectors(330, 8, 3, 0.0), 8), ([(1, 1, [0.5] * 4), (1, 1, [0.5] * 4)], 4)])
+def test_heap_lloyd_is_lloyd(spark, rows, size):
+    odd = [(900, 1, None), (901, 1, []), (902, 1, [float("nan")] * size), (903, 1, [None] * size), (904, 1, [1.0] * (size + 1)), (905, 2, [float("inf")] * size)]
+    d = vector_table(spark, rows + odd).repartition(3)
+    out, books = heap_lloyd.compressed(d)
+    want, digest = lloyd(rows)
+    assert sorted((str(r["vec_id"]), str(r["label"]), r["code"], r["error"]) for r in out.collect()) == want
+    assert books.digest() == digest
+
+
+def test_heap_lloyd_of_numbers_of_any_size(spark):
+    rows = vectors(60, 8, 4)
+    rows = [(i, k, [c * s for c in v]) for (i, k, v), s in zip(rows, [1.0, 1e3, 1e9, 1e14] * 20, strict=False)]
+    rows += [(7, 1, [1e300] * 8), (8, 1, [-1.7e308] + [0.0] * 7), (9, 1, [-1e-9] * 8)]
+    out, books = heap_lloyd.compressed(vector_table(spark, rows))
+    want, digest = lloyd(rows)
+    assert sorted((str(r["vec_id"]), str(r["label"]), r["code"], r["error"]) for r in out.collect()) == [(*w[:3], w[3] if w[3] < 2**63 else None) for w in want]
+    assert books.digest() == digest
+
+
+def test_heaps_rescan_few():
+    rows = np.array([v[2] for v in vectors(3000, 16, 5, 0.05)], np.float64)
+    x = heap_lloyd.whole_numbers(rows)
+    books = heap_lloyd.Books(x[:64])
+    block = heap_lloyd.Block(x, books.arrays())
+    changes, scanned = block.settle(books.arrays(), books.drift, fresh=True), []
+    for _ in range(12):
+        books.move({(int(at), i): v for at, numbers in changes.items() for i, v in enumerate(numbers)})
+        before, flat = block.rescanned, block.flat()
+        assert sum(np.frombuffer(flat["sizes"], np.int16)) == 4 * len(x)
+        again = heap_lloyd.Block(x, books.arrays()).load(flat["keys"], flat["members"], flat["sizes"])
+        changes = block.settle(books.arrays(), books.drift)
+        assert again.settle(books.arrays(), books.drift) == changes
+        scanned.append(block.rescanned - before)
+        for p, book in enumerate(books.arrays()):
+            assert np.array_equal(block.assigned(p), heap_lloyd.scan(block.part(p), book)[0])
+    assert scanned[-1] < 0.5 * 4 * len(x)
+
+
+def test_heap_lloyd_query_and_sql(spark, tmp_path):
+    rows = vectors(300, 8, 6)
+    vector_table(spark, rows + [(3, 1, None)]).drop("code", "error").write.parquet(str(tmp_path / "embeddings.parquet"))
+    columns = "vec_id, code, error, label_error, codebooks_sha256"
+    got = [tuple(r) for r in heap_lloyd.query(spark, str(tmp_path)).select(*columns.split(", ")).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(con.sql(f"select {columns} from ({heap_lloyd.SQL})").fetchall(), key=str)
+    spark.createDataFrame([], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "none/embeddings.parquet"))
+    assert heap_lloyd.query(spark, str(tmp_path / "none")).count() == 0

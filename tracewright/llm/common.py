@@ -44,6 +44,15 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize gave, once nothing reads it again."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """A written table of few numbers a row, to be broadcast if it has at most so many rows; else the
     join shuffles, and AQE splits what is skewed."""
