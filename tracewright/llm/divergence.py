@@ -35,7 +35,7 @@ from .common import if_small, materialize, table, whole
 
 LEAST, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Kept terms and sources of a block: a task of postings holds their product twice at most.
-TERMS, SOURCES = 2048, 64
+TERMS, SOURCES = 256, 64
 #: Counts that a worker holds before it hands them on, and bytes of a text that it cuts into terms at a time.
 HELD, PIECE = 200_000, 1 << 20
 #: A term in UTF-8, after A-Z have become small: bytes from 0x80 belong to other characters.
