@@ -1,23 +1,108 @@
 """Ranking, fusion, metrics, embeddings, narratives, reports, metadata tables."""
 
 import math
+import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import text, vectors
-from tracewright.operators import embedding, evaluation, relational, report, retrieval
+from tracewright.operators import cells, embedding, evaluation, inverted, relational, report, retrieval
 
 
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "red apple red"), (2, "green apple"), (3, "")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "red red")], "query_id long, query string")
-    got = retrieval.bm25(docs, q, 5).collect()
+    got = retrieval.bm25(inverted.build(docs), q, 5).collect()
     idf = math.log(1 + (2 - 1 + 0.5) / 1.5)
     assert [(r["doc_id"], r["rank"]) for r in got] == [(1, 1)]
     assert got[0]["score"] == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2.5)), abs=1e-6)
 
 
+def full_bm25(docs, queries, k):
+    words = {i: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w] for i, t in docs}
+    sizes = [len(w) for w in words.values() if w]
+    mean, n, df = sum(sizes) / len(sizes), len(sizes), Counter(w for ws in words.values() for w in set(ws))
+    out = []
+    for number, q in queries:
+        scores = {}
+        for i, ws in words.items():
+            count = Counter(ws)
+            hit = [w for w in set(re.split(r"\W+", q.lower())) if count[w]]
+            if hit:
+                scores[i] = round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * count[w] * 2.2 / (count[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in hit), 6)
+        out += [(number, rank, i, scores[i]) for rank, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "shard"), [(128, 1 << 16), (4, 60)])
+def test_bm25_leaves_out_blocks_and_stays_whole(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(inverted, "BLOCK", block)
+    monkeypatch.setattr(inverted, "SHARD", shard)
+    rng = random.Random(block)
+    rows = [(i, " ".join(["the"] * rng.randint(1, 6) + rng.choices(["a", "b", "c", "rare", *"defghijk"], [9, 7, 5, 0.3, *[1] * 8], k=rng.randint(1, 30)))) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, "the the the rare rare"), (903, "the the the rare rare")]
+    queries = [(1, "the rare"), (2, "the a b"), (3, "none"), (4, "the"), (5, "rare rare the c")]
+    index = inverted.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in retrieval.bm25(index, q, 5).collect()) == full_bm25(rows, queries, 5)
+    terms = inverted.asked(index, q)
+    read, all_of = inverted.met(index, terms, 5), index.blocks.join(terms, "term")
+    if block == 4:
+        assert read.count() < 0.9 * all_of.count()
+        assert read.where("query_id = 4").count() < 0.3 * all_of.where("query_id = 4").count()
+        assert index.blocks.where("term = 'the'").select("shard").distinct().count() > 1
+        assert index.blocks.selectExpr("max(size(postings)) m").first()["m"] <= 4
+
+
+def test_terms_keep_their_marks(spark):
+    got = spark.range(1).select(text.analyzed(F.lit("हिन्दी भाषा, cafe\u0301 don-t")).alias("t")).first()["t"]
+    assert got == ["हिन्दी", "भाषा", "cafe\u0301", "don", "t"]
+
+
+def clustered(n, d, seed, centres=12, spread=0.25):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, d))
+    return [(i, (c[0 if i % 3 == 0 else rng.integers(centres)] + spread * rng.normal(size=d)).tolist()) for i in range(n)]
+
+
+def test_cells(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 50)
+    monkeypatch.setattr(cells, "ASKED", 7)
+    rows = clustered(900, 8, 2)
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [float("nan")] * 8), (1004, [1.0] * 9), (1005, [None] * 8)]
+    v = spark.createDataFrame(rows + odd, "doc_id long, embedding array<float>")
+    q = v.where("doc_id % 30 = 0 or doc_id in (1002, 1004)").withColumnRenamed("doc_id", "query_id")
+    index = cells.build(v, 30)
+    assert index.blocks.selectExpr("sum(size(ids)) n").first()["n"] == 900
+    assert index.blocks.selectExpr("max(size(ids)) n").first()["n"] < 150  # a third of all is in one cluster
+    exact = {(r["query_id"], r["doc_id"], r["score"]) for r in retrieval.vector_topk(v.where("doc_id < 1000"), q.where("query_id < 1000"), 10, 0.2).collect()}
+    assert {(r["query_id"], r["doc_id"], r["score"]) for r in retrieval.vector_list(index, q, 10, 0.2).collect()} == exact and len(exact) == 300
+    few = {(r["query_id"], r["doc_id"], r["score"]) for r in retrieval.vector_list(index, q, 10, 0.2, probes=6).collect()}
+    assert len(few & exact) >= 0.9 * len(exact)
+    assert retrieval.vector_list(cells.build(v.limit(0)), q, 10).count() == 0
+
+
+def test_five_lists(spark):
+    docs = spark.createDataFrame([(i, f"word{i} orderService common") for i in range(8)], "doc_id long, text string")
+    vecs = spark.createDataFrame([(i, [math.cos(i / 4), math.sin(i / 4)]) for i in range(8)], "doc_id long, embedding array<double>")
+    half = lambda df, rest: df.where(F.col("doc_id") % 2 == rest)
+    queries = spark.createDataFrame([(1, "order word2", [1.0, 0.0]), (2, "word3", None)], "query_id long, query string, embedding array<double>")
+    context = spark.createDataFrame([(1, -1, 1.0), (1, -2, 0.9)], "query_id long, doc_id long, score double")
+    parts = (inverted.build(half(docs, 0), code=True), inverted.build(half(docs, 1)), cells.build(half(vecs, 0)), cells.build(half(vecs, 1)))
+    lists = retrieval.five_lists(queries, *parts, context, 2)
+    by = {(r["query_id"], r["list_no"]): r["n"] for r in lists.groupBy("query_id", "list_no").agg(F.count("*").alias("n")).collect()}
+    assert by == {(1, 1): 3, (1, 2): 2, (1, 3): 4, (1, 5): 2, (2, 4): 1}
+    words = docs.select("doc_id", text.analyzed(F.col("text"), True).alias("words")).union(spark.createDataFrame([(-1, ["order"]), (-2, ["x"])], "doc_id long, words array<string>"))
+    found = [tuple(r) for r in retrieval.retrieved(lists, words, queries, 2).select("query_id", "rank", "doc_id", "score", "n_vector", "n_bm25", "n_graph", "n_fused", "n_found").orderBy("query_id", "rank").collect()]
+    assert found[0][:4] == (1, 1, 2, 1.0) and found[0][4:] == (5, 4, 2, 8, 2) and found[-1] == (2, 1, 3, 1.0, 0, 1, 0, 1, 1)
+    code_only = retrieval.five_lists(queries, *parts, context, 2, kind="CODE")
+    assert {r["list_no"] for r in code_only.select("list_no").distinct().collect()} == {1, 3, 5}
+
+
 def test_best_field_counts(spark):
     docs = spark.createDataFrame([(1, "x", "rare words"), (2, "rare", "x")], "doc_id long, title string, body string")
     q = spark.createDataFrame([(1, "rare")], "query_id long, query string")
@@ -77,7 +162,6 @@ def test_cosine(spark):
 
 def test_embedding_quality_equals_pairs(spark):
     import itertools
-    import random
 
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(15)]

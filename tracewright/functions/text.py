@@ -110,8 +110,8 @@ def complexity_ordinal(complexity: Column) -> Column:
     return F.greatest(F.array_position(F.array(*map(F.lit, COMPLEXITIES)), F.upper(F.coalesce(complexity, F.lit("NONE")))) - 1, F.lit(0)).cast("int")
 
 
-#: What parts terms: all but letters and digits of any script.
-NOT_TERM = r"[^\p{L}\p{N}]+"
+#: What parts terms: all but letters, their combining marks and digits of any script.
+NOT_TERM = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def analyzed(text: Column, code: bool = False) -> Column:

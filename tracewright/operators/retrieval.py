@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text, vectors
+from tracewright.operators import cells, inverted
+from tracewright.sources.files import written
 
-K1, B, RRF_K = 1.2, 0.75, 60
+RRF_K = 60
 #: How much deeper than the final k lists and fusion go.
 LIST_DEPTH, FUSED_DEPTH = 3, 2
 
@@ -22,30 +24,14 @@ def ranked(scored: DataFrame, k: int, list_no: int = 0, ties: str = "doc_id") ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.lit(list_no).alias("list_no"), "rank", "doc_id", "score")
 
 
-def postings(docs: DataFrame, column: str = "text", code: bool = False) -> DataFrame:
-    """(doc_id, term, tf, dl)."""
-    terms = docs.select("doc_id", text.analyzed(F.col(column), code).alias("__t")).withColumn("dl", F.size("__t").cast("long"))
-    return terms.select("doc_id", "dl", F.explode("__t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, list_no: int = 0, column: str = "text", code: bool = False) -> DataFrame:
-    """Top k of each query (query_id, query). Only terms that queries ask for are counted and shuffled:
-    terms of a text are filtered by a semi-join before they are grouped."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(text.analyzed(F.col("query"), code))).alias("term"))
-    sized = docs.select("doc_id", text.analyzed(F.col(column), code).alias("__t")).withColumn("dl", F.size("__t").cast("long"))
-    total = sized.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
-    n, avgdl = F.lit(total["n"]), F.lit(total["avgdl"] or 1.0)
-    hits = sized.select("doc_id", "dl", F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = hits.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", 6)), k, list_no)
+def bm25(index: inverted.Index, queries: DataFrame, k: int, list_no: int = 0) -> DataFrame:
+    """Top k of each query (query_id, query) by an impact-ordered index; blocks that can't matter stay unread."""
+    return ranked(inverted.scores(index, queries, k), k, list_no)
 
 
 def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[str], k: int, list_no: int = 0) -> DataFrame:
     """The best field of each document counts."""
-    each = reduce(lambda a, b: a.unionByName(b), [bm25(docs, queries, LIST_DEPTH * k, column=f) for f in fields])
+    each = reduce(lambda a, b: a.unionByName(b), [bm25(inverted.build(docs, f), queries, LIST_DEPTH * k) for f in fields])
     return ranked(each.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, list_no)
 
 
@@ -66,6 +52,11 @@ def vector_topk(vecs: DataFrame, queries: DataFrame, k: int, floor: float = 0.5,
     return ranked(scored.where(F.col("score") >= floor), k, list_no)
 
 
+def vector_list(index: cells.Cells, queries: DataFrame, k: int, floor: float = 0.5, list_no: int = 0, probes: int | None = None) -> DataFrame:
+    """Top k of each query (query_id, embedding) in the cells that it probes."""
+    return ranked(cells.nearest(index, queries, k, probes, floor), k, list_no)
+
+
 def rrf(lists: DataFrame, k: int, constant: int = RRF_K) -> DataFrame:
     """(query_id, rank, doc_id, score): sums of 1 / (constant + rank) over the lists."""
     fused = lists.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"))
@@ -83,6 +74,12 @@ def overlap(query: Column, body: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, text.analyzed(body))) / F.size(q))
 
 
+def held(query: Column, words: Column) -> Column:
+    """The same over a document's words as an index keeps them."""
+    q = F.array_distinct(text.analyzed(query))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, words)) / F.size(q))
+
+
 def rerank(fused: DataFrame, docs: DataFrame, queries: DataFrame, k: int, scorer=overlap) -> DataFrame:
     """Top k by the scorer (a column function; a pandas UDF fits), ties in fused order. Without a scorer
     the fused order stays."""
@@ -98,6 +95,27 @@ def hybrid(lists: list[DataFrame], docs: DataFrame, queries: DataFrame, k: int,
     return rerank(rrf(reduce(lambda a, b: a.unionByName(b), lists), FUSED_DEPTH * k), docs, queries, k, scorer)
 
 
+def five_lists(queries: DataFrame, code: inverted.Index, logs: inverted.Index, code_cells: cells.Cells, log_cells: cells.Cells, context: DataFrame, k: int, floor: float = 0.5, probes: int | None = None, kind: str = "BOTH") -> DataFrame:
+    """The ranked lists of a retrieval, LIST_DEPTH * k deep: vectors and BM25 of code and of logs (numbers 1 to 4) and
+    the graph's context documents (5; context: query_id, doc_id, score). queries: query_id, query,
+    embedding. As CODE no logs are asked, as LOGS no code."""
+    deep = LIST_DEPTH * k
+    asked = queries.select("query_id", "embedding").where("embedding is not null")
+    of_code = [vector_list(code_cells, asked, deep, floor, 1, probes), bm25(code, queries, deep, 3)] if kind != "LOGS" else []
+    of_logs = [vector_list(log_cells, asked, deep, floor, 2, probes), bm25(logs, queries, deep, 4)] if kind != "CODE" else []
+    return written(reduce(lambda a, b: a.unionByName(b), scope(kind, of_code, of_logs) + [ranked(context, deep, 5)]))
+
+
+def retrieved(lists: DataFrame, words: DataFrame, queries: DataFrame, k: int, scorer=held) -> DataFrame:
+    """Lists fused to 2k and reranked to k, with what the query's lists held: query_id, rank, doc_id, score,
+    n_vector, n_bm25, n_graph, n_fused, n_found. words: doc_id, words."""
+    fused = rrf(lists, FUSED_DEPTH * k)
+    found = rerank(inverted.small(written(fused)), words.select("doc_id", F.col("words").alias("text")), queries, k, scorer)
+    in_list = lambda *n: F.count(F.when(F.col("list_no").isin(*n), 1))
+    counts = lists.groupBy("query_id").agg(in_list(1, 2).alias("n_vector"), in_list(3, 4).alias("n_bm25"), in_list(5).alias("n_graph"), F.count_distinct("doc_id").alias("n_fused"))
+    return found.join(counts, "query_id").withColumn("n_found", F.count("*").over(Window.partitionBy("query_id")))
+
+
 def scope(kind: str, code: list[DataFrame], logs: list[DataFrame]) -> list[DataFrame]:
     """Lists of CODE, LOGS or BOTH."""
     return {"CODE": code, "LOGS": logs, "BOTH": code + logs}[kind]

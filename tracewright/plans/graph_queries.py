@@ -161,17 +161,20 @@ RESOLVED = f"""{GE} select src, dst, a.type src_label, b.type dst_label, case wh
 from ge join gn a on src = a.id and a.type <> 'KafkaTopic' join gn b on dst = b.id and b.type <> 'KafkaTopic'"""
 
 
-def context(spark, sf):
+def context_documents(spark, sf):
     """Context documents of each service: classes as neighbours, paths as endpoints, complex methods."""
     services, classes, methods = code_tables(spark, sf)
     rows = graph.hierarchy(services, classes, methods)
-    docs = retrieval.graph_documents(classes.selectExpr("service", "class as neighbor"), rows.select("service", "path"), rows.select("service", "method", "complexity"))
-    return docs.select("service", "score", F.sha2("content", 256).alias("content_hash"))
+    return retrieval.graph_documents(classes.selectExpr("service", "class as neighbor"), rows.select("service", "path"), rows.select("service", "method", "complexity"))
+
+
+def context(spark, sf):
+    return context_documents(spark, sf).select("service", "score", F.sha2("content", 256).alias("content_hash"))
 
 
-CONTEXT = f"""with {CODE}, n as (select distinct n_name service, s_name x from nation join supplier on s_nationkey = n_nationkey), e as (select distinct service, path x from cd), m as (select distinct service, method x from cd where complexity in ('BRANCHING', 'COMPLEX')),
-d as (select service, 1.0 score, 'Neighbors: ' || string_agg(x, ', ' order by x) c from n group by all union all select service, 0.9, 'Endpoints: ' || string_agg(x, ', ' order by x) from e group by all union all select service, 0.7, 'Complex methods: ' || string_agg(x, ', ' order by x) from m group by all)
-select service, cast(score as double) score, sha256(c) content_hash from d"""
+CONTEXT_TABLES = f"""{CODE}, n as (select distinct n_name service, s_name x from nation join supplier on s_nationkey = n_nationkey), e as (select distinct service, path x from cd), m as (select distinct service, method x from cd where complexity in ('BRANCHING', 'COMPLEX')),
+d as (select service, 1.0 score, 'Neighbors: ' || string_agg(x, ', ' order by x) c from n group by all union all select service, 0.9, 'Endpoints: ' || string_agg(x, ', ' order by x) from e group by all union all select service, 0.7, 'Complex methods: ' || string_agg(x, ', ' order by x) from m group by all)"""
+CONTEXT = f"with {CONTEXT_TABLES} select service, cast(score as double) score, sha256(c) content_hash from d"
 
 
 QUERIES = {

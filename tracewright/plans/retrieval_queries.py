@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import graph, retrieval
+from tracewright.operators import cells, graph, inverted, retrieval
+from tracewright.plans import graph_queries
 from tracewright.plans.adapters import frame, sql
+from tracewright.sources.files import file_system, written
 
 K = 10
+FLOOR = 0.2
+_built: dict[tuple, object] = {}
+
+
+def once(spark, sf: str, table: str, name: str, make):
+    """What `make` has written of a table, while the session lasts and the table's files stay as they are."""
+    fs, place, _ = file_system(spark, f"{sf}/{table}.parquet")
+    files = fs.listStatus(place)
+    seen = tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    key = (spark.sparkContext.applicationId, name, seen)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def index(spark, sf) -> inverted.Index:
+    """The index that the queries over all documents share."""
+    return once(spark, sf, "documents", "all", lambda: inverted.build(frame(spark, sf, "docs")))
 DOCS = f"{sql('docs')}, {sql('q')}"
 #: Terms of texts and queries, then the two ranked lists of 3k that the hybrid query fuses.
 TERMS = f"""t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '{text.NOT_TERM}'), lambda x: x <> '') l from docs), tt as (select doc_id, len(l) dl, unnest(l) term from t), tf as (select doc_id, dl, term, count(*) tf from tt group by all),
 qt as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(query), '{text.NOT_TERM}'), lambda x: x <> '')) term from q), df as (select term, count(*) df from tf group by all), tot as (select count(*) n, avg(len(l)) a from t where len(l) > 0)"""
-BM25 = f"""sc as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {retrieval.K1 + 1} / (tf + {retrieval.K1} * (1 - {retrieval.B} + {retrieval.B} * dl / a))), 6) score from qt join tf using (term) join df using (term), tot group by all)"""
+BM25 = f"""sc as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {inverted.K1 + 1} / (tf + {inverted.K1} * (1 - {inverted.B} + {inverted.B} * dl / a))), 6) score from qt join tf using (term) join df using (term), tot group by all)"""
 
 
 def top(source: str, k: int, name: str) -> str:
@@ -21,19 +41,13 @@ def top(source: str, k: int, name: str) -> str:
 
 
 def bm25(k):
-    return lambda spark, sf: retrieval.bm25(frame(spark, sf, "docs"), frame(spark, sf, "q"), k).drop("list_no")
-
-
-def coordination(spark, sf, k, list_no):
-    """Documents by how many of the query's terms they hold."""
-    docs = frame(spark, sf, "docs").select("doc_id", F.explode(F.array_distinct(text.analyzed(F.col("text")))).alias("term"))
-    asked = frame(spark, sf, "q").select("query_id", F.explode(F.array_distinct(text.analyzed(F.col("query")))).alias("term"))
-    return retrieval.ranked(docs.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), k, list_no)
+    return lambda spark, sf: retrieval.bm25(index(spark, sf), frame(spark, sf, "q"), k).drop("list_no")
 
 
 def lists(spark, sf):
-    first = retrieval.bm25(frame(spark, sf, "docs"), frame(spark, sf, "q"), 3 * K, 1)
-    return first, coordination(spark, sf, 3 * K, 2)
+    """BM25, and documents by how many of the query's terms they hold."""
+    of, asked = index(spark, sf), frame(spark, sf, "q")
+    return retrieval.bm25(of, asked, 3 * K, 1), retrieval.ranked(inverted.shared(of, asked), 3 * K, 2)
 
 
 LISTS = f"with {DOCS}, {TERMS}, {BM25}, {top('sc', 3 * K, 'l1')}, co as (select query_id, doc_id, cast(count(*) as double) score from qt join (select distinct doc_id, term from tf) using (term) group by all), {top('co', 3 * K, 'l2')}, fu as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) score from (select * from l1 union all select * from l2) group by all)"
@@ -45,7 +59,10 @@ def fused(spark, sf):
 
 
 def hybrid(spark, sf):
-    return retrieval.hybrid(list(lists(spark, sf)), frame(spark, sf, "docs"), frame(spark, sf, "q"), K)
+    a, b = lists(spark, sf)
+    fused = inverted.small(written(retrieval.rrf(a.unionByName(b), 2 * K)))
+    words = index(spark, sf).docs.select("doc_id", F.col("words").alias("text"))
+    return retrieval.rerank(fused, words, frame(spark, sf, "q"), K, retrieval.held)
 
 
 HYBRID = f"""{LISTS}, {top('fu', 2 * K, 'f2')}, qs as (select query_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '{text.NOT_TERM}'), lambda x: x <> '')) ql from q),
@@ -55,7 +72,7 @@ select query_id, doc_id, score, row_number() over (partition by query_id order b
 
 def metrics(spark, sf):
     """Relevant: good documents among the 3k that BM25 pools for the query."""
-    pool = retrieval.bm25(frame(spark, sf, "docs"), frame(spark, sf, "q"), 3 * K)
+    pool = written(retrieval.bm25(index(spark, sf), frame(spark, sf, "q"), 3 * K))
     good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
     return retrieval.metrics(pool, pool.join(good, "doc_id", "left_semi"), K)
 
@@ -66,6 +83,68 @@ w as (select *, h / n p, case when wanted > 0 then h / wanted else 0.0 end rc, (
 select query_id, round(p, 6) as precision, round(rc, 6) recall, round(case when p + rc = 0 then 0.0 else 2 * p * rc / (p + rc) end, 6) f1, round(coalesce(1 / f, 0.0), 6) mrr, round(case when wanted > 0 then dcg / ideal else 0.0 end, 6) ndcg from w"""
 
 
+#: Even documents and vectors stand for code, odd ones for logs; a query's vector is that of its number, its service
+#: the nation of its number, whose context documents get the numbers below zero.
+CODE_SQL = "regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
+STOP = ", ".join(f"'{w}'" for w in text.CODE_STOP_WORDS)
+
+
+def asked(spark, sf):
+    vec = frame(spark, sf, "vec").select(F.col("doc_id").alias("query_id"), "embedding")
+    return written(frame(spark, sf, "q").join(vec, "query_id", "left"))
+
+
+def context(spark, sf):
+    """(doc_id below zero, service, score, content) of every service's context documents."""
+    docs = graph_queries.context_documents(spark, sf)
+    keys = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey", "n_name as service")
+    kind = F.when(F.col("score") == 1.0, 1).when(F.col("score") == 0.9, 2).otherwise(3)
+    return docs.join(keys, "service").withColumn("doc_id", -(F.col("n_nationkey").cast("long") * 3 + kind))
+
+
+def five(spark, sf, probes=None):
+    half = lambda name, rest: frame(spark, sf, name).where(F.col("doc_id") % 2 == rest)
+    code = once(spark, sf, "documents", "code", lambda: inverted.build(half("docs", 0), code=True))
+    logs = once(spark, sf, "documents", "logs", lambda: inverted.build(half("docs", 1)))
+    code_cells = once(spark, sf, "embeddings", "code-cells", lambda: cells.build(half("vec", 0)))
+    log_cells = once(spark, sf, "embeddings", "log-cells", lambda: cells.build(half("vec", 1)))
+    queries, near = asked(spark, sf), written(context(spark, sf))
+    of_query = queries.select("query_id", (F.col("query_id") % 25).alias("n")).join(near, F.col("n") == F.col("n_nationkey")).select("query_id", "doc_id", "score")
+    found = retrieval.five_lists(queries, code, logs, code_cells, log_cells, of_query, K, FLOOR, probes)
+    words = index(spark, sf).docs.select("doc_id", "words").unionByName(near.select("doc_id", text.analyzed(F.col("content")).alias("words")))
+    return retrieval.retrieved(found, words, queries, K)
+
+
+def bm25_of(name: str, terms: str, where: str) -> str:
+    return f"""{name}t as (select doc_id, {terms} l from docs where {where}), {name}f as (select doc_id, len(l) dl, term, count(*) tf from (select doc_id, l, unnest(l) term from {name}t) group by all),
+{name}d as (select term, count(*) df from {name}f group by all), {name}n as (select count(*) n, avg(len(l)) a from {name}t where len(l) > 0),
+{name}q as (select distinct query_id, unnest({terms.replace("text", "query")}) term from q),
+{name}s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {inverted.K1 + 1} / (tf + {inverted.K1} * (1 - {inverted.B} + {inverted.B} * dl / a))), 6) score from {name}q join {name}f using (term) join {name}d using (term), {name}n group by all), {top(f"{name}s", 3 * K, f"{name}l")}"""
+
+
+PLAIN = f"list_filter(regexp_split_to_array(lower(text), '{text.NOT_TERM}'), lambda x: x <> '')"
+CODED = f"list_filter(regexp_split_to_array(lower({CODE_SQL}), '{text.NOT_TERM}'), lambda x: x <> '' and x not in ({STOP}))"
+FIVE = f"""with {DOCS}, {sql('vec')}, {bm25_of('k', CODED, 'doc_id % 2 = 0')}, {bm25_of('g', PLAIN, 'doc_id % 2 = 1')},
+vs as (select query_id, v.doc_id, v.doc_id % 2 r, round(list_cosine_similarity(cast(v.embedding as double[]), cast(e.embedding as double[])), 6) score from q join vec e on e.doc_id = query_id, vec v),
+{top(f"(select * from vs where r = 0 and score >= {FLOOR})", 3 * K, 'v0')}, {top(f"(select * from vs where r = 1 and score >= {FLOOR})", 3 * K, 'v1')},
+{graph_queries.CONTEXT_TABLES}, cx as (select -(n_nationkey * 3 + case score when 1.0 then 1 when 0.9 then 2 else 3 end) doc_id, n_nationkey, score, c from d join nation on n_name = service),
+cs as (select query_id, cx.doc_id, cast(score as double) score from q join cx on query_id % 25 = n_nationkey), {top('cs', 3 * K, 'cl')},
+al as (select 1 n, * from v0 union all select 2, * from v1 union all select 3, * from kl union all select 4, * from gl union all select 5, * from cl),
+fu as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) score from al group by all), {top('fu', 2 * K, 'f2')},
+bd as (select doc_id, {PLAIN} l from docs union all select doc_id, {PLAIN.replace("text", "c")} from cx),
+qs as (select query_id, list_distinct({PLAIN.replace("text", "query")}) ql from q),
+re as (select query_id, doc_id, f2.rank fr, case when len(ql) = 0 then 0.0 else round(len(list_intersect(ql, l)) / len(ql), 6) end score from f2 join qs using (query_id) join bd using (doc_id)),
+fin as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, fr) as rank from re qualify rank <= {K}),
+co as (select query_id, count(*) filter (n <= 2) n_vector, count(*) filter (n in (3, 4)) n_bm25, count(*) filter (n = 5) n_graph, count(distinct doc_id) n_fused from al group by all)
+select fin.*, n_vector, n_bm25, n_graph, n_fused, count(*) over (partition by query_id) n_found from fin join co using (query_id)"""
+
+
+def routed(spark, sf):
+    """The query of vector_topk through the inverted file, every cell asked."""
+    of = once(spark, sf, "embeddings", "all-cells", lambda: cells.build(frame(spark, sf, "vec")))
+    return retrieval.vector_list(of, firsts(spark, sf), 5, FLOOR).drop("list_no")
+
+
 def firsts(spark, sf):
     """One query vector for each label: that of its least id."""
     return frame(spark, sf, "vec").groupBy("label").agg(F.min_by("embedding", "doc_id").alias("embedding")).select(F.col("label").alias("query_id"), "embedding")
@@ -115,6 +194,8 @@ QUERIES = {
     "bm25_topk": (bm25(K), f"with {DOCS}, {TERMS}, {BM25}, {top('sc', K, 'l1')} select query_id, rank, doc_id, score from l1"),
     "vector_topk": (neighbours(0.2), f"{NEAR.format('true')}, {top('(select * from sc where score >= 0.2)', 5, 'l')} select query_id, rank, doc_id, score from l"),
     "vector_topk_filtered": (neighbours(0.2, 3), f"{NEAR.format('label = 3')}, {top('(select * from sc where score >= 0.2)', 5, 'l')} select query_id, rank, doc_id, score from l"),
+    "vector_topk_routed": (routed, f"{NEAR.format('true')}, {top(f'(select * from sc where score >= {FLOOR})', 5, 'l')} select query_id, rank, doc_id, score from l"),
+    "hybrid_five_lists": (five, FIVE),
     "rrf_fusion": (fused, f"{LISTS}, {top('fu', K, 'f')} select query_id, rank, doc_id, score from f"),
     "hybrid_retrieve": (hybrid, HYBRID),
     "retrieval_metrics": (metrics, METRICS),
