@@ -1,5 +1,7 @@
 """Graph walks, topics, features, flows: small cases with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,9 +32,55 @@ def test_chain_depth_is_clamped(spark):
     assert graph.call_chains(nodes(spark, [0]), line, 0).count() == 1
 
 
+def related(spark, rows):
+    return spark.createDataFrame(rows, "src long, dst long, relation string")
+
+
+def labels(spark, ids):
+    return spark.createDataFrame([(i, f"L{i}") for i in ids], "id long, label string")
+
+
 def test_neighborhood(spark):
-    got = {r["neighbor"] for r in graph.neighborhood(nodes(spark, [0]), edges(spark, [(0, 1), (2, 1), (2, 3), (0, 4)]), 2).collect()}
-    assert got == {1, 2, 4}
+    e = related(spark, [(0, 1, "A"), (2, 1, "B"), (2, 3, "C"), (0, 4, "D"), (4, 0, "E")])
+    got = {tuple(r) for r in graph.neighborhood(nodes(spark, [0]), e, labels(spark, [1, 2]), 2).collect()}
+    assert got == {(0, 1, "A", "L1"), (0, 2, "B", "L2"), (0, 4, "D", None), (0, 4, "E", None)}
+
+
+def test_shortest_chains(spark):
+    rng = random.Random(4)
+    e = [(rng.randrange(40), rng.randrange(40), rng.choice("XYZ")) for _ in range(90)] + [(50, 51, "Q"), (51, 50, "Q"), (0, 0, "Q")] + [(100 + i, 101 + i, "R") for i in range(14)]
+    starts = [0, 1, 2, 50, 77, 100]
+    want = {}
+    for s in starts:
+        depth, front, by = {s: 0}, [s], {}
+        for hop in range(1, 11):
+            reached = {}
+            for a, b, r in e:
+                if a in front and b not in depth:
+                    reached[b] = min(reached.get(b, (a, r)), (a, r))
+            by |= reached
+            depth |= dict.fromkeys(reached, hop)
+            front = list(reached)
+        for t in depth:
+            path, relations, at = [t], [], t
+            while at != s:
+                at, r = by[at]
+                path, relations = [at, *path], [r, *relations]
+            if t != s:
+                want[s, t] = (depth[t], path, relations)
+    known = labels(spark, range(60))
+    got = graph.shortest_chains(nodes(spark, [*starts, 0]), related(spark, e), known).collect()
+    assert {(r["source"], r["target"]): (r["depth"], [n["id"] for n in r["nodes"] if n["id"] is not None], r["relations"]) for r in got if r["source"] != 100} == {k: v for k, v in want.items() if k[0] != 100}
+    far = {r["target"]: (r["depth"], len(r["nodes"]), len(r["relations"])) for r in got if r["source"] == 100}
+    assert far == {100 + i: (i, i + 1, i) for i in range(1, 11)} and len(got) == len(want)
+    assert all(n["label"] == (f"L{n['id']}" if n["id"] < 60 else None) for r in got for n in r["nodes"])
+    one = graph.shortest_chains(nodes(spark, [0, 1]), related(spark, e), known, nodes(spark, [3, 0])).collect()
+    assert {(r["source"], r["target"]) for r in one} == {k for k in want if k[0] in (0, 1) and k[1] in (3, 0)}
+
+
+def test_search_ends_with_its_frontier(spark):
+    trees, depth = graph.shortest_trees(nodes(spark, [1]), related(spark, [(1, 2, "A"), (2, 3, "A"), (3, 1, "A")]))
+    assert depth == 2 and trees.count() == 3
 
 
 def test_shortest_paths(spark):

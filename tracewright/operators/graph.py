@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text, vectors
+from tracewright.sources.files import written
 
 #: Node types in one-hot order (fixed values).
 NODE_TYPES = ("Service", "Class", "Method", "Endpoint", "KafkaTopic", "Database", "Ingress", "ConfigMap", "LogTemplate", "AnomalyEpisode")
@@ -42,16 +43,60 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
 
 
-def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(id, neighbor) within so many undirected hops by walks that use no edge twice; not itself."""
-    both = edges.select("src", "dst", F.concat_ws("-", "src", "dst").alias("e")).union(edges.select(F.col("dst"), F.col("src"), F.concat_ws("-", "src", "dst")))
+def neighborhood(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 2) -> DataFrame:
+    """(id, neighbor, relation, label) within so many undirected hops by walks that use no edge twice: the
+    relation of the walk's last edge and the neighbor's label; not itself. edges: src, dst, relation;
+    nodes: id, label."""
+    mark = F.concat_ws("-", "src", "dst", "relation")
+    both = edges.select("src", "dst", "relation", mark.alias("e")).union(edges.select(F.col("dst"), F.col("src"), "relation", mark))
     walk = starts.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("used"))
     found = None
     for _ in range(hops):
-        walk = walk.join(both, F.col("at") == F.col("src")).where(~F.array_contains("used", F.col("e"))).select("id", F.col("dst").alias("at"), F.concat("used", F.array("e")).alias("used"))
-        part = walk.select("id", F.col("at").alias("neighbor"))
+        reached = walk.join(both, F.col("at") == F.col("src")).where(~F.array_contains("used", F.col("e")))
+        part = reached.select("id", F.col("dst").alias("neighbor"), "relation")
+        walk = reached.select("id", F.col("dst").alias("at"), F.concat("used", F.array("e")).alias("used"))
         found = part if found is None else found.union(part)
-    return found.where("id <> neighbor").distinct()
+    labels = nodes.select(F.col("id").alias("neighbor"), "label")
+    return found.where("id <> neighbor").distinct().join(labels, "neighbor", "left").select("id", "neighbor", "relation", "label")
+
+
+def shortest_trees(starts: DataFrame, edges: DataFrame, most: int = 10) -> tuple[DataFrame, int]:
+    """(source, id, parent, relation, depth) of every node within `most` hops of each start (id), and the depth
+    reached: a search from all starts at once. Each round joins the frontier with the edges, keeps for each new node the
+    least (parent, relation), drops what was visited and writes the rest; it ends when nothing is new. A
+    lost executor costs one round."""
+    steps = written(edges.groupBy("src", "dst").agg(F.min("relation").alias("relation")))
+    kind = edges.schema["src"].dataType
+    front = written(starts.select(F.col("id").alias("source"), "id", F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")).distinct())
+    layers, depth = front, 0
+    while depth < most:
+        reached = front.select("source", F.col("id").alias("src")).join(steps, "src")
+        best = reached.groupBy("source", F.col("dst").alias("id")).agg(F.min(F.struct("src", "relation")).alias("by"))
+        new = best.join(layers.select("source", "id"), ["source", "id"], "left_anti")
+        front = written(new.select("source", "id", F.col("by.src").alias("parent"), "by.relation", F.lit(depth + 1).alias("depth")))
+        if front.isEmpty():
+            break
+        layers, depth = layers.unionByName(front), depth + 1
+    return layers, depth
+
+
+def shortest_chains(starts: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """(source, target, depth, nodes, relations): a shortest directed chain from each start to each target (id;
+    without targets: to all that it reaches), its nodes as (id, label) and its edges' relations in order. Of equal
+    chains, each node's least predecessor counts. Chains are put together backwards, by joins along the parents."""
+    trees, deepest = shortest_trees(starts, edges, most)
+    labelled = trees.join(nodes.select("id", "label"), "id", "left")
+    trees = written(labelled.select("source", F.col("id").alias("at"), "parent", "relation", "depth", F.struct(F.col("id"), F.col("label")).alias("node")))
+    ends = trees if targets is None else trees.join(targets.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
+    walk = ends.select("source", F.col("at").alias("target"), F.col("depth").alias("length"), "parent", F.array("node").alias("nodes"), F.when(F.col("relation").isNotNull(), F.array("relation")).otherwise(F.array().cast("array<string>")).alias("relations"))
+    step = trees.select("source", F.col("at").alias("parent"), F.col("parent").alias("next"), "relation", "node")
+    for _ in range(deepest):
+        longer = walk.join(step, ["source", "parent"], "left")
+        before = F.when(F.col("relation").isNotNull(), F.array("relation")).otherwise(F.array().cast("array<string>"))
+        walk = longer.select(
+            "source", "target", "length", F.col("next").alias("parent"), F.when(F.col("node").isNotNull(), F.concat(F.array("node"), "nodes")).otherwise(F.col("nodes")).alias("nodes"), F.concat(before, "relations").alias("relations"),
+        )
+    return walk.where("length > 0").select("source", "target", F.col("length").alias("depth"), "nodes", "relations")
 
 
 def shortest_paths(source: Column, edges: DataFrame, most: int = 10) -> DataFrame:
@@ -75,7 +120,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dense_index(nodes: DataFrame) -> DataFrame:
     """nodes + idx from 0 in order of id: counts of range partitions give each its offset, so that no
     task sees all nodes."""
-    parts = nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)).persist()
+    parts = written(nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("__part").agg(F.count("*").alias("__c")).select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
     return parts.join(offsets, "__part").withColumn("idx", F.col("__before") + F.col("__at") - F.shiftleft(F.col("__part"), 33)).drop("__at", "__part", "__before")

@@ -31,13 +31,41 @@ def walks(depth: int) -> str:
 union all select w.at_, ge.dst, w.path || '>' || ge.dst, w.used || ge.src || '>' || ge.dst || '|', w.hops + 1 from w join ge on w.dst = ge.src where w.hops < {depth} and not contains(w.used, '|' || ge.src || '>' || ge.dst || '|'))"""
 
 
+def related(spark, sf):
+    """The call graph's edges with the relation of their kind, and its nodes with their label."""
+    typed = edges(spark, sf).selectExpr("src", "dst", f"{EDGE_KIND} as type")
+    nodes = frame(spark, sf, "gn").selectExpr("id", "type as label")
+    return graph.resolved_edges(typed, nodes).select("src", "dst", "relation"), nodes
+
+
+EDGE_KIND = "case when src % 2 = 0 then 'HTTP_CALL' when src % 3 = 0 then 'KAFKA_PRODUCE' when src % 5 = 0 then 'CONFIG_REF' else 'OTHER' end"
+RELATED = "re as (select src, dst, case when src % 2 = 0 then 'CALLS_HTTP' when src % 3 = 0 then 'PRODUCES_TO' when src % 5 = 0 then 'USES_CONFIG' else 'OTHER' end relation from ge where src in (select id from gn) and dst in (select id from gn))"
+
+
 def neighborhood(spark, sf):
-    return graph.neighborhood(frame(spark, sf, "gn").select("id"), edges(spark, sf), 2)
+    of, nodes = related(spark, sf)
+    return graph.neighborhood(nodes.select("id"), of, nodes, 2)
+
+
+NEIGHBORS = f"""{GE}, {RELATED}, un as (select src, dst, relation, src || '-' || dst || '-' || relation e from re union all select dst, src, relation, src || '-' || dst || '-' || relation from re),
+one as (select src id, dst n, relation, e from un), two as (select one.id, un.dst n, un.relation from one join un on one.n = un.src and one.e <> un.e)
+select distinct x.id, n neighbor, relation, type as label from (select id, n, relation from one union all select id, n, relation from two) x join gn on gn.id = n where x.id <> n"""
+
+
+def chain(spark, sf):
+    """From every node that exposes an endpoint and that nobody calls, to all that it reaches."""
+    of, nodes = related(spark, sf)
+    found = graph.shortest_chains(entries(spark, sf), of, nodes)
+    path = F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["label"], n["id"].cast("string"))), ">")
+    return found.select("source", "target", "depth", path.alias("path"), F.array_join("relations", ">").alias("relations"))
 
 
-NEIGHBORS = f"""{GE}, un as (select src, dst, src || '-' || dst e from ge union all select dst, src, src || '-' || dst from ge),
-one as (select src id, dst n, e from un), two as (select one.id, un.dst n from one join un on one.n = un.src and one.e <> un.e)
-select distinct id, n neighbor from (select id, n from one union all select id, n from two) where id <> n"""
+CHAIN = f"""{GE}, {STARTS}, {RELATED}, r as (select id source, id, 0 depth from st union select r.source, re.dst, r.depth + 1 from r join re on r.id = re.src where r.depth < 10),
+m as (select source, id, min(depth) depth from r group by all),
+b as (select m.source, m.id, min({{'p': re.src, 'r': re.relation}}) x from m join re on re.dst = m.id join m u on u.source = m.source and u.id = re.src and u.depth = m.depth - 1 group by all),
+w as (select source, m.id target, m.id at_, depth, type || ':' || m.id path, '' relations from m join gn on gn.id = m.id where depth > 0
+union all select w.source, w.target, x.p, w.depth, type || ':' || x.p || '>' || path, x.r || case when relations = '' then '' else '>' end || relations from w join b on b.source = w.source and b.id = w.at_ join gn on gn.id = x.p)
+select source, target, cast(depth as int) depth, path, relations from w where at_ = source"""
 
 
 def shortest(spark, sf):
@@ -187,6 +215,7 @@ QUERIES = {
     "call_chains_5": (chains(5), f"{walks(5)} select path, cast(hops as int) hops from w"),
     "neighborhood_2hop": (neighborhood, NEIGHBORS),
     "shortest_paths": (shortest, SHORTEST),
+    "shortest_chain": (chain, CHAIN),
     "node_degree": (degree, f"{GE} select gn.id, coalesce(n, 0) degree from gn left join (select id, count(*) n from (select src id from ge union all select dst from ge) group by all) d on gn.id = d.id"),
     "edge_index": (index, f"{GE}, ix as (select id, row_number() over (order by id) - 1 i from gn) select a.i src_idx, b.i dst_idx from ge join ix a on src = a.id join ix b on dst = b.id"),
     "graph_node_features": (features, FEATURES),
