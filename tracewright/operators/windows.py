@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators import ordered
+
 FIVE_MINUTES = 300
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -43,9 +45,10 @@ def binned(events: DataFrame, seconds: int = FIVE_MINUTES, by: str | None = "ser
 
 def bursts(events: DataFrame, keys: list[str]) -> DataFrame:
     """Longest run of errors in each window (ordered by ts, event_id) over its events."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    marked = events.withColumn("__ok", F.sum(F.when(is_error(F.col("severity")), 0).otherwise(1)).over(w))
-    islands = marked.groupBy(*keys, "__ok").agg(F.sum(is_error(F.col("severity")).cast("long")).alias("__run"), F.count("*").alias("__n"))
+    order = ["ts", "event_id"]
+    rows = ordered.parted(events.select(*keys, *order, is_error(F.col("severity")).cast("long").alias("__bad")), keys, order)
+    marked = ordered.running(rows, keys, order, 1 - F.col("__bad"), "__ok")
+    islands = marked.groupBy(*keys, "__ok").agg(F.sum("__bad").alias("__run"), F.count("*").alias("__n"))
     return islands.groupBy(*keys).agg((F.max("__run") / F.sum("__n")).alias("burst_score"))
 
 
@@ -80,9 +83,11 @@ def severity_of(score: Column) -> Column:
 def episodes(windows: DataFrame, threshold: float = 0.65, gap_seconds: int = 600) -> DataFrame:
     """Runs of anomalous windows (service, window_start, window_end, score); the next window joins if it
     starts at most the gap after the end of the last."""
-    w = Window.partitionBy("service").orderBy("window_start")
-    late = micros(F.col("window_start")) - micros(F.lag("window_end").over(w)) > gap_seconds * 1_000_000
-    rows = windows.where(F.col("score") >= threshold).withColumn("__new", F.coalesce(late, F.lit(True)).cast("int")).withColumn("episode", F.sum("__new").over(w))
+    keys, order = ["service"], ["window_start"]
+    rows = ordered.parted(windows.where(F.col("score") >= threshold), keys, order)
+    rows = ordered.previous(rows, keys, order, "window_end", "__before")
+    late = micros(F.col("window_start")) - micros(F.col("__before")) > gap_seconds * 1_000_000
+    rows = ordered.running(rows, keys, order, F.coalesce(late, F.lit(True)).cast("long"), "episode")
     out = rows.groupBy("service", "episode").agg(F.min("window_start").alias("start_time"), F.max("window_end").alias("end_time"), F.max("score").alias("peak_score"), F.count("*").alias("windows"))
     return out.withColumn("severity", severity_of(F.col("peak_score")))
 
@@ -97,4 +102,6 @@ def zero_filled(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFr
 
 def stage_metrics(runs: DataFrame) -> DataFrame:
     """runs(stage, ok boolean, seconds) -> p95, p99 and success ratio of each stage."""
-    return runs.groupBy("stage").agg(F.percentile("seconds", 0.95).alias("p95"), F.percentile("seconds", 0.99).alias("p99"), F.avg(F.col("ok").cast("double")).alias("success_ratio"), F.count("*").alias("runs"))
+    rates = runs.groupBy("stage").agg(F.avg(F.col("ok").cast("double")).alias("success_ratio"), F.count("*").alias("runs"))
+    slow = ordered.quantiles(runs, ["stage"], "seconds", {"p95": 0.95, "p99": 0.99})
+    return rates.join(slow, "stage", "left").select("stage", "p95", "p99", "success_ratio", "runs")

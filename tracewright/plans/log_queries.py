@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import logs, text
-from tracewright.operators import anomaly, drain, relational, sequences, windows
+from tracewright.operators import anomaly, drain, ordered, relational, sequences, windows
 from tracewright.plans.adapters import frame, sql
 from tracewright.streaming import events as stream
 
@@ -100,7 +100,7 @@ def burst(spark, sf):
 
 
 def p99(spark, sf):
-    return frame(spark, sf, "ev").groupBy("service").agg(F.round(F.percentile("latency", 0.99), 6).alias("p99_latency"))
+    return ordered.quantiles(frame(spark, sf, "ev"), ["service"], "latency", {"p99": 0.99}).select("service", F.round("p99", 6).alias("p99_latency"))
 
 
 def episodes(spark, sf):
