@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,10 +216,48 @@ def test_pattern_classes(spark, pattern, kind):
     assert row["has_errors"] == any("ERROR" in p for p in pattern) and row["has_kafka"] == any("KAFKA" in p for p in pattern)
 
 
-def test_isolation_trees_draw_from_all_rows(spark):
-    import numpy as np
+def plain_depth(tree, x, at=0):
+    if tree["feature"][at] < 0:
+        return tree["value"][at]
+    return plain_depth(tree, x, tree["low" if x[tree["feature"][at]] < tree["cut"][at] else "high"][at])
 
+
+def path_of(tree, x):
+    at = [0]
+    while tree["feature"][at[-1]] >= 0:
+        at.append(tree["low" if x[tree["feature"][at[-1]]] < tree["cut"][at[-1]] else "high"][at[-1]])
+    return at
+
+
+def test_forest_is_a_table(spark, tmp_path, monkeypatch):
+    """One service of nearly all windows: bounded samples from all its rows, trees saved and loaded, chunks scored apart."""
+    monkeypatch.setattr(anomaly, "CHUNK", 700)
     x = np.random.default_rng(3).normal(size=(6000, 2))
-    rows = spark.createDataFrame([("a", i, float(p), float(q)) for i, (p, q) in enumerate(x)], "g string, t long, p double, q double")
-    got = [r["score"] for r in anomaly.scored(rows, ["g"], ["p", "q"], ["t"], trees=40).orderBy("t").collect()]
-    assert np.allclose(got, anomaly.Forest(x, 40).score(x))
+    x[7] = 40, -40
+    rows = spark.createDataFrame([("hot", i, float(p), float(q)) for i, (p, q) in enumerate(x)] + [("few", i, float(i), None) for i in range(5)] + [("one", 1, 0.0, 0.0), (None, 1, 0.0, 1.0), (None, 2, 5.0, float("nan"))], "g string, t long, p double, q double")
+    samples = anomaly.sampled(rows, ["g"], ["p", "q"], ["t"], 40, 64).groupBy("g", "tree").agg(F.count("*").alias("n"), F.collect_set("p").alias("p")).collect()
+    hot = [r for r in samples if r["g"] == "hot"]
+    assert len(hot) == 40 and all(40 <= r["n"] <= 64 for r in hot) and len({v for r in hot for v in r["p"]}) > 1200
+    assert {(r["g"], r["n"]) for r in samples if r["g"] != "hot"} == {("few", 5), (None, 2)}
+    anomaly.save(anomaly.train(rows, ["g"], ["p", "q"], ["t"], 40, 64), str(tmp_path / "forest"))
+    forest = anomaly.load(spark, str(tmp_path / "forest"))
+    got = {(r["g"], r["t"]): r["score"] for r in anomaly.score(forest, rows, ["g"], ["p", "q"], ["t"]).collect()}
+    assert len(got) == 6007 and got["hot", 7] > 0.9 * max(got.values())
+    trees = [r.asDict() for r in forest.where("g = 'hot'").orderBy("tree").collect()]
+    for i in [*range(0, 6000, 500), 7]:
+        mean = np.mean([plain_depth(t, x[i]) / anomaly.path_norm(t["size"]) for t in trees])
+        assert got["hot", i] == pytest.approx(2.0**-mean)
+
+
+def test_a_tree_splits_its_rows():
+    x = np.random.default_rng(5).normal(size=(64, 3))
+    tree = anomaly.grown(x, [1, 2])
+    assert tree == anomaly.grown(x[::-1], [1, 2]) != anomaly.grown(x, [2, 2])
+    assert np.allclose(anomaly.depths(tree, x), [plain_depth(tree, r) for r in x])
+    leaves = [i for i, f in enumerate(tree["feature"]) if f < 0]
+    assert sorted([*tree["low"], *tree["high"]])[2 * len(leaves) :] == list(range(1, len(tree["feature"])))
+    for i, (f, cut) in enumerate(zip(tree["feature"], tree["cut"], strict=True)):
+        if f >= 0:  # both children have rows, and the cut lies between them
+            mine = [r for r in x if i in path_of(tree, r)]
+            assert min(r[f] for r in mine) < cut <= max(r[f] for r in mine)
+    assert max(tree["value"]) <= 6 + anomaly.path_norm(64) and anomaly.grown(np.zeros((9, 3)), [1])["value"] == [anomaly.path_norm(9)]

@@ -82,8 +82,8 @@ def test_anomaly_detection_and_tracking(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, ts timestamp, service string, severity string, template_id string, trace_id string, exception_class string")
     got = snapshots.detect_anomalies(events, threshold=0.6).collect()
     assert any(r["start_time"] <= start + timedelta(seconds=30 * 1000) < r["end_time"] for r in got)
-    metrics = snapshots.tracked_anomaly_training(Tracker(spark, str(tmp_path / "t")), "r", snapshots.windows.features(events), trees=20)
-    assert metrics["samples"] == 200
+    metrics = snapshots.tracked_anomaly_training(Tracker(spark, str(tmp_path / "t")), "r", snapshots.windows.features(events), str(tmp_path / "forest"), trees=20)
+    assert metrics["samples"] == 200 and snapshots.anomaly.load(spark, str(tmp_path / "forest")).count() == 20
 
 
 def test_graph_convolution_and_tensors(spark, tmp_path):

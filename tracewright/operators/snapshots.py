@@ -126,13 +126,19 @@ def graph_tensors(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     graph.edge_index(nodes, edges).withColumn("features", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))).write.json(f"{path}/edges")
 
 
-def tracked_anomaly_training(tracker: Tracker, run: str, features: DataFrame, trees: int = anomaly.TREES, subsample: int = anomaly.SUBSAMPLE) -> dict:
-    """Scores all windows under a tracked run: its parameters, its sample count and mean score."""
+def tracked_anomaly_training(tracker: Tracker, run: str, features: DataFrame, path: str, trees: int = anomaly.TREES, subsample: int = anomaly.SUBSAMPLE) -> dict:
+    """Trains forests on all windows and saves them at path, under a tracked run: its parameters, the artifact's
+    place, its sample count and mean score."""
+    group, order = ["service"], ["window_start"]
+    rows = files.written(features.select(*group, *order, *MEASURES))
 
     def train() -> dict:
-        got = anomaly.scored(features, ["service"], list(MEASURES), ["window_start"], trees, subsample).agg(F.count("*").alias("n"), F.avg("score").alias("mean")).first()
+        anomaly.save(anomaly.train(rows, group, list(MEASURES), order, trees, subsample), path)
+        forest = anomaly.load(rows.sparkSession, path)
+        got = anomaly.score(forest, rows, group, list(MEASURES), order).agg(F.count("*").alias("n"), F.avg("score").alias("mean")).first()
         return {"samples": got["n"], "mean_score": got["mean"]}
 
+    tracker.log("anomaly", run, "artifact", {"forest": path})
     return tracker.tracked("anomaly", run, {"trees": trees, "subsample": subsample}, train)
 
 
