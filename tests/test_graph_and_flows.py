@@ -177,3 +177,27 @@ def test_greedy_merge_equals_one_by_one(spark):
 def test_evidence_query(spark):
     f = spark.createDataFrame([("h", ["a", "b", "a"], 3), ("g", ["a"] * 5, 5)], "flow_id string, services array<string>, n_steps int")
     assert {r["query_id"]: (r["query"], r["top_k"]) for r in flows.evidence_query(f).collect()} == {"h": ("a b", 10), "g": ("a", 15)}
+
+
+def test_overlaps_by_prefixes(spark):
+    rng = random.Random(9)
+    rows = [(f"f{i:03}", ["gateway"] + [f"s{rng.randrange(400)}" for _ in range(rng.randint(1, 9))]) for i in range(300)]
+    rows += [(f"g{i}", [*rows[i][1][:-1], "extra", "extra"]) for i in range(40)] + [("none", []), ("only", ["gateway"]), ("same", rows[5][1])]
+    df = spark.createDataFrame(rows, "flow_id string, services array<string>")
+    want = []
+    for i, (a, x) in enumerate(sorted(rows)):
+        for b, y in sorted(rows)[i + 1 :]:
+            x1, y1 = set(x), set(y)
+            if x1 and y1 and len(x1 & y1) >= flows.OVERLAP * min(len(x1), len(y1)):
+                want.append((a, b, len(x1 & y1)))
+    assert sorted(map(tuple, flows.overlapping_pairs(df).collect())) == sorted(want) and len(want) > 340
+    # every flow has the gateway: over 58,000 pairs share it, few of them are made
+    assert flows.candidate_pairs(df).count() < 4000
+
+
+def test_links_of_block_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and sum(p * q for p, q in zip(x, y, strict=True)) > 0.7}
+    assert {(r["a"], r["b"]) for r in graph.link_scores(v, 0.7, block=13).collect()} == want

@@ -206,8 +206,8 @@ def test_pattern_supports(spark):
 @pytest.mark.parametrize(
     "pattern, kind",
     [
-        (["a::ERROR(x)", "b::ERROR(y)"], "ERROR_PROPAGATION"), (["a::ERROR(x)", "a::ERROR(y)"], "CASCADE_FAILURE"), (["a::KAFKA_PRODUCE(x)", "b::KAFKA_CONSUME(x)"], "ASYNC_FANOUT"), (["a::KAFKA_PRODUCE(x)", "b::LOG(x)"], "ASYNC_FANOUT"), (["a::KAFKA_PRODUCE(x)"], "NORMAL"),
-        (["a::LOG(x)"] * 3, "RETRY_PATTERN"), (["a::LOG(x)", "b::LOG(x)", "a::LOG(x)"], "NORMAL"), (["a::ERROR(x)"], "NORMAL"),
+        (["a::LOG_ERROR(x)", "b::LOG_ERROR(y)"], "ERROR_PROPAGATION"), (["a::LOG_ERROR(x)", "a::LOG_ERROR(y)"], "CASCADE_FAILURE"), (["a::KAFKA_PRODUCE(x)", "b::KAFKA_CONSUME(x)"], "ASYNC_FANOUT"), (["a::KAFKA_PRODUCE(x)", "b::LOG(x)"], "ASYNC_FANOUT"), (["a::KAFKA_PRODUCE(x)"], "NORMAL_FLOW"),
+        (["a::LOG(x)"] * 3, "RETRY_PATTERN"), (["a::LOG(x)", "b::LOG(x)", "a::LOG(x)"], "NORMAL_FLOW"), (["a::LOG_ERROR(x)"], "NORMAL_FLOW"),
     ],
 )
 def test_pattern_classes(spark, pattern, kind):

@@ -260,3 +260,38 @@ def test_new_blobs_once(spark, tmp_path):
     q = events.new_blobs(spark.readStream.schema(schema).json(src)).writeStream.outputMode("append").format("memory").queryName("blobs").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert spark.table("blobs").count() == 2
+
+
+def test_databases_of_service_configurations(spark, tmp_path):
+    urls = {"a": "jdbc:postgresql://h:5432/orders?ssl=1", "b": "jdbc:sqlserver://h/a;b=1", "c": "jdbc:h2:mem:test"}
+    for service, url in urls.items():
+        folder = tmp_path / "services" / service / "src"
+        folder.mkdir(parents=True)
+        (folder / "application.yml").write_text(f"datasources:\n  default:\n    url: '{url}'\nredis:\n  host: cache\n")
+    got = {(r["src"], r["dst"]) for r in manifests.service_edges(spark, str(tmp_path)).collect()}
+    assert got == {("svc:a", "db:orders"), ("svc:b", "db:a;b=1"), ("svc:c", "db:h2:mem:test")} | {(f"svc:{s}", "redis:cache") for s in urls}
+
+
+def test_merge_leaves_a_whole_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, seq int")
+    files.merge(rows(("a", 1, 1), ("b", 2, 1)), path, ["k"], "seq")
+    files.merge(rows(("b", 3, 2), ("c", 4, 2)), path, ["k"], "seq")
+    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()} == {"a": 1, "b": 3, "c": 4}
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("t")] == ["t"]
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        sparkContext = Context
+
+    with pytest.raises(ValueError):
+        files.scratch(Session)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.inverted import small
 from tracewright.sources.files import written
 
 OVERLAP = 0.7
@@ -48,13 +49,26 @@ def complexity(services: Column, is_async: Column, is_reactive: Column) -> Colum
 
 
 def overlapping_pairs(flows: DataFrame, ratio: float = OVERLAP) -> DataFrame:
-    """(a, b, shared) of flows a < b that share at least the ratio of the smaller one's services. Flows
-    meet on a shared service, so only pairs that share one are made."""
-    rows = flows.select("flow_id", F.array_distinct("services").alias("s"))
-    at = rows.select("flow_id", F.size("s").alias("n"), F.explode("s").alias("service"))
-    a, b = (at.select("service", F.col("flow_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    shared = a.join(b, "service").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= ratio * F.least("na", "nb")).select("a", "b", "shared")
+    """(a, b, shared) of flows a < b that share at least the ratio of the smaller one's services.
+
+    A flow's services are put in order from the rarest. Whoever shares ratio * n of the smaller flow's n services shares
+    one of its first n - ceil(ratio * n) + 1, so the smaller flow asks by those alone, and a service of nearly
+    all flows, last in order, makes no pairs of its own. A pair counts where its first such service is met."""
+    return candidate_pairs(flows, ratio).where(F.col("shared") >= ratio * F.col("na")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+
+
+def candidate_pairs(flows: DataFrame, ratio: float = OVERLAP) -> DataFrame:
+    """(a, na, b, shared): each pair that meets on a prefix, once; a has no more services than b."""
+    at = flows.select("flow_id", F.explode(F.array_distinct("services")).alias("service"))
+    often = small(written(at.groupBy("service").agg(F.count("*").alias("often"))))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("often", "service"))), lambda x: x["service"])
+    rows = written(at.join(often, "service").groupBy("flow_id").agg(order.alias("s")).withColumn("n", F.size("s")))
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * ratio - 1e-9) + 1).cast("int"))
+    asks = rows.select(F.col("flow_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), first.alias("pa")).withColumn("service", F.explode("pa"))
+    holds = rows.select(F.col("flow_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.explode("s").alias("service"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = asks.join(holds, "service").where(smaller & (F.col("a") != F.col("b"))).where(F.get(F.array_intersect("pa", "sb"), 0) == F.col("service"))
+    return pairs.select("a", "na", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
 
 
 def merged(flows: DataFrame, ratio: float = OVERLAP) -> DataFrame:

@@ -185,13 +185,13 @@ def build_graph(nodes: DataFrame, edges: DataFrame, classes: DataFrame | None =
 
 def link_scores(vecs: DataFrame, threshold: float = LINK_THRESHOLD, block: int = 2000) -> DataFrame:
     """(a, b, score) of pairs a < b whose dot product exceeds the threshold: all pairs are asked for, so
-    rows are dealt as pairs of blocks and met by an equi-join on the block pair."""
+    rows are dealt as pairs of blocks, each pair of blocks once, and met by an equi-join on it."""
     blocks = max(1, -(-vecs.count() // block))
     rows = vecs.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("k").alias("i"), F.col("o").alias("j"), F.col("id").alias("a"), F.col("embedding").alias("va"))
-    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("o").alias("i"), F.col("k").alias("j"), F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = left.join(right, ["i", "j"]).where("a < b").withColumn("score", vectors.dot(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("score") > threshold).select("a", "b", "score")
+    left = rows.withColumn("o", F.explode(F.sequence(F.col("k"), F.lit(blocks - 1)))).select(F.col("k").alias("i"), F.col("o").alias("j"), F.col("id").alias("a"), F.col("embedding").alias("va"))
+    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k")))).select(F.col("o").alias("i"), F.col("k").alias("j"), F.col("id").alias("b"), F.col("embedding").alias("vb"))
+    pairs = left.join(right, ["i", "j"]).where("i < j and a <> b or a < b").withColumn("score", vectors.dot(F.col("va"), F.col("vb")))
+    return pairs.where(F.col("score") > threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def classified(vecs: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ WINDOW_SECONDS, MIN_SUPPORT, MAX_LENGTH = 30, 0.03, 10
 
 
 def event_type(severity: Column, log_type: Column, template: Column) -> Column:
-    """ERROR before ENDPOINT_CALL before the two Kafka kinds, else LOG."""
+    """LOG_ERROR before ENDPOINT_CALL before the two Kafka kinds, else LOG (fixed names)."""
     low = F.lower(F.coalesce(template, F.lit("")))
     return (
-        F.when(is_error(severity), "ERROR").when(log_type == "ISTIO", "ENDPOINT_CALL").when(low.contains("kafka") & low.contains("produce"), "KAFKA_PRODUCE")
+        F.when(is_error(severity), "LOG_ERROR").when(log_type == "ISTIO", "ENDPOINT_CALL").when(low.contains("kafka") & low.contains("produce"), "KAFKA_PRODUCE")
         .when(low.contains("kafka") & low.contains("consume"), "KAFKA_CONSUME").otherwise("LOG")
     )
 
@@ -72,17 +72,18 @@ def services_of(items: Column) -> Column:
 
 
 def pattern_class(items: Column) -> Column:
+    """Fixed names."""
     of = lambda part: F.size(F.filter(items, lambda i: i.contains(part)))
     size = F.size(items)
-    errors = (size >= 2) & (of("::ERROR(") == size)
-    return F.when(errors & (F.size(services_of(items)) > 1), "ERROR_PROPAGATION").when(errors, "CASCADE_FAILURE").when((size >= 2) & (of("::KAFKA_") >= 1), "ASYNC_FANOUT").when(longest_run(items) >= 3, "RETRY_PATTERN").otherwise("NORMAL")
+    errors = (size >= 2) & (of("::LOG_ERROR(") == size)
+    return F.when(errors & (F.size(services_of(items)) > 1), "ERROR_PROPAGATION").when(errors, "CASCADE_FAILURE").when((size >= 2) & (of("::KAFKA_") >= 1), "ASYNC_FANOUT").when(longest_run(items) >= 3, "RETRY_PATTERN").otherwise("NORMAL_FLOW")
 
 
 def enriched(patterns: DataFrame) -> DataFrame:
     """+ pattern_type, services, flags and the arrow description."""
     p = F.col("pattern")
     return patterns.select(
-        "*", pattern_class(p).alias("pattern_type"), services_of(p).alias("services"), F.exists(p, lambda i: i.contains("::ERROR(")).alias("has_errors"), F.exists(p, lambda i: i.contains("::KAFKA_")).alias("has_kafka"),
+        "*", pattern_class(p).alias("pattern_type"), services_of(p).alias("services"), F.exists(p, lambda i: i.contains("::LOG_ERROR(")).alias("has_errors"), F.exists(p, lambda i: i.contains("::KAFKA_")).alias("has_kafka"),
         (F.size(services_of(p)) > 1).alias("cross_service"), F.array_join(p, " → ").alias("description"),
     )
 

@@ -63,7 +63,7 @@ def classified(spark, sf):
     return e.select("event_id", sequences.event_type(F.col("severity"), F.col("log_type"), F.col("message")).alias("event_type"), sequences.detail(F.col("template_id"), F.col("message")).alias("detail"))
 
 
-KIND = "case when severity in ('ERROR', 'FATAL') then 'ERROR' when log_type = 'ISTIO' then 'ENDPOINT_CALL' when lower(message) like '%kafka%' and lower(message) like '%produce%' then 'KAFKA_PRODUCE' when lower(message) like '%kafka%' and lower(message) like '%consume%' then 'KAFKA_CONSUME' else 'LOG' end"
+KIND = "case when severity in ('ERROR', 'FATAL') then 'LOG_ERROR' when log_type = 'ISTIO' then 'ENDPOINT_CALL' when lower(message) like '%kafka%' and lower(message) like '%produce%' then 'KAFKA_PRODUCE' when lower(message) like '%kafka%' and lower(message) like '%consume%' then 'KAFKA_CONSUME' else 'LOG' end"
 
 
 def features(seconds):

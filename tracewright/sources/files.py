@@ -23,8 +23,12 @@ MOST_BYTES, MOST_ENTRIES, MOST_RATIO = 10 << 30, 50_000, 100
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for what a query writes on its way; a temporary one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")).rstrip("/")
+    """The shared folder for what a query writes on its way; a temporary one only where none is named and
+    all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp(prefix="tracewright-")).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -144,7 +148,8 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 def merge(new: DataFrame, path: str, keys: list[str], order: str) -> None:
     """Upsert into a table of Parquet files: last by `order` for each key. The new state is written
-    beside the old one and takes its place when whole."""
+    beside the old one and takes its place when whole; until then the old one is only moved aside, so that a stop at
+    any point leaves one of them whole (the old one as *-old)."""
     from tracewright.operators.relational import upsert
 
     spark = new.sparkSession
@@ -152,8 +157,13 @@ def merge(new: DataFrame, path: str, keys: list[str], order: str) -> None:
     rows = upsert(spark.read.parquet(path), new, keys, F.col(order)) if fs.exists(place) else upsert(new.limit(0), new, keys, F.col(order))
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     rows.write.parquet(beside)
-    fs.delete(place, True)
-    fs.rename(jpath(beside), place)
+    aside = jpath(f"{beside}-old")
+    if fs.exists(place) and not fs.rename(place, aside):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(jpath(beside), place):
+        fs.rename(aside, place)
+        raise OSError(f"{beside} can't take the place of {path}")
+    fs.delete(aside, True)
 
 
 def delete_partitions(df: DataFrame, path: str, by: list[str]) -> None:
