@@ -1,5 +1,6 @@
 """Lines, traces, templates, windows, episodes, sequences: small cases with known results."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -261,3 +262,37 @@ def test_a_tree_splits_its_rows():
             mine = [r for r in x if i in path_of(tree, r)]
             assert min(r[f] for r in mine) < cut <= max(r[f] for r in mine)
     assert max(tree["value"]) <= 6 + anomaly.path_norm(64) and anomaly.grown(np.zeros((9, 3)), [1])["value"] == [anomaly.path_norm(9)]
+
+
+def one_by_one(messages):
+    """Clusters of masked, distinct messages by first fit: tokens -> [template, count]."""
+    buckets = {}
+    for tokens in messages:
+        found = buckets.setdefault(tuple(tokens[: drain.DEPTH]), [])
+        hit = next((c for c in found if drain.similarity(c[0], tokens) >= drain.SIMILAR), None)
+        if hit:
+            hit[1] += 1
+        else:
+            found.append([tokens, 1])
+    return sorted((" ".join(t), n) for found in buckets.values() for t, n in found)
+
+
+@pytest.mark.parametrize(("head", "chunk"), [(2000, 20_000), (7, 25)])
+def test_a_hot_bucket_is_settled_in_rounds(spark, monkeypatch, head, chunk):
+    monkeypatch.setattr(drain, "HEAD", head)
+    monkeypatch.setattr(drain, "CHUNK", chunk)
+    rng = random.Random(head)
+    words = ["red", "green", "blue", "black", "white", "<*>"]
+    messages = [["all", "of", "one", "bucket", *rng.choices(words, k=rng.randint(12, 15))] for _ in range(400)] + [["few", *rng.choices(words, k=3)] for _ in range(20)]
+    rng.shuffle(messages)
+    df = spark.createDataFrame([(" ".join(m), i) for i, m in enumerate(messages)], "message string, seq long")
+    got = sorted((r["template"], r["match_count"]) for r in drain.clusters(df).collect())
+    assert got == one_by_one(messages) and len(got) > 20
+
+
+def test_leaders_are_asked_as_one_by_one():
+    rng = random.Random(1)
+    some = lambda n: [rng.choices(["a", "b", "c", "<*>"], k=rng.randint(0, 6)) for _ in range(n)]
+    led, asked = some(12), some(200)
+    want = [next((k for k, t in enumerate(led) if drain.similarity(t, m) >= 0.5), -1) for m in asked]
+    assert drain.Leaders(led).first(asked, 0.5).tolist() == want

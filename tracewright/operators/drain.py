@@ -1,21 +1,26 @@
 """Log templates by similarity of masked tokens (Drain).
 
 Messages that share their first DEPTH masked tokens form a bucket; clusters never cross buckets. Equal
-masked messages are counted first, so a bucket's task gets each distinct one once, with its first place
-and its count; a hot template is one row."""
+masked messages are counted first, so each distinct one comes once, with its first place and its count; a
+hot template is one row. A hot bucket of distinct messages is settled in rounds over many tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
+from tracewright.operators.inverted import small
 from tracewright.session import ship
+from tracewright.sources.files import written
 
 SIMILAR, DEPTH = 0.5, 4
+#: Distinct messages of a bucket that are settled one by one in a round, and later ones that a task asks for.
+HEAD, CHUNK = 2000, 20_000
 WILDCARD = "<*>"
 
 
@@ -35,30 +40,104 @@ def generalized(template: list[str], tokens: list[str]) -> list[str]:
     return [template[i] if i < len(template) and at(tokens, i) == template[i] else WILDCARD for i in range(longest)]
 
 
+class Leaders:
+    """Templates in order of arrival, asked for many messages at once."""
+
+    def __init__(self, templates: list[list[str]]):
+        self.number: dict[str, int] = {WILDCARD: 1}
+        self.templates = [self.coded(t) for t in templates]
+
+    def coded(self, tokens: list[str]) -> np.ndarray:
+        return np.array([self.number.setdefault(t, len(self.number) + 1) for t in tokens], np.int64)
+
+    def first(self, messages: list[list[str]], similar: float) -> np.ndarray:
+        """Number of the first template that is similar enough, -1 where none is."""
+        coded = [self.coded(m) for m in messages]
+        length = np.array([len(c) for c in coded])
+        table = np.zeros((len(coded), max(1, length.max(initial=0))), np.int64)
+        for row, c in zip(table, coded, strict=True):
+            row[: len(c)] = c
+        out, left = np.full(len(coded), -1), np.arange(len(coded))
+        for k, t in enumerate(self.templates):
+            mine, n = table[left, : len(t)], length[left]
+            here = t[: mine.shape[1]]
+            same = (((mine == here) | (mine == 1) | (here == 1)) & (mine > 0)).sum(axis=1)
+            longest, shortest = np.maximum(n, len(t)), np.minimum(n, len(t))
+            share = np.where(shortest > 0, (same + longest - shortest) / np.maximum(longest, 1), longest == 0)
+            hit = share >= similar
+            out[left[hit]] = k
+            left = left[~hit]
+            if not len(left):
+                break
+        return out
+
+
+def in_turn(batch: pd.DataFrame, similar: float, generalize: bool) -> list[list]:
+    """[template now, first message, its seq, count] of each cluster, by first fit in order of arrival."""
+    found: list[list] = []
+    for tokens, seq, n in batch.sort_values(["seq", "key"])[["tokens", "seq", "n"]].itertuples(index=False):
+        tokens = list(tokens)
+        hit = next((c for c in found if similarity(c[0], tokens) >= similar), None)
+        if hit is None:
+            found.append([tokens, tokens, seq, n])
+        else:
+            hit[3] += n
+            if generalize:
+                hit[0] = generalized(hit[0], tokens)
+    return found
+
+
 def clusters(messages: DataFrame, similar: float = SIMILAR, depth: int = DEPTH, generalize: bool = False) -> DataFrame:
     """messages: message, seq (order of arrival) -> cluster_id (by content), template, match_count.
 
     A message joins the first cluster of its bucket, in order of arrival, that is similar enough;
-    templates stay as first seen unless generalize. Blank messages have none."""
+    templates stay as first seen unless generalize. Blank messages have none.
+
+    Rounds keep a hot bucket out of one task: the first HEAD messages of each bucket are settled in turn;
+    what they found is asked, in chunks of about CHUNK, for the bucket's later messages; those that fit none go to the
+    next round. No earlier cluster fits a message that is left, so this is the rule of one by one. If
+    templates change as messages join (generalize), their order decides each step, and a bucket is one task."""
     ship(messages.sparkSession)
     rows = messages.select(text.masked_tokens(F.col("message")).alias("tokens"), "seq").where("tokens is not null")
-    rows = rows.groupBy("tokens").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).withColumn("bucket", F.to_json(F.slice("tokens", 1, depth)))
-
-    def bucket(batch: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for tokens, n in batch.sort_values("seq")[["tokens", "n"]].itertuples(index=False):
-            tokens = list(tokens)
-            hit = next((c for c in found if similarity(c[0], tokens) >= similar), None)
-            if hit is None:
-                found.append([tokens, tokens, n])
-            else:
-                hit[2] += n
-                if generalize:
-                    hit[0] = generalized(hit[0], tokens)
-        return pd.DataFrame({"first": [" ".join(c[1]) for c in found], "template": [" ".join(c[0]) for c in found], "match_count": [c[2] for c in found]})
-
-    out = rows.groupBy("bucket").applyInPandas(bucket, "first string, template string, match_count long")
-    return out.select(F.substring(F.sha2("first", 256), 1, 16).alias("cluster_id"), "template", "match_count")
+    rows = rows.groupBy("tokens").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).withColumn("bucket", F.to_json(F.slice("tokens", 1, depth))).withColumn("key", F.to_json("tokens"))
+    kind = rows.schema["seq"].dataType.simpleString()
+
+    def settle(batch: pd.DataFrame) -> pd.DataFrame:
+        found = in_turn(batch, similar, generalize)
+        return pd.DataFrame({"bucket": batch["bucket"].iloc[0], "seq": [c[2] for c in found], "first": [c[1] for c in found], "template": [c[0] for c in found], "n": [c[3] for c in found]})
+
+    spec = f"bucket string, seq {kind}, first array<string>, template array<string>, n long"
+    if generalize:
+        found = rows.groupBy("bucket").applyInPandas(settle, spec)
+    else:
+        found = in_rounds(written(rows), settle, spec, similar)
+    named = found.groupBy("bucket", "seq", "first", "template").agg(F.sum("n").alias("match_count"))
+    return named.select(F.substring(F.sha2(F.array_join("first", " "), 256), 1, 16).alias("cluster_id"), F.array_join("template", " ").alias("template"), "match_count")
+
+
+def in_rounds(left: DataFrame, settle, spec: str, similar: float) -> DataFrame:
+    def ask(mine: pd.DataFrame, led: pd.DataFrame) -> pd.DataFrame:
+        led = led.sort_values(["seq", "leader_key"])
+        at = Leaders([list(t) for t in led["first"]]).first([list(t) for t in mine["tokens"]], similar) if len(mine) else []
+        return mine[["bucket", "tokens", "seq", "n", "key"]].assign(leader=[led["seq"].iloc[k] if k >= 0 else None for k in at], first=[led["first"].iloc[k] if k >= 0 else None for k in at])
+
+    kind = left.schema["seq"].dataType.simpleString()
+    at, found = F.struct("seq", "key"), None
+    while True:
+        head = left.withColumn("__n", F.row_number().over(Window.partitionBy("bucket").orderBy("seq", "key"))).where(F.col("__n") <= HEAD).drop("__n")
+        led = written(head.groupBy("bucket").applyInPandas(settle, spec))
+        found = led if found is None else found.unionByName(led)
+        hot = small(written(left.groupBy("bucket").agg(F.count("*").alias("__size")).where(F.col("__size") > HEAD)))
+        if hot.isEmpty():
+            return found
+        ends = small(written(head.join(hot, "bucket").groupBy("bucket", "__size").agg(F.max(at).alias("__end"))))
+        later = left.join(ends, "bucket").where(at > F.col("__end"))
+        chunks = F.ceil(F.col("__size") / CHUNK).cast("int")
+        later = later.withColumn("__chunk", F.pmod(F.xxhash64("key"), chunks).cast("int")).drop("__size", "__end")
+        asked = led.join(hot, "bucket").withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("leader_key", F.to_json("first")).drop("__size")
+        told = written(later.groupBy("bucket", "__chunk").cogroup(asked.groupBy("bucket", "__chunk")).applyInPandas(ask, f"bucket string, tokens array<string>, seq {kind}, n long, key string, leader {kind}, first array<string>"))
+        found = found.unionByName(told.where("leader is not null").select("bucket", F.col("leader").alias("seq"), "first", F.col("first").alias("template"), "n"))
+        left = told.where("leader is null").drop("leader", "first")
 
 
 def stream_rows(rows: Iterator) -> list[list[str]]:
