@@ -183,7 +183,7 @@ def test_forest_ranks_outliers_first(spark):
 
 def test_event_types_and_details(spark):
     e = events(spark, [{"severity": "ERROR", "log_type": "ISTIO"}, {"log_type": "ISTIO"}, {"message": "Kafka produce x"}, {"message": "kafka consume y", "template_id": " "}, {}])
-    assert [r["item"].split("::")[1] for r in sequences.items_of(e).orderBy("event_id").collect()] == ["ERROR(t1)", "ENDPOINT_CALL(t1)", "KAFKA_PRODUCE(t1)", "KAFKA_CONSUME(kafka consume y)", "LOG(t1)"]
+    assert [r["item"].split("::")[1] for r in sequences.items_of(e).orderBy("event_id").collect()] == ["LOG_ERROR(t1)", "ENDPOINT_CALL(t1)", "KAFKA_PRODUCE(t1)", "KAFKA_CONSUME(kafka consume y)", "LOG(t1)"]
 
 
 def test_trace_sequences(spark):
@@ -288,6 +288,8 @@ def test_a_hot_bucket_is_settled_in_rounds(spark, monkeypatch, head, chunk):
     df = spark.createDataFrame([(" ".join(m), i) for i, m in enumerate(messages)], "message string, seq long")
     got = sorted((r["template"], r["match_count"]) for r in drain.clusters(df).collect())
     assert got == one_by_one(messages) and len(got) > 20
+    by_place = df.select("message", F.struct(F.floor(F.col("seq") / 9).alias("file"), F.col("seq").alias("line")).alias("seq"))
+    assert sorted((r["template"], r["match_count"]) for r in drain.clusters(by_place).collect()) == got
 
 
 def test_leaders_are_asked_as_one_by_one():

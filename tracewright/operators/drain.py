@@ -73,13 +73,13 @@ class Leaders:
 
 
 def in_turn(batch: pd.DataFrame, similar: float, generalize: bool) -> list[list]:
-    """[template now, first message, its seq, count] of each cluster, by first fit in order of arrival."""
+    """[template now, first message, its place, count] of each cluster, by first fit in order of place."""
     found: list[list] = []
-    for tokens, seq, n in batch.sort_values(["seq", "key"])[["tokens", "seq", "n"]].itertuples(index=False):
+    for tokens, place, n in batch.sort_values("place")[["tokens", "place", "n"]].itertuples(index=False):
         tokens = list(tokens)
         hit = next((c for c in found if similarity(c[0], tokens) >= similar), None)
         if hit is None:
-            found.append([tokens, tokens, seq, n])
+            found.append([tokens, tokens, place, n])
         else:
             hit[3] += n
             if generalize:
@@ -100,44 +100,48 @@ def clusters(messages: DataFrame, similar: float = SIMILAR, depth: int = DEPTH,
     ship(messages.sparkSession)
     rows = messages.select(text.masked_tokens(F.col("message")).alias("tokens"), "seq").where("tokens is not null")
     rows = rows.groupBy("tokens").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).withColumn("bucket", F.to_json(F.slice("tokens", 1, depth))).withColumn("key", F.to_json("tokens"))
-    kind = rows.schema["seq"].dataType.simpleString()
 
     def settle(batch: pd.DataFrame) -> pd.DataFrame:
         found = in_turn(batch, similar, generalize)
-        return pd.DataFrame({"bucket": batch["bucket"].iloc[0], "seq": [c[2] for c in found], "first": [c[1] for c in found], "template": [c[0] for c in found], "n": [c[3] for c in found]})
+        return pd.DataFrame({"bucket": batch["bucket"].iloc[0], "place": [c[2] for c in found], "first": [c[1] for c in found], "template": [c[0] for c in found], "n": [c[3] for c in found]})
 
-    spec = f"bucket string, seq {kind}, first array<string>, template array<string>, n long"
+    spec = "bucket string, place int, first array<string>, template array<string>, n long"
     if generalize:
-        found = rows.groupBy("bucket").applyInPandas(settle, spec)
+        found = placed(rows).groupBy("bucket").applyInPandas(settle, spec)
     else:
         found = in_rounds(written(rows), settle, spec, similar)
-    named = found.groupBy("bucket", "seq", "first", "template").agg(F.sum("n").alias("match_count"))
+    named = found.groupBy("bucket", "first", "template").agg(F.sum("n").alias("match_count"))
     return named.select(F.substring(F.sha2(F.array_join("first", " "), 256), 1, 16).alias("cluster_id"), F.array_join("template", " ").alias("template"), "match_count")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows without seq (of any type that has an order), with their place in the bucket."""
+    return rows.select("bucket", "tokens", "n", "key", F.row_number().over(Window.partitionBy("bucket").orderBy("seq", "key")).alias("place"))
+
+
 def in_rounds(left: DataFrame, settle, spec: str, similar: float) -> DataFrame:
     def ask(mine: pd.DataFrame, led: pd.DataFrame) -> pd.DataFrame:
-        led = led.sort_values(["seq", "leader_key"])
+        led = led.sort_values("place")
         at = Leaders([list(t) for t in led["first"]]).first([list(t) for t in mine["tokens"]], similar) if len(mine) else []
-        return mine[["bucket", "tokens", "seq", "n", "key"]].assign(leader=[led["seq"].iloc[k] if k >= 0 else None for k in at], first=[led["first"].iloc[k] if k >= 0 else None for k in at])
+        return mine[["bucket", "key", "n"]].assign(first=[led["first"].iloc[k] if k >= 0 else None for k in at])
 
-    kind = left.schema["seq"].dataType.simpleString()
     at, found = F.struct("seq", "key"), None
     while True:
-        head = left.withColumn("__n", F.row_number().over(Window.partitionBy("bucket").orderBy("seq", "key"))).where(F.col("__n") <= HEAD).drop("__n")
+        head = placed(left).where(F.col("place") <= HEAD)
         led = written(head.groupBy("bucket").applyInPandas(settle, spec))
         found = led if found is None else found.unionByName(led)
         hot = small(written(left.groupBy("bucket").agg(F.count("*").alias("__size")).where(F.col("__size") > HEAD)))
         if hot.isEmpty():
             return found
-        ends = small(written(head.join(hot, "bucket").groupBy("bucket", "__size").agg(F.max(at).alias("__end"))))
+        last = head.join(hot, "bucket").where(F.col("place") == HEAD).select("bucket", "key", "__size")
+        ends = small(written(left.join(small(written(last)), ["bucket", "key"]).select("bucket", "__size", at.alias("__end"))))
         later = left.join(ends, "bucket").where(at > F.col("__end"))
         chunks = F.ceil(F.col("__size") / CHUNK).cast("int")
-        later = later.withColumn("__chunk", F.pmod(F.xxhash64("key"), chunks).cast("int")).drop("__size", "__end")
-        asked = led.join(hot, "bucket").withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("leader_key", F.to_json("first")).drop("__size")
-        told = written(later.groupBy("bucket", "__chunk").cogroup(asked.groupBy("bucket", "__chunk")).applyInPandas(ask, f"bucket string, tokens array<string>, seq {kind}, n long, key string, leader {kind}, first array<string>"))
-        found = found.unionByName(told.where("leader is not null").select("bucket", F.col("leader").alias("seq"), "first", F.col("first").alias("template"), "n"))
-        left = told.where("leader is null").drop("leader", "first")
+        later = written(later.withColumn("__chunk", F.pmod(F.xxhash64("key"), chunks).cast("int")).drop("__size", "__end"))
+        asked = led.join(hot, "bucket").withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("__size")
+        told = written(later.drop("seq").groupBy("bucket", "__chunk").cogroup(asked.groupBy("bucket", "__chunk")).applyInPandas(ask, "bucket string, key string, n long, first array<string>"))
+        found = found.unionByName(told.where("first is not null").select("bucket", F.lit(0).alias("place"), "first", F.col("first").alias("template"), "n"))
+        left = written(later.drop("__chunk").join(told.where("first is null").select("bucket", "key"), ["bucket", "key"], "left_semi"))
 
 
 def stream_rows(rows: Iterator) -> list[list[str]]:
