@@ -165,6 +165,14 @@ def merged(spark, sf):
     return flows.merged(candidates(spark, sf))
 
 
+#: One by one, in order of flow_id: a flow is kept unless a kept one overlaps it.
+MERGED = f"""{walks(3)}, fl as (select 'http-' || substring(sha256(path), 1, 16) id, list_distinct(string_split(path, '>')) s from w), o as (select id, row_number() over (order by id) i from fl),
+sv as (select id, len(s) n, unnest(s) x from fl), pr as (select x.id a, y.id b from sv x join sv y on x.x = y.x and x.id < y.id group by x.id, y.id, x.n, y.n having count(*) >= 0.7 * least(x.n, y.n)),
+nb as (select o.i, o.id, list(pr.a) filter (pr.a is not null) smaller from o left join pr on pr.b = o.id group by all),
+g as (select cast(0 as bigint) i, cast([] as varchar[]) kept union all select g.i + 1, case when list_has_any(g.kept, coalesce(nb.smaller, [])) then g.kept else list_append(g.kept, nb.id) end from g join nb on nb.i = g.i + 1)
+select unnest(kept) flow_id from g where i = (select max(i) from o)"""
+
+
 def flow_steps(spark, sf):
     rows = candidates(spark, sf).select(F.array_join("services", ">").alias("flow_id"), "services", "is_async")
     return flows.steps(rows).select("flow_id", F.col("step").cast("long").alias("step"), "service", "kind")
@@ -227,5 +235,5 @@ QUERIES = {
     "flow_complexity": (complexity, f"{walks(3)}, f as (select path, list_distinct(string_split(path, '>')) s from w) select path, case when len(s) >= 5 then 'VERY_HIGH' when len(s) >= 3 then 'HIGH' when len(s) >= 2 then 'MEDIUM' else 'LOW' end complexity from f"),
     "flow_confidence": (confidence, f"{walks(3)} select path, round(least(1.0, least(0.4, (at_ % 6) * 0.1) + least(0.2, (hops + 1) * 0.05) + least(0.3, (at_ % 3) * 0.15) + 0.1), 6) confidence from w"),
     "flow_overlap_pairs": (overlaps, OVERLAPS),
-    "flow_merge_greedy": (merged, None),
+    "flow_merge_greedy": (merged, MERGED),
 }

@@ -158,6 +158,17 @@ def patterns(spark, sf):
     return found.select("description", "count", F.round("support", 6).alias("support"), "pattern_type", "has_errors", "has_kafka", "cross_service", F.array_join("services", ",").alias("services"))
 
 
+#: A pattern's earliest end in each sequence, grown item by item while enough sequences hold it.
+PATTERNS = f"""with recursive {sql("ev")}, al as (select trace_id s, {ITEM} i, row_number() over (partition by trace_id order by ts, event_id) p, count(*) over (partition by trace_id) n from ev where trace_id is not null),
+it as (select s, i, p from al where n >= 2), m as (select count(distinct s) n, greatest(1, ceil(count(distinct s) * {sequences.MIN_SUPPORT})) least from it),
+r as (select * from (select i pattern, s, min(p) p, 1 length from it group by i, s) qualify count(*) over (partition by pattern) >= (select least from m)
+union all select * from (select r.pattern || ' → ' || it.i pattern, r.s, min(it.p) p, r.length + 1 length from r join it on it.s = r.s and it.p > r.p where r.length < {sequences.MAX_LENGTH} group by r.pattern, it.i, r.s, r.length) qualify count(*) over (partition by pattern) >= (select least from m)),
+c as (select pattern description, count(*) as count, string_split(pattern, ' → ') l from r group by all),
+d as (select *, list_transform(l, lambda x: string_split(x, '::')[1]) v from c), e as (select *, list_filter(v, lambda x, k: list_position(v, x) = k) sv, len(list_filter(l, lambda x: contains(x, '::LOG_ERROR('))) er, len(list_filter(l, lambda x: contains(x, '::KAFKA_'))) ka from d)
+select description, count, round(count / m.n, 6) support, case when len(l) >= 2 and er = len(l) then case when len(sv) > 1 then 'ERROR_PROPAGATION' else 'CASCADE_FAILURE' end when len(l) >= 2 and ka >= 1 then 'ASYNC_FANOUT'
+  when len(list_filter(range(1, len(l) - 1), lambda k: l[k] = l[k + 1] and l[k] = l[k + 2])) > 0 then 'RETRY_PATTERN' else 'NORMAL_FLOW' end pattern_type, er > 0 has_errors, ka > 0 has_kafka, len(sv) > 1 cross_service, array_to_string(sv, ',') services from e, m"""
+
+
 def passages(spark, sf):
     e = frame(spark, sf, "ev")
     none = F.lit(None).cast("string")
@@ -211,7 +222,7 @@ QUERIES = {
     "temporal_sequences": (lambda s, d: joined(sequences.window_sequences(frame(s, d, "ev")), "bin"), f"with {sql('ev')}, b as (select *, cast(floor((epoch_us(ts) - (select epoch_us(min(ts)) from ev)) / 30000000.0) as bigint) bin from ev) select bin, count(*) n, string_agg({ITEM}, ' → ' order by ts, event_id) items from b group by all having count(*) >= 2"),
     "prefixspan_len2": (pairs, PAIRS),
     "pair_supports": (supports, SUPPORTS),
-    "prefixspan_full": (patterns, None),
+    "prefixspan_full": (patterns, PATTERNS),
     "template_service_lookup": (lookup, f"with {sql('ev')}, f as (select template_id, arg_min(service, (epoch_us(ts), event_id)) s from ev group by all) select event_id, template_id, s first_service from ev join f using (template_id)"),
     "stratified_sample": (sampled, SAMPLED),
     "embedding_texts": (passages, f"with {sql('ev')} select event_id, 'passage: [' || service || '] ' || severity || ': ' || template_id || case when exception_class is not null then ' | exception: ' || exception_class else '' end passage from ev"),

@@ -116,6 +116,12 @@ def chunks(spark, sf):
     return code.split_chunks(frame(spark, sf, "docs").select(F.col("doc_id").alias("key"), "text"), 512).select(F.col("key").alias("doc_id"), "part", "tokens")
 
 
+CHUNKS = f"""with recursive {sql('docs')}, al as (select doc_id, string_split(text, chr(10)) l from docs), ls as (select doc_id, unnest(l) one, generate_subscripts(l, 1) i from al),
+ln as (select doc_id, i, len(list_filter(regexp_split_to_array(one, '[\\s{{}}();,.<>]+'), lambda x: x <> '')) n from ls),
+r as (select doc_id, i, 1 part, n held from ln where i = 1 union all select r.doc_id, ln.i, case when held + n > 512 then part + 1 else part end, case when held + n > 512 then n else held + n end from r join ln on ln.doc_id = r.doc_id and ln.i = r.i + 1)
+select doc_id, cast(part as int) part, max(held) tokens from r group by all"""
+
+
 def slugs(spark, sf):
     return frame(spark, sf, "docs").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
@@ -180,7 +186,7 @@ QUERIES = {
     "operator_counts": (counted, COUNTED),
     "chunk_hashes": (hashes, f"with {sql('docs')} select doc_id, substring(sha256(text), 1, 16) content_hash from docs"),
     "token_estimate": (estimates, rf"with {sql('docs')} select doc_id, len(list_filter(regexp_split_to_array(text, '[\s{{}}();,.<>]+'), lambda x: trim(x) <> '')) tokens from docs"),
-    "chunk_split": (chunks, None),
+    "chunk_split": (chunks, CHUNKS),
     "slugify": (slugs, f"with {sql('docs')} select doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') slug from docs"),
     "coherence_score": (coherence, rf"with {sql('narrative')} select doc_id, round((least(1.0, len(regexp_split_to_array(text, '(?m)^#{{1,3}} ')) / 5.0) + least(1.0, ({CONNECT}) / 4.0)) / 2.0, 6) coherence from narrative"),
     "completeness_score": (completeness, f"with {sql('narrative')} select doc_id, round((cast(contains(text, service_a) as int) + cast(contains(text, service_b) as int)) / 2.0, 6) completeness from narrative"),
