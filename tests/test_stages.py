@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import snapshots
+from tracewright.operators import projections, snapshots
 from tracewright.plans import catalogue
 from tracewright.sources import files
 from tracewright.sources.tracking import Tracker
@@ -120,3 +120,24 @@ def test_scan_filters_reach_the_files(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 3 as k", "id as unused").write.parquet(str(tmp_path / "t"))
     plan = files.scan(spark, str(tmp_path / "t"), k=1).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,1)" in plan and "unused" not in plan.split("ReadSchema")[1]
+
+
+def test_documents_and_events(spark):
+    at = datetime(2024, 1, 15, 10, 30, 45, 123000)
+    events = spark.createDataFrame([("svc", "ISTIO", at, "t", "m", "tr", None, "ERROR"), (None, "APP", None, None, None, None, None, None)], "service string, source string, ts timestamp, template_id string, message string, trace_id string, span_id string, severity string")
+    docs = projections.event_documents(events, "b", F.lit("2024-01-01").cast("timestamp"))
+    assert tuple(docs.columns) == projections.EVENT_FIELDS
+    assert {tuple(r) for r in docs.collect()} == {
+        ("b", "svc", "ISTIO", "2024-01-15T10:30:45.123000Z", "t", "m", "tr", "", "ERROR", "2024-01-01T00:00:00.000000Z"), ("b", "", "APP", None, "", "", "", "", "", "2024-01-01T00:00:00.000000Z"),
+    }
+    back = projections.document_events(docs, "other").where("service = 'svc'").first().asDict()
+    assert back == {"batch_id": "b", "service": "svc", "ts": at, "severity": "ERROR", "template_id": "t", "message": "m", "trace_id": "tr", "span_id": None, "source": "APP"}
+    bare = spark.createDataFrame([(" ", "no time"), (None, "2024-01-15T10:30:45.123Z")], "batch_id string, timestamp string")
+    assert [tuple(r)[:4] for r in projections.document_events(bare, "mine").orderBy("ts").collect()] == [("mine", "", None, "INFO"), ("mine", "", at, "INFO")]
+
+
+def test_topology_documents(spark):
+    nodes = spark.createDataFrame([("svc:a", "Service", "a")], "id string, label string, name string")
+    edges = spark.createDataFrame([("svc:a", "db:x", "DATABASE_CONNECT")], "src string, dst string, type string")
+    got = {tuple(r)[:5] for r in projections.topology_documents(nodes, edges, "s").collect()}
+    assert got == {("s", "a", "topology/node/svc:a", "topology-node", '{"id":"svc:a","label":"Service","name":"a"}'), ("s", "svc:a", "topology/edge/svc:a-db:x", "topology-edge", '{"src":"svc:a","dst":"db:x","type":"DATABASE_CONNECT"}')}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import flows, graph, relational, retrieval
+from tracewright.operators import flows, graph, projections, relational, retrieval
 from tracewright.plans.adapters import EDGES_SQL, TOPICS_SQL, edges, frame, sql, topics
 
 GE = f"with recursive {EDGES_SQL}, {sql('gn')}"
@@ -52,6 +52,16 @@ one as (select src id, dst n, relation, e from un), two as (select one.id, un.ds
 select distinct x.id, n neighbor, relation, type as label from (select id, n, relation from one union all select id, n, relation from two) x join gn on gn.id = n where x.id <> n"""
 
 
+def topology_documents(spark, sf):
+    of, nodes = related(spark, sf)
+    named = nodes.select("id", "label", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    return projections.topology_documents(named, of, "s1", F.lit("2024-01-01").cast("timestamp"))
+
+
+TOPOLOGY = f"""{GE}, {RELATED} select 's1' snapshot_id, 'n' || id service_name, 'topology/node/' || id file_path, 'topology-node' artifact_type, cast(to_json({{'id': id, 'label': type, 'name': 'n' || id}}) as varchar) as content, '2024-01-01T00:00:00.000000Z' indexed_at from gn
+union all select 's1', cast(src as varchar), 'topology/edge/' || src || '-' || dst, 'topology-edge', cast(to_json({{'src': src, 'dst': dst, 'relation': relation}}) as varchar), '2024-01-01T00:00:00.000000Z' from re"""
+
+
 def chain(spark, sf):
     """From every node that exposes an endpoint and that nobody calls, to all that it reaches."""
     of, nodes = related(spark, sf)
@@ -217,6 +227,7 @@ QUERIES = {
     "flow_steps": (flow_steps, STEPS),
     "evidence_queries": (evidence, f"{walks(3)}, s as (select path, string_split(path, '>') l from w) select path query_id, greatest(10, 3 * len(l)) top_k from s"),
     "resolved_edges": (resolved, RESOLVED),
+    "topology_documents": (topology_documents, TOPOLOGY),
     "graph_context_documents": (context, CONTEXT),
     "entry_points": (entries, f"{GE}, {STARTS} select id from st"),
     "call_chains_3": (chains(3), f"{walks(3)} select path, cast(hops as int) hops from w"),

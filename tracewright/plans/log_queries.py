@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import logs, text
-from tracewright.operators import anomaly, drain, ordered, relational, sequences, windows
+from tracewright.operators import anomaly, drain, ordered, projections, relational, sequences, windows
 from tracewright.plans.adapters import frame, sql
 from tracewright.streaming import events as stream
 
@@ -52,10 +52,29 @@ def template_counts(spark, sf):
     return masked(spark, sf).groupBy("template").agg(F.count("*").alias("match_count"))
 
 
+NOW = "2024-01-01 00:00:00"
+
+
 def document_projection(spark, sf):
     e = frame(spark, sf, "ev")
-    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return e.select("event_id", "service", "log_type", "severity", "template_id", blank("trace_id"), blank("exception_class"), "message")
+    docs = projections.event_documents(e.withColumn("source", F.col("log_type")).withColumn("message", F.concat_ws(" ", F.col("event_id").cast("string"), "message")), "b1", F.lit(NOW).cast("timestamp"))
+    return docs
+
+
+DOCUMENTS = f"""{sql("ev")}, dc as (select 'b1' batch_id, service service_name, log_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as timestamp, template_id, event_id || ' ' || message message,
+coalesce(trace_id, '') trace_id, '' span_id, severity, '2024-01-01T00:00:00.000000Z' indexed_at from ev)"""
+
+
+def document_events(spark, sf):
+    """Documents of which some lack their severity, batch or time, read back as events."""
+    docs = document_projection(spark, sf)
+    lost = lambda c, n: F.when(F.length("message") % n != 0, F.col(c)).alias(c)
+    events = projections.document_events(docs.select(lost("severity", 3), lost("batch_id", 5), lost("timestamp", 7), lost("template_id", 2), "service_name", "message", "trace_id"), "b2")
+    return events.withColumn("ts", projections.iso(F.col("ts")))
+
+
+DOCUMENT_EVENTS = f"""{DOCUMENTS} select case when length(message) % 5 <> 0 then batch_id else 'b2' end batch_id, service_name service, case when length(message) % 7 <> 0 then timestamp end ts, case when length(message) % 3 <> 0 then severity else 'INFO' end severity,
+case when length(message) % 2 <> 0 then template_id else '' end template_id, message, case when trim(trace_id) <> '' then trace_id end trace_id, cast(null as varchar) span_id, 'APP' as source from dc"""
 
 
 def classified(spark, sf):
@@ -209,7 +228,8 @@ QUERIES = {
     "template_mask": (masked, f"with {sql('ev')}, {MASKED} select * from masked"),
     "template_counts": (template_counts, f"with {sql('ev')}, {MASKED} select template, count(*) match_count from masked group by all"),
     "drain_clusters": (drain_clusters, None),
-    "event_document_projection": (document_projection, f"with {sql('ev')} select event_id, service, log_type, severity, template_id, coalesce(trace_id, '') trace_id, coalesce(exception_class, '') exception_class, message from ev"),
+    "event_document_projection": (document_projection, f"with {DOCUMENTS} select * from dc"),
+    "document_event_projection": (document_events, f"with {DOCUMENT_EVENTS}"),
     "event_type_classify": (classified, f"with {sql('ev')} select event_id, {KIND} event_type, template_id detail from ev"),
     "log_features_5m": (features(300), f"with {E5} select * from feat"),
     "log_features_6h": (features(SIX_HOURS), f"with {E6} select * from feat"),
