@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import text, vectors
-from tracewright.operators import cells, embedding, evaluation, inverted, relational, report, retrieval
+from tracewright.operators import cells, embedding, evaluation, flows, inverted, relational, report, retrieval
+from tracewright.sources.files import written
 
 
 def test_bm25_by_hand(spark):
@@ -247,3 +248,19 @@ def test_reports(spark):
     assert sum(r["flow_id"] == "f1" for r in stages) == 6 and [r["error"] for r in stages if r["flow_id"] == "f2"] == [None, None, "model down"]
     page = report.markdown(report.summary(risks), report.risk_matrix(risks), spark.createDataFrame(stages, "flow_id string, stage string, n int, answer string, error string"))
     assert "risks: 3" in page and "- severity HIGH: 2" in page and "- f1: answer" in page
+
+
+def test_evidence_of_flows(spark):
+    docs = spark.createDataFrame([(i, f"svc{i % 4} handles orders") for i in range(12)] + [(20, "nothing"), (21, "else")], "doc_id long, text string")
+    half = lambda rest: docs.where(F.col("doc_id") % 2 == rest)
+    code, logs = inverted.build(half(0), code=True), inverted.build(half(1))
+    asked = flows.evidence_query(spark.createDataFrame([("f", ["svc0", "svc1"], 2), ("long", ["svc2", "svc3", "svc2", "svc1"], 4), ("none", ["x9"], 1)], "flow_id string, services array<string>, n_steps int"))
+    assert {r["query_id"]: r["top_k"] for r in asked.collect()} == {"f": 10, "long": 12, "none": 10}
+    lists = lambda q, k: written(retrieval.bm25(code, q, 3 * k, 3).unionByName(retrieval.bm25(logs, q, 3 * k, 4)))
+    words = docs.select("doc_id", text.analyzed(F.col("text")).alias("words"))
+    found = flows.evidence(written(asked), lists, words)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["flow_id"], {}).setdefault(r["kind"], set()).add(r["doc_id"])
+    assert got == {"f": {"CODE": {0, 4, 8}, "LOG": {1, 5, 9}}, "long": {"CODE": {2, 6, 10}, "LOG": {1, 3, 5, 7, 9, 11}}}
+    assert {tuple(r) for r in flows.evidence_counts(found).collect()} == {("f", 3, 3), ("long", 3, 6)}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators import retrieval
 from tracewright.operators.inverted import small
 from tracewright.sources.files import written
 
@@ -38,6 +39,27 @@ def evidence_query(flows: DataFrame) -> DataFrame:
     return flows.select(F.col("flow_id").alias("query_id"), F.array_join(F.array_distinct("services"), " ").alias("query"), F.greatest(F.lit(10), 3 * F.col("n_steps")).alias("top_k"))
 
 
+def evidence(asked: DataFrame, lists: Callable[[DataFrame, int], DataFrame], words: DataFrame) -> DataFrame:
+    """(flow_id, kind, rank, doc_id): what a retrieval finds for each flow's query (evidence_query), as CODE where one of
+    the code's lists (1, 3) holds it, else as LOG. lists(queries, k): ranked lists for k results; flows that ask for
+    equally many are asked together, so there is a retrieval for each length of chain."""
+    found = None
+    for k in sorted(r["top_k"] for r in asked.select("top_k").distinct().collect()):  # as many as lengths of chains
+        mine = asked.where(F.col("top_k") == k)
+        ranked = lists(mine, k)
+        code = ranked.where(F.col("list_no").isin(1, 3)).select("query_id", "doc_id", F.lit("CODE").alias("kind")).distinct()
+        part = retrieval.retrieved(ranked, words, mine, k).join(code, ["query_id", "doc_id"], "left")
+        part = part.select(F.col("query_id").alias("flow_id"), F.coalesce("kind", F.lit("LOG")).alias("kind"), "rank", "doc_id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def evidence_counts(found: DataFrame) -> DataFrame:
+    """(flow_id, snippets, logs): what confidence counts of the evidence."""
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    return found.groupBy("flow_id").agg(of("CODE").alias("snippets"), of("LOG").alias("logs"))
+
+
 def confidence(snippets: Column, logs: Column, sequences: Column, paths: Column) -> Column:
     parts = F.least(F.lit(0.4), snippets * 0.1) + F.least(F.lit(0.2), logs * 0.05) + F.least(F.lit(0.3), sequences * 0.15) + F.when(paths, 0.1).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), parts), 6)

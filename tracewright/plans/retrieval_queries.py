@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import cells, graph, inverted, retrieval
+from tracewright.operators import cells, flows, graph, inverted, retrieval
 from tracewright.plans import graph_queries
 from tracewright.plans.adapters import frame, sql
 from tracewright.sources.files import file_system, written
@@ -36,7 +36,7 @@ qt as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(
 BM25 = f"""sc as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {inverted.K1 + 1} / (tf + {inverted.K1} * (1 - {inverted.B} + {inverted.B} * dl / a))), 6) score from qt join tf using (term) join df using (term), tot group by all)"""
 
 
-def top(source: str, k: int, name: str) -> str:
+def top(source: str, k: int | str, name: str) -> str:
     return f"{name} as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from {source} qualify rank <= {k})"
 
 
@@ -115,11 +115,21 @@ def five(spark, sf, probes=None):
     return retrieval.retrieved(found, words, queries, K)
 
 
-def bm25_of(name: str, terms: str, where: str) -> str:
+def flow_evidence(spark, sf):
+    """Code and log documents for every chain of up to three calls, by the words of its services."""
+    rows = graph_queries.candidates(spark, sf).select(F.array_join("services", ">").alias("flow_id"), "services", "n_steps")
+    half = lambda rest: frame(spark, sf, "docs").where(F.col("doc_id") % 2 == rest)
+    code = once(spark, sf, "documents", "code", lambda: inverted.build(half(0), code=True))
+    logs = once(spark, sf, "documents", "logs", lambda: inverted.build(half(1)))
+    lists = lambda q, k: written(retrieval.bm25(code, q, 3 * k, 3).unionByName(retrieval.bm25(logs, q, 3 * k, 4)))
+    return flows.evidence(written(flows.evidence_query(rows)), lists, index(spark, sf).docs)
+
+
+def bm25_of(name: str, terms: str, where: str, deep: str = str(3 * K), queries: str = "") -> str:
     return f"""{name}t as (select doc_id, {terms} l from docs where {where}), {name}f as (select doc_id, len(l) dl, term, count(*) tf from (select doc_id, l, unnest(l) term from {name}t) group by all),
 {name}d as (select term, count(*) df from {name}f group by all), {name}n as (select count(*) n, avg(len(l)) a from {name}t where len(l) > 0),
 {name}q as (select distinct query_id, unnest({terms.replace("text", "query")}) term from q),
-{name}s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {inverted.K1 + 1} / (tf + {inverted.K1} * (1 - {inverted.B} + {inverted.B} * dl / a))), 6) score from {name}q join {name}f using (term) join {name}d using (term), {name}n group by all), {top(f"{name}s", 3 * K, f"{name}l")}"""
+{name}s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {inverted.K1 + 1} / (tf + {inverted.K1} * (1 - {inverted.B} + {inverted.B} * dl / a))), 6) score from {name}q join {name}f using (term) join {name}d using (term), {name}n group by all), {top(f"{name}s{queries}", deep, f"{name}l")}"""
 
 
 PLAIN = f"list_filter(regexp_split_to_array(lower(text), '{text.NOT_TERM}'), lambda x: x <> '')"
@@ -139,6 +149,14 @@ co as (select query_id, count(*) filter (n <= 2) n_vector, count(*) filter (n in
 select fin.*, n_vector, n_bm25, n_graph, n_fused, count(*) over (partition by query_id) n_found from fin join co using (query_id)"""
 
 
+PER_QUERY = " join q using (query_id)"
+EVIDENCE = f"""{graph_queries.walks(3)}, {sql('docs')}, q as (select path query_id, replace(path, '>', ' ') query, greatest(10, 3 * (hops + 1)) top_k from w), {bm25_of('k', CODED, 'doc_id % 2 = 0', '3 * top_k', PER_QUERY)}, {bm25_of('h', PLAIN, 'doc_id % 2 = 1', '3 * top_k', PER_QUERY)},
+fu as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) score from (select * from kl union all select * from hl) group by all), {top('fu' + PER_QUERY, '2 * top_k', 'f2')},
+qs as (select query_id, top_k, list_distinct({PLAIN.replace("text", "query")}) ql from q), bd as (select doc_id, {PLAIN} l from docs),
+re as (select query_id, doc_id, top_k, f2.rank fr, case when len(ql) = 0 then 0.0 else round(len(list_intersect(ql, l)) / len(ql), 6) end score from f2 join qs using (query_id) join bd using (doc_id))
+select query_id flow_id, case when doc_id % 2 = 0 then 'CODE' else 'LOG' end kind, cast(row_number() over (partition by query_id order by score desc, fr) as integer) as rank, doc_id from re qualify rank <= top_k"""
+
+
 def routed(spark, sf):
     """The query of vector_topk through the inverted file, every cell asked."""
     of = once(spark, sf, "embeddings", "all-cells", lambda: cells.build(frame(spark, sf, "vec")))
@@ -196,6 +214,7 @@ QUERIES = {
     "vector_topk_filtered": (neighbours(0.2, 3), f"{NEAR.format('label = 3')}, {top('(select * from sc where score >= 0.2)', 5, 'l')} select query_id, rank, doc_id, score from l"),
     "vector_topk_routed": (routed, f"{NEAR.format('true')}, {top(f'(select * from sc where score >= {FLOOR})', 5, 'l')} select query_id, rank, doc_id, score from l"),
     "hybrid_five_lists": (five, FIVE),
+    "flow_evidence": (flow_evidence, EVIDENCE),
     "rrf_fusion": (fused, f"{LISTS}, {top('fu', K, 'f')} select query_id, rank, doc_id, score from f"),
     "hybrid_retrieve": (hybrid, HYBRID),
     "retrieval_metrics": (metrics, METRICS),
