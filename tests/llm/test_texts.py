@@ -421,3 +421,31 @@ def test_secrets_of_long_texts_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert ("access", 5_250_000, 5_250_022) in found and peak < 12 * len(text)
+
+
+def test_secret_runs_of_separators_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert secrets.findings("-" * 5_000_000) == ([], [])
+    assert time.perf_counter() - start < 5
+    packed = base64.urlsafe_b64encode(gzip.compress(f"token={KEY}".encode(), mtime=0)).decode().rstrip("=")
+    text = "-" * 300_000 + "/" + packed
+    assert [s[0] for s in secrets.findings(text)[1]] != []
+
+
+def test_secret_in_utf16_and_in_narrow_lines():
+    said = f"key {KEY} end"
+    for code in ("utf-16-le", "utf-16-be", "utf-16"):
+        hidden = base64.b64encode(said.encode(code)).decode()
+        found = [s for s in secrets.findings(f"before {hidden} after")[1] if s[0] == "access"]
+        assert found and 7 <= found[0][1] and found[0][2] <= 7 + len(hidden), code
+    whole = "\x00\x01\x02".encode() + said.encode("utf-16-le")
+    hidden = base64.b64encode(whole).decode()
+    at = 3 + 2 * 4
+    assert ("access", 7 + at * 4 // 3, 7 + -(-(at + 2 * len(KEY)) * 4 // 3)) in secrets.findings(f"before {hidden} after")[1]
+    for width in (4, 8, 12, 15):
+        hidden = base64.b64encode(said.encode()).decode()
+        lines = "\n".join(hidden[i : i + width] for i in range(0, len(hidden), width))
+        found = [s for s in secrets.findings(f"before\n{lines}\nafter")[1] if s[0] == "access"]
+        assert any(6 <= a and b <= 8 + len(lines) for _, a, b in found), width

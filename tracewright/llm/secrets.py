@@ -9,8 +9,9 @@ little more than themselves.
 
 Percent codes, escapes and letter forms are decoded in place, with the text around them, so that a secret may lie
 partly in codes; base64 runs, wrapped over lines or not, become layers of their own, read from each offset, in their
-readable stretches. Packed data (gzip, zlib, bzip2, xz) are unpacked member by member and to the innermost, at most
-`unpack_limit` bytes at a time, in overlapping chunks.
+readable stretches (UTF-8, or printable ASCII as UTF-16). Packed data (gzip, zlib, bzip2, xz) are unpacked member by
+member and to the innermost, at most `unpack_limit` bytes at a time; chunks overlap by 64 KiB, so a finding or a coded
+layer within a larger packing is whole unless it is longer than that and lies over the border of two chunks.
 
 Defined results: null counts as empty; spans count code points, end exclusive; a span found in several
 layers is one; repeated rows give repeated rows; an empty table gives an empty table.
@@ -130,15 +131,22 @@ READABLE = re.compile("[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
 SHORTEST = 3
 
 
-def readable(raw: bytes) -> list[tuple[int, str]]:
-    """The readable stretches of raw, each with the byte where it starts."""
+#: Printable ASCII as UTF-16, of either order of bytes.
+WIDE = re.compile(rb"(?:[\t\n\r -~]\x00){3,}|(?:\x00[\t\n\r -~]){3,}")
+
+
+def readable(raw: bytes) -> list[tuple[int, str, int]]:
+    """The readable stretches of raw, each with the byte where it starts and the bytes that a character of UTF-16
+    takes (1 for UTF-8, where they vary)."""
     text = raw.decode("utf-8", "surrogateescape")
     found, at, done = [], 0, 0
     for m in READABLE.finditer(text):
         at += len(text[done : m.start()].encode("utf-8", "surrogateescape"))
         done = m.start()
         if m.end() - m.start() >= SHORTEST:
-            found.append((at, m[0]))
+            found.append((at, m[0], 1))
+    if b"\x00" in raw:
+        found += [(m.start(), m[0].replace(b"\x00", b"").decode("ascii"), 2) for m in WIDE.finditer(raw)]
     return found
 
 
@@ -229,7 +237,7 @@ def unpacked(raw, size: int) -> Iterator[str]:
     held = b""
     for chunk in innermost(bytes(raw), size):
         held += chunk
-        yield from (text for _, text in readable(held))
+        yield from (text for _, text, _ in readable(held))
         held = held[-OVERLAP:]
 
 
@@ -282,29 +290,37 @@ def form_edits(text: str) -> Iterator[tuple[int, int, str]]:
             yield i, i + 1, "" if INVISIBLE.match(c) else unicodedata.normalize("NFKC", c)
 
 
-#: Separators that are letters of base64, too: what follows one may be a run of its own.
-JOINED = re.compile(r"[/_-]")
+#: After a separator that is a letter of base64, too, packed data may begin: as gzip, bzip2, xz or zlib do, coded.
+JOINED = re.compile(r"(?<=[/_-])(?=H4[s-v]|Qlpo|[/_]Td6|[CGKOSWae][A-P])")
 
 
-#: A base64 run over several lines, and what parts them.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: A base64 run over several lines, and what parts them; the least letters of one that is looked at.
+LEAST_RUN = 16
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE_END = re.compile(r"\r?\n[ \t]*")
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """Wrapped runs on one line: lines of one length (the first may begin within its line), and the
-    shorter one that ends them."""
+    shorter one that ends them, which may itself be the first of others."""
     for m in WRAPPED.finditer(layer.text):
+        if m.end() - m.start() <= LEAST_RUN:
+            continue
         ends = [*LINE_END.finditer(m[0])]
-        long = [b - a for a, b in zip([0, *(x.end() for x in ends)], [*(x.start() for x in ends), len(m[0].rstrip("="))], strict=True)]
-        width = max(long[0], long[1])
-        last = next((i for i, n in enumerate(long) if i and n != width), len(long))
-        if last < len(long) and long[last] < width:
-            last += 1
-        text = m[0] if last == len(long) else m[0][: ends[last - 1].start()]
-        run = Layer(text, layer, lambda i, j, at=m.start(): (at + i, at + j))
-        if (joined := edited(run, ((x.start(), x.end(), "") for x in ends[: last - 1]))) is not None:
-            yield joined
+        starts, stops = [0, *(x.end() for x in ends)], [*(x.start() for x in ends), len(m[0].rstrip("="))]
+        long = [b - a for a, b in zip(starts, stops, strict=True)]
+        first = 0
+        while first + 1 < len(long):
+            width = max(long[first], long[first + 1])
+            last = next((i for i in range(first + 1, len(long)) if long[i] != width), len(long))
+            shorter = last < len(long) and long[last] < width
+            until = len(m[0]) if last + shorter == len(long) else stops[last + shorter - 1]
+            text = m[0][starts[first] : until]
+            if len(text) > LEAST_RUN:
+                at = starts[first]
+                run = Layer(text, layer, lambda i, j, at=m.start() + at: (at + i, at + j))
+                yield edited(run, ((x.start() - at, x.end() - at, "") for x in ends[first : last + shorter - 1]))
+            first = last
 
 
 def from_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
@@ -316,19 +332,21 @@ def from_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
         part = body[offset:]
         part = part[: len(part) - (len(part) % 4 == 1)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        for first, text in readable(raw):
+        for first, text, step in readable(raw):
 
-            def locate(i: int, j: int, start=m.start() + offset, first=first, text=text):
-                a, b = (i, j) if text.isascii() else (len(text[:i].encode()), len(text[:j].encode()))
+            def locate(i: int, j: int, start=m.start() + offset, first=first, text=text, step=step):
+                a, b = (i * step, j * step) if text.isascii() else (len(text[:i].encode()), len(text[:j].encode()))
                 return start + (first + a) * 4 // 3, start + -(-(first + b) * 4 // 3)
 
             yield Layer(text, layer, locate)
     for begin in dict.fromkeys([0, 1, 2, 3, *(x.end() for x in JOINED.finditer(m[0]))]):
+        # a look at the first bytes, and at what they unpack to, before the rest is decoded
+        head = body[begin : begin + 680]
+        head = head[: len(head) // 4 * 4]
+        if len(head) < 8 or unpacker(base64.b64decode(head[:8])) is None or not opens(base64.b64decode(head)):
+            continue
         part = body[begin:]
         part = part[: len(part) - (len(part) % 4 == 1)]
-        # a cheap look at the first bytes, before the rest is decoded
-        if len(part) < 8 or unpacker(base64.b64decode(part[:8])) is None:
-            continue
         for text in unpacked(base64.b64decode(part + "=" * (-len(part) % 4)), limit):
             yield Layer(text, layer, constant(m.start() + begin, m.end()))
 
