@@ -232,3 +232,27 @@ def test_shards_are_written_whole(spark, odd_rows, tmp_path):
     got = sharding.hilbert_shards(d).collect()
     mine = sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got)
     assert mine == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
+
+
+def test_shards_prune_by_length_and_place_without_joins(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(10**15 if i == 7 else i, "x" * int(rng.lognormvariate(6, 1)), rng.choice(["en", "de"]), f"s{rng.randrange(9)}") for i in range(3000)]
+    out = sharding.hilbert_shards(docs(spark, rows))
+    got = out.collect()
+    rank = {size: i / 3000 for i, size in enumerate(sorted(r["size"] for r in got))}
+    span = lambda f: sorted(max(f(r) for r in got if r["shard"] == s) - min(f(r) for r in got if r["shard"] == s) for s in range(16))
+    assert span(lambda r: rank[r["size"]])[8] < 0.6  # cut by powers of two: nearly 1
+    assert span(lambda r: min(r["doc_id"], 3000) / 3000)[8] < 0.6  # one far number takes no cells from the others
+    plan = out._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and not any(f"hashpartitioning({c}" in plan for c in ("source", "lang"))
+
+
+def test_shard_cells_of_many_values_are_by_rank(spark):
+    rows = [(i, "x", "en", f"domain{i % 700:04d}") for i in range(2100)]
+    cuts = sharding.text_cuts(docs(spark, rows), "source")
+    assert len(cuts) == 15 and cuts == sorted(cuts)
+    share = [sum(r[3] >= c for r in rows) / len(rows) for c in cuts]
+    assert all(abs(s - (1 - i / 16)) < 0.01 for i, s in enumerate(share, 1))
+    assert sharding.text_cuts(docs(spark, []), "source") == []

@@ -1,14 +1,17 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Source, language, length and document number are quantised to 2^BITS cells each; the cells' index on
-the Hilbert curve orders the documents, and runs of equal length become shards, so that a shard's
-ranges in every dimension stay narrow and files can be skipped by any of them. The order is a range
-sort over the cluster; a row's number is its place in its partition plus the rows of those before.
+Source, language, length and document number are quantised to 2^BITS cells each, all by rank, so that every
+cell holds about as many documents as another wherever values allow it; the cells' index on the Hilbert
+curve orders the documents, and runs of equal length become shards, so that a shard's ranges in every dimension
+stay narrow and files can be skipped by any of them. Cells are given by at most 2^BITS - 1 first values each, so
+placing a row is a comparison and no join. The order is a range sort over the cluster; a row's number is its
+place in its partition plus the rows of those before. Cuts by rank are within 1/10000 of all rows.
 
 Law: rows. Shard sizes differ by one row at most, whatever the groups; equal texts of one source and
 language lie side by side only as far as their other dimensions agree. Defined results: null text
 counts as empty (size 1, crc 0); null source, language or doc_id sort first; repeated rows are
-interchangeable; an empty table gives an empty table; other columns are not read.
+interchangeable (a random number parts them, so another deal of the input's partitions may number them otherwise); an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,12 +57,39 @@ def hilbert(df: DataFrame, axes: list[str], out: str, bits: int = BITS) -> DataF
     return df.select(*keep, reduce(lambda a, b: a + b, digits).alias(out))
 
 
-def cells(docs: DataFrame, column: str, out: str) -> DataFrame:
-    """A row for each value of a column of few values: its cell, by the share of rows below it."""
-    counts = docs.groupBy(column).agg(F.count("*").alias("__c"))
-    below = F.coalesce(F.sum("__c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__c").over(Window.partitionBy())
-    return counts.select(F.col(column).alias(f"__{column}"), F.floor(below * (1 << BITS) / total).cast("int").alias(out))
+#: Ranks of numbers are cut within 1 / ACCURACY of all rows.
+ACCURACY = 10_000
+
+
+def number_cuts(rows: DataFrame, columns: list[str]) -> list[list]:
+    """For each column of numbers, the first values of its cells but the first, by rank; none for no values."""
+    shares = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    return [list(found or []) for found in rows.agg(*(F.percentile_approx(c, shares, ACCURACY) for c in columns)).first()]
+
+
+def text_cuts(rows: DataFrame, column: str) -> list[str]:
+    """The first values of the cells but the first of a column of strings, which may be as many as domains: its
+    values are counted, range sorted, and ranked by the rows of their partition and of those before."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__c"))
+    counts = counts.repartitionByRange(partitions(rows.sparkSession), column).withColumn("__part", F.spark_partition_id())
+    counts = materialize(counts, "shard-values")
+    parts = counts.groupBy("__part").agg(F.sum("__c").alias("__own"))
+    earlier = F.coalesce(F.sum("__own").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__part", earlier.alias("__before"), F.sum("__own").over(Window.partitionBy()).alias("__total"))
+    near = F.coalesce(F.sum("__c").over(Window.partitionBy("__part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("__near", near).join(F.broadcast(parts), "__part")  # a row for each range partition
+    cell = F.expr(f"((__before + __near) * {1 << BITS}) div __total")
+    first = placed.groupBy(cell.alias("__cell")).agg(F.min(column).alias("__first")).where("__cell > 0").orderBy("__cell")
+    return [r["__first"] for r in first.collect()]  # at most 2^BITS - 1
+
+
+def cell(rows: DataFrame, column: str, cuts: list) -> Column:
+    """Cell of a value: how many of the cuts it has reached; null: 0. Over a literal array, as a long sum of
+    conditions makes the optimizer slow."""
+    if not cuts:
+        return F.lit(0)
+    array = F.array(*map(F.lit, cuts)).cast(f"array<{rows.schema[column].dataType.simpleString()}>")
+    return F.size(F.filter(array, lambda c: c <= F.col(column)))
 
 
 def placed(docs: DataFrame, shards: int, carried: list[str]) -> DataFrame:
@@ -68,12 +98,9 @@ def placed(docs: DataFrame, shards: int, carried: list[str]) -> DataFrame:
     extra = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("__row")] if carried else []
     rows = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), *extra)
     rows = materialize(rows, "shard-rows")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    top = (1 << BITS) - 1
-    at = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) * ((top + 1) / ((high or 0) - (low or 0) + 1.0))), F.lit(0))
-    by_source, by_lang = cells(rows, "source", "__a0"), cells(rows, "lang", "__a1")
-    rows = rows.join(by_source, F.col("source").eqNullSafe(F.col("__source"))).join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")))
-    rows = rows.withColumns({"__a2": F.least(F.floor(F.log2("size")), F.lit(top)), "__a3": F.greatest(F.lit(0), F.least(at, F.lit(top)))}).drop("__source", "__lang")
+    sizes, ids = number_cuts(rows, ["size", "doc_id"])
+    cuts = {"source": text_cuts(rows, "source"), "lang": text_cuts(rows, "lang"), "size": sizes, "doc_id": ids}
+    rows = rows.withColumns({f"__a{i}": cell(rows, c, found) for i, (c, found) in enumerate(cuts.items())})
     rows = hilbert(rows, ["__a0", "__a1", "__a2", "__a3"], "curve")
     order = ["curve", "doc_id", "text_crc32", "size"]
     # rows alike in all of these may be many; any order among them will do, so a random number parts them
