@@ -1,8 +1,8 @@
 """Java sources: classes, methods, chunks, migration features.
 
 The parser is a tokenizer with brace matching: packages, imports, classes, interfaces, records, enums,
-fields, methods, annotations. It does not resolve types or read expressions; calls are names before an
-opening parenthesis."""
+fields, methods, annotations. It does not read expressions; calls are names before an
+opening parenthesis. A nested type's name holds those around it. What names mean is settled in operators.names."""
 
 from __future__ import annotations
 
@@ -76,10 +76,12 @@ def parse(path: str, source: str) -> list[dict]:
     line = lambda i: source.count("\n", 0, i) + 1
     package = (re.search(r"\bpackage\s+([\w.]+)\s*;", blind) or [None, ""])[1]
     imports = re.findall(r"\bimport\s+(?:static\s+)?([\w.*]+)\s*;", blind)
-    found = []
+    found, around = [], []
     for m in TYPE.finditer(blind):
         open_at = m.end() - 1
         end = closing(blind, open_at)
+        around = [(until, n) for until, n in around if until > m.start()] + [(end, m[2])]
+        full = ".".join(([package] if package else []) + [n for _, n in around])
         begin = max(blind.rfind(";", 0, m.start()), blind.rfind("}", 0, m.start()), blind.rfind("{", 0, m.start())) + 1
         names, _, _ = annotations(blind[begin : m.start()], source[begin : m.start()])
         fields, methods, at = [], [], open_at + 1
@@ -101,7 +103,7 @@ def parse(path: str, source: str) -> list[dict]:
             i += 1
         interfaces = [x.strip() for x in re.split(r",(?![^<]*>)", m[3])] if m[3] else []
         found.append({
-            "file_path": path, "package": package, "simple_name": m[2], "fqn": f"{package}.{m[2]}" if package else m[2], "kind": m[1], "annotations": names, "interfaces": interfaces, "imports": imports, "fields": fields,
+            "file_path": path, "package": package, "simple_name": m[2], "fqn": full, "kind": m[1], "annotations": names, "interfaces": interfaces, "imports": imports, "fields": fields,
             "methods": methods, "line_start": line(m.start()), "line_end": line(end), "source": source[begin : end + 1].strip(),
         })
     return found

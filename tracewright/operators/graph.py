@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text, vectors
+from tracewright.operators import names
 from tracewright.sources.files import written
 
 #: Node types in one-hot order (fixed values).
@@ -164,7 +165,8 @@ def resolved_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_graph(nodes: DataFrame, edges: DataFrame, classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Graph tables of a topology: consumption runs service to topic; topics and databases that only
     edges name become nodes; classes (service_name, fqn, simple_name, field_types) hang on their
-    service and inject each other by field type; keys are distinct, the last properties win."""
+    service and inject each other by field type; keys are distinct, the last properties win. Classes as parsed (with
+    imports and fields) inject what the names of their fields' types mean, not what bears an equal simple name."""
     swap = F.col("type") == "KAFKA_CONSUME"
     e = edges.select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
     ends = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
@@ -176,8 +178,12 @@ def build_graph(nodes: DataFrame, edges: DataFrame, classes: DataFrame | None =
         fqn = F.concat(F.lit("class:"), F.col("fqn"))
         all_nodes = all_nodes.union(classes.select(fqn, F.lit("Class"), F.col("simple_name")))
         holds = classes.select(F.concat(F.lit("svc:"), F.col("service_name")).alias("src"), fqn.alias("dst"), F.lit("CONTAINS_CLASS"))
-        fields = classes.select("fqn", F.explode("field_types").alias("simple_name"))
-        injects = fields.join(classes.select(F.col("fqn").alias("to"), "simple_name"), "simple_name").select(F.concat(F.lit("class:"), "fqn"), F.concat(F.lit("class:"), "to"), F.lit("INJECTS"))
+        if "imports" in classes.columns:
+            uses = names.injections(classes).withColumnsRenamed({"src": "fqn", "dst": "to"})
+        else:
+            fields = classes.select("fqn", F.explode("field_types").alias("simple_name"))
+            uses = fields.join(classes.select(F.col("fqn").alias("to"), "simple_name"), "simple_name")
+        injects = uses.select(F.concat(F.lit("class:"), "fqn"), F.concat(F.lit("class:"), "to"), F.lit("INJECTS"))
         out = out.union(holds).union(injects)
     last = all_nodes.groupBy("id", "label").agg(F.max("name").alias("name"))
     return last, out.distinct()
