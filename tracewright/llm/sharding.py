@@ -87,7 +87,7 @@ def cell(rows: DataFrame, column: str, cuts: list) -> Column:
     """Cell of a value: how many of the cuts it has reached; null: 0. Over a literal array, as a long sum of
     conditions makes the optimizer slow."""
     if not cuts:
-        return F.lit(0)
+        return F.pmod(F.col("size"), F.lit(1)).cast("int")  # 0, but no literal that the steps of the curve would take in
     array = F.array(*map(F.lit, cuts)).cast(f"array<{rows.schema[column].dataType.simpleString()}>")
     return F.size(F.filter(array, lambda c: c <= F.col(column)))
 
