@@ -201,3 +201,17 @@ def test_links_of_block_pairs(spark):
     v = spark.createDataFrame(rows, "id long, embedding array<double>")
     want = {(i, j) for i, x in rows for j, y in rows if i < j and sum(p * q for p, q in zip(x, y, strict=True)) > 0.7}
     assert {(r["a"], r["b"]) for r in graph.link_scores(v, 0.7, block=13).collect()} == want
+
+
+def test_links_by_products_of_blocks(spark):
+    """No pair passes the JVM row by row, and odd vectors score as they did one by one."""
+    rng = random.Random(5)
+    odd = [(100, None), (101, [1.0, None, 2.0, 1.0]), (102, [2.0]), (103, []), (104, [float("inf"), 1.0, 0.0, 1.0]), (105, [float("nan"), 0.0, 0.0, 0.0]), (106, [1.0, 5.0]), (None, [9.0] * 4), (107, [0.7, 0.0, 0.0, 0.0]), (108, [1.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)] + odd, "id long, embedding array<double>")
+    a, b = v.toDF("a", "va"), v.toDF("b", "vb")
+    dots = a.join(b, F.col("a") < F.col("b")).withColumn("score", vectors.dot(F.col("va"), F.col("vb")))
+    want = sorted(str(tuple(r)) for r in dots.where("score > 0.7").select("a", "b", "score").collect())
+    found = graph.link_scores(v, 0.7, block=7)
+    assert sorted(str(tuple(r)) for r in found.collect()) == want and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text, vectors
 from tracewright.operators import names
+from tracewright.session import ship
 from tracewright.sources.files import written
 
 #: Node types in one-hot order (fixed values).
@@ -189,15 +190,65 @@ def build_graph(nodes: DataFrame, edges: DataFrame, classes: DataFrame | None =
     return last, out.distinct()
 
 
-def link_scores(vecs: DataFrame, threshold: float = LINK_THRESHOLD, block: int = 2000) -> DataFrame:
-    """(a, b, score) of pairs a < b whose dot product exceeds the threshold: all pairs are asked for, so
-    rows are dealt as pairs of blocks, each pair of blocks once, and met by an equi-join on it."""
+def link_scores(vecs: DataFrame, threshold: float = LINK_THRESHOLD, block: int = 4096) -> DataFrame:
+    """(a, b, score) of pairs a < b whose dot product (over the shorter length) exceeds the threshold: all pairs are
+    asked for, so rows are packed in blocks, each pair of blocks is met once by an equi-join, and a task multiplies one
+    with the other in strips. What comes near the threshold is added up anew in order of the components, so scores
+    don't hang on how a product of matrices adds. Rows without a vector, and pairs that meet a null component, score nothing."""
+    ship(vecs.sparkSession)
     blocks = max(1, -(-vecs.count() // block))
-    rows = vecs.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    left = rows.withColumn("o", F.explode(F.sequence(F.col("k"), F.lit(blocks - 1)))).select(F.col("k").alias("i"), F.col("o").alias("j"), F.col("id").alias("a"), F.col("embedding").alias("va"))
-    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k")))).select(F.col("o").alias("i"), F.col("k").alias("j"), F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = left.join(right, ["i", "j"]).where("i < j and a <> b or a < b").withColumn("score", vectors.dot(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("score") > threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    kind, element = vecs.schema["id"].dataType.simpleString(), "float" if "float" in vecs.schema["embedding"].dataType.simpleString() else "double"
+    wide = vecs.where("embedding is not null").select("id", F.col("embedding").cast(f"array<{element}>").alias("e"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
+    null_at = F.array_position(F.transform("e", lambda x: x.isNull()), True)
+    each = wide.select("k", F.struct("id", F.size("e").alias("size"), F.when(null_at > 0, null_at - 1).otherwise(F.size("e")).cast("int").alias("sound"), F.transform("e", lambda x: F.coalesce(x, F.lit(0.0).cast(element))).alias("e")).alias("r"))
+    packed = written(each.groupBy("k").agg(F.collect_list("r").alias("r")).select("k", F.col("r.id").alias("ids"), F.col("r.size").alias("sizes"), F.col("r.sound").alias("sound"), F.flatten("r.e").alias("flat")))
+    side = lambda i, j, to: packed.select(i.alias("i"), j.alias("j"), F.struct("ids", "sizes", "sound", "flat").alias(to)).repartition(min(2000, blocks * (blocks + 1) // 2), "i", "j")
+    left = side(F.col("k"), F.explode(F.sequence(F.col("k"), F.lit(blocks - 1))), "left")
+    right = side(F.explode(F.sequence(F.lit(0), F.col("k"))), F.col("k"), "right").hint("merge")
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def opened(side, at):  # ids, and (size, sound, places, matrix) of the rows alike in both
+            row = {n: side.field(n)[at].values for n in ("ids", "sizes", "sound", "flat")}
+            sizes, sound, flat = (row[n].to_numpy() for n in ("sizes", "sound", "flat"))
+            starts = np.cumsum(sizes) - sizes
+            groups = []
+            for size, whole in {(int(x), int(y)) for x, y in zip(sizes, sound)}:
+                places = np.flatnonzero((sizes == size) & (sound == whole))
+                groups.append((size, whole, places, flat[starts[places][:, None] + np.arange(size)].astype(np.float64)))
+            return row["ids"], groups
+
+        def products(groups, others, same):
+            for size, whole, at, x in groups:
+                for other, other_whole, other_at, y in others:
+                    n = min(size, other)
+                    if n > min(whole, other_whole):
+                        continue
+                    y, reach = y[:, :n], np.sqrt((y[:, :n] ** 2).sum(1)).max()
+                    for strip in range(0, len(at), 256):
+                        part, mine = x[strip : strip + 256, :n], at[strip : strip + 256]
+                        slack = 1e-12 * reach * np.sqrt((part**2).sum(1)).max()
+                        near = ~(part @ y.T <= threshold - slack)
+                        if same:
+                            near &= mine[:, None] < other_at[None, :]
+                        p, q = np.nonzero(near)
+                        score = np.zeros(len(p))
+                        for c in range(n):
+                            score += part[p, c] * y[q, c]
+                        keep = ~(score <= threshold)
+                        yield mine[p[keep]], other_at[q[keep]], score[keep]
+
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    (a, mine), (b, others) = opened(batch.column("left"), r), opened(batch.column("right"), r)
+                    for p, q, score in products(mine, others, batch.column("i")[r].as_py() == batch.column("j")[r].as_py()):
+                        yield pa.RecordBatch.from_arrays([a.take(pa.array(p)), b.take(pa.array(q)), pa.array(score)], ["a", "b", "score"])
+
+    pairs = left.join(right, ["i", "j"]).mapInArrow(work, f"a {kind}, b {kind}, score double").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def classified(vecs: DataFrame) -> DataFrame:
