@@ -59,6 +59,35 @@ def test_bm25_leaves_out_blocks_and_stays_whole(spark, monkeypatch, block, shard
         assert index.blocks.selectExpr("max(size(postings)) m").first()["m"] <= 4
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_bm25_where_the_documents_lie(spark, monkeypatch, repeated):
+    """Scans, meeting postings and blocks give the same; a scan hands on k rows a query and task, not every document met."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["the", *"abcdefghijk"], [9, *range(1, 12)], k=rng.randint(0, 25)))) for i in range(800)] + [(901, None), (902, "the a b"), (903, "the a b")]
+    queries = [(1, "the a b c"), (2, "k"), (3, "none"), (4, "the i j k the"), (5, ""), (None, "a the")]
+    q = spark.createDataFrame(queries, "query_id int, query string")
+    if repeated:
+        rows += [(7, "a a the"), (None, "k k k k")]
+    index = inverted.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert index.keyed is not repeated
+    top = lambda scored: sorted(map(str, retrieval.ranked(scored, 6).collect()))
+    blocks, scored = top(inverted.by_blocks(index, q, 6)), inverted.scores(index, q, 6)
+    assert top(scored) == blocks and len(blocks) == 24
+    if not repeated:
+        assert top(scored) == sorted(map(str, spark.createDataFrame([(i, 0, r, d, s) for i, r, d, s in full_bm25(rows, [x for x in queries if x[0]], 6) + [(None, *x[1:]) for x in full_bm25(rows, queries[-1:], 6)]], "query_id int, list_no int, rank int, doc_id long, score double").collect()))
+        assert scored.count() <= 6 * 5 * scored.rdd.getNumPartitions()
+    of = inverted.ask(index, q)
+    counts = top(inverted.best(of, 6, counted=True))
+    assert counts == top(inverted.shared_blocks(index, q))
+    monkeypatch.setattr(inverted, "DEAR", 0)
+    assert inverted.best(of, 6).count() > 1000 and top(inverted.best(of, 6)) == blocks and top(inverted.best(of, 6, counted=True)) == counts
+    monkeypatch.setattr(inverted, "DEAR", 8)
+    monkeypatch.setattr(inverted, "TOGETHER", 2)
+    assert top(inverted.best(of, 6)) == blocks
+    monkeypatch.setattr(inverted, "MOST_TERMS", 3)
+    assert inverted.ask(index, q).slim is None and top(inverted.scores(index, q, 6)) == blocks
+
+
 def test_terms_keep_their_marks(spark):
     got = spark.range(1).select(text.analyzed(F.lit("हिन्दी भाषा, cafe\u0301 don-t")).alias("t")).first()["t"]
     assert got == ["हिन्दी", "भाषा", "cafe\u0301", "don", "t"]
