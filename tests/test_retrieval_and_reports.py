@@ -293,3 +293,20 @@ def test_evidence_of_flows(spark):
         got.setdefault(r["flow_id"], {}).setdefault(r["kind"], set()).add(r["doc_id"])
     assert got == {"f": {"CODE": {0, 4, 8}, "LOG": {1, 5, 9}}, "long": {"CODE": {2, 6, 10}, "LOG": {1, 3, 5, 7, 9, 11}}}
     assert {tuple(r) for r in flows.evidence_counts(found).collect()} == {("f", 3, 3), ("long", 3, 6)}
+
+
+def test_lists_and_evidence_make_no_postings_of_all_terms(spark):
+    docs = spark.createDataFrame([(i, f"svc{i % 5} calls svc{(i + 1) % 5} word{i}") for i in range(40)], "doc_id long, text string")
+    vecs = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(40)], "doc_id long, embedding array<double>")
+    half = lambda df, rest: df.where(F.col("doc_id") % 2 == rest)
+    code, logs, every = inverted.build(half(docs, 0), code=True), inverted.build(half(docs, 1)), inverted.build(docs)
+    queries = spark.createDataFrame([(1, "svc1 svc2", [1.0, 2.0])], "query_id long, query string, embedding array<double>")
+    context = spark.createDataFrame([(1, -1, 1.0)], "query_id long, doc_id long, score double")
+    assert retrieval.five_lists(queries, code, logs, cells.build(half(vecs, 0)), cells.build(half(vecs, 1)), context, 2).count() > 12
+    asked = written(flows.evidence_query(spark.createDataFrame([("f", ["svc0", "svc1"], 2), ("g", ["svc2", "svc4", "svc1"], 4)], "flow_id string, services array<string>, n_steps int")))
+    lists = lambda q, k: written(retrieval.bm25(code, q, 3 * k, 3).unionByName(retrieval.bm25(logs, q, 3 * k, 4)))
+    words = inverted.held(every, asked)
+    assert words.count() == 40 and {w for r in words.collect() for w in r["words"]} == {"svc0", "svc1", "svc2", "svc4"}
+    found, whole = (sorted(map(tuple, flows.evidence(asked, lists, w).collect())) for w in (words, every.docs))
+    assert found == whole and len(found) == 22
+    assert not any("blocks" in vars(i) or "terms" in vars(i) for i in (code, logs, every))
