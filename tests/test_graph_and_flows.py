@@ -78,6 +78,16 @@ def test_shortest_chains(spark):
     assert {(r["source"], r["target"]) for r in one} == {k for k in want if k[0] in (0, 1) and k[1] in (3, 0)}
 
 
+def test_chains_are_joined_once_a_depth(spark):
+    """A path of ten hops took ten joins of all chains; now the last depth alone is still to be joined at the end."""
+    found = graph.shortest_chains(nodes(spark, [0, 5]), related(spark, [(i, i + 1, "A") for i in range(12)]), labels(spark, range(13)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2 and found.count() == 17
+    assert max(len(r["nodes"]) for r in found.collect()) == 11
+    ends = graph.shortest_chains(nodes(spark, [0, 5]), related(spark, [(i, i + 1, "A") for i in range(12)]), labels(spark, range(13)), nodes(spark, [7, 40]))
+    assert sorted((r["source"], r["target"], r["depth"], [n["id"] for n in r["nodes"]]) for r in ends.collect()) == [(0, 7, 7, list(range(8))), (5, 7, 2, [5, 6, 7])]
+
+
 def test_search_ends_with_its_frontier(spark):
     trees, depth = graph.shortest_trees(nodes(spark, [1]), related(spark, [(1, 2, "A"), (2, 3, "A"), (3, 1, "A")]))
     assert depth == 2 and trees.count() == 3

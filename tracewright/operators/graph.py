@@ -85,20 +85,28 @@ def shortest_trees(starts: DataFrame, edges: DataFrame, most: int = 10) -> tuple
 def shortest_chains(starts: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, most: int = 10) -> DataFrame:
     """(source, target, depth, nodes, relations): a shortest directed chain from each start to each target (id;
     without targets: to all that it reaches), its nodes as (id, label) and its edges' relations in order. Of equal
-    chains, each node's least predecessor counts. Chains are put together backwards, by joins along the parents."""
+    chains, each node's least predecessor counts. Chains grow by depth: each node's is its parent's with one step more, so a
+    chain is moved once for each depth's join with the next, not once a hop. With targets, what leads to none is dropped first."""
     trees, deepest = shortest_trees(starts, edges, most)
-    labelled = trees.join(nodes.select("id", "label"), "id", "left")
-    trees = written(labelled.select("source", F.col("id").alias("at"), "parent", "relation", "depth", F.struct(F.col("id"), F.col("label")).alias("node")))
-    ends = trees if targets is None else trees.join(targets.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
-    walk = ends.select("source", F.col("at").alias("target"), F.col("depth").alias("length"), "parent", F.array("node").alias("nodes"), F.when(F.col("relation").isNotNull(), F.array("relation")).otherwise(F.array().cast("array<string>")).alias("relations"))
-    step = trees.select("source", F.col("at").alias("parent"), F.col("parent").alias("next"), "relation", "node")
-    for _ in range(deepest):
-        longer = walk.join(step, ["source", "parent"], "left")
-        before = F.when(F.col("relation").isNotNull(), F.array("relation")).otherwise(F.array().cast("array<string>"))
-        walk = longer.select(
-            "source", "target", "length", F.col("next").alias("parent"), F.when(F.col("node").isNotNull(), F.concat(F.array("node"), "nodes")).otherwise(F.col("nodes")).alias("nodes"), F.concat(before, "relations").alias("relations"),
-        )
-    return walk.where("length > 0").select("source", "target", F.col("length").alias("depth"), "nodes", "relations")
+    layers = [trees.where(F.col("depth") == d).select("source", "id", "parent", "relation") for d in range(deepest + 1)]
+    wanted = None if targets is None else targets.select("id").distinct()
+    if wanted is not None:
+        for d in range(deepest, 0, -1):
+            ends = layers[d].join(wanted, "id", "left_semi").select("source", "id")
+            below = layers[d + 1].select("source", F.col("parent").alias("id")) if d < deepest else ends.limit(0)
+            layers[d] = written(layers[d].join(ends.union(below).distinct(), ["source", "id"], "left_semi"))
+    labels = nodes.select("id", "label")
+    node = F.array(F.struct("id", "label"))
+    front = layers[0].join(labels, "id", "left").select("source", F.col("id").alias("target"), node.alias("nodes"), F.array().cast("array<string>").alias("relations"))
+    found = front.select("source", "target", F.lit(0).alias("depth"), "nodes", "relations").limit(0)
+    for d in range(1, deepest + 1):
+        before = front.select("source", F.col("target").alias("parent"), F.col("nodes").alias("__nodes"), "relations")
+        longer = layers[d].join(labels, "id", "left").join(before, ["source", "parent"])
+        front = longer.select("source", F.col("id").alias("target"), F.concat("__nodes", node).alias("nodes"), F.concat("relations", F.when(F.col("relation").isNotNull(), F.array("relation")).otherwise(F.array().cast("array<string>"))).alias("relations"))
+        if d < deepest:
+            front = written(front)
+        found = found.unionByName(front.withColumn("depth", F.lit(d)))
+    return found if wanted is None else found.join(wanted.withColumnRenamed("id", "target"), "target", "left_semi").select(*found.columns)
 
 
 def shortest_paths(source: Column, edges: DataFrame, most: int = 10) -> DataFrame:
