@@ -256,3 +256,14 @@ def test_shard_cells_of_many_values_are_by_rank(spark):
     share = [sum(r[3] >= c for r in rows) / len(rows) for c in cuts]
     assert all(abs(s - (1 - i / 16)) < 0.01 for i, s in enumerate(share, 1))
     assert sharding.text_cuts(docs(spark, []), "source") == []
+
+
+def test_bpe_keeps_the_pairs_that_many_words_share():
+    """New words bring over 50,000 pairs of tokens; forgetting all of them made each be settled again and again."""
+    from tracewright.llm import bpe
+
+    with open(bpe.default_vocabulary(), "rb") as f:
+        coder = bpe.Bpe(f.read())
+    coder.pairs.update(dict.fromkeys(range(1 << 40, (1 << 40) + 60_000), True))
+    coder.encode("the words and others")
+    assert coder.compatible(*coder.encode_piece(b"undiscoverably")[:2]) and len(coder.pairs) > 60_000

@@ -31,7 +31,8 @@ from .common import over_texts, table
 #: The split of byte-level tokenizers of this kind (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_ASCII = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-REMEMBERED = 50_000
+#: Pieces a generation and pairs of tokens that a worker remembers; new words keep making pairs that others made before.
+REMEMBERED, PAIRS = 120_000, 400_000
 SPEC = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -127,7 +128,7 @@ class Bpe:
                         break
                 if not known:
                     break
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
