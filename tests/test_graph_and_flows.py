@@ -88,6 +88,34 @@ def test_chains_are_joined_once_a_depth(spark):
     assert sorted((r["source"], r["target"], r["depth"], [n["id"] for n in r["nodes"]]) for r in ends.collect()) == [(0, 7, 7, list(range(8))), (5, 7, 2, [5, 6, 7])]
 
 
+def test_chains_of_any_length(spark, tmp_path):
+    """The query stopped after ten hops and gave no chain to what lies farther."""
+    import duckdb
+
+    from tracewright.plans import graph_queries
+
+    long = graph.shortest_chains(nodes(spark, [0, 9]), related(spark, [(i, i + 1, "A") for i in range(14)] + [(14, 3, "B")]), labels(spark, range(15)), most=None).collect()
+    assert sorted((r["source"], r["target"], r["depth"]) for r in long) == [(0, i, i) for i in range(1, 15)] + [(9, i, i + 6 - 3 if i < 9 else i - 9) for i in range(3, 15) if i != 9]
+    spark.range(234).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    query, text = graph_queries.QUERIES["shortest_chain"]
+    got = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"create view supplier as from '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == sorted(con.sql(text).fetchall())
+    to, called = {i: {(2 * i + 1) % 234, (6 * i + 3) % 234} - {i} for i in range(234)}, set()
+    for i in to:
+        called |= to[i]
+    want = {}
+    for s in set(range(0, 234, 3)) - called:
+        seen, front = {s: 0}, [s]
+        for at in front:
+            for n in to[at] - set(seen):
+                seen[n] = seen[at] + 1
+                front.append(n)
+        want |= {(s, n): d for n, d in seen.items() if d}
+    assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want) and max(want.values()) == 12
+
+
 def test_search_ends_with_its_frontier(spark):
     trees, depth = graph.shortest_trees(nodes(spark, [1]), related(spark, [(1, 2, "A"), (2, 3, "A"), (3, 1, "A")]))
     assert depth == 2 and trees.count() == 3

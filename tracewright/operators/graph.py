@@ -62,8 +62,8 @@ def neighborhood(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: in
     return found.where("id <> neighbor").distinct().join(labels, "neighbor", "left").select("id", "neighbor", "relation", "label")
 
 
-def shortest_trees(starts: DataFrame, edges: DataFrame, most: int = 10) -> tuple[DataFrame, int]:
-    """(source, id, parent, relation, depth) of every node within `most` hops of each start (id), and the depth
+def shortest_trees(starts: DataFrame, edges: DataFrame, most: int | None = 10) -> tuple[DataFrame, int]:
+    """(source, id, parent, relation, depth) of every node within `most` hops (None: any number) of each start (id), and the depth
     reached: a search from all starts at once. Each round joins the frontier with the edges, keeps for each new node the
     least (parent, relation), drops what was visited and writes the rest; it ends when nothing is new. A
     lost executor costs one round."""
@@ -71,7 +71,7 @@ def shortest_trees(starts: DataFrame, edges: DataFrame, most: int = 10) -> tuple
     kind = edges.schema["src"].dataType
     front = written(starts.select(F.col("id").alias("source"), "id", F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")).distinct())
     layers, depth = front, 0
-    while depth < most:
+    while most is None or depth < most:
         reached = front.select("source", F.col("id").alias("src")).join(steps, "src")
         best = reached.groupBy("source", F.col("dst").alias("id")).agg(F.min(F.struct("src", "relation")).alias("by"))
         new = best.join(layers.select("source", "id"), ["source", "id"], "left_anti")
@@ -82,9 +82,9 @@ def shortest_trees(starts: DataFrame, edges: DataFrame, most: int = 10) -> tuple
     return layers, depth
 
 
-def shortest_chains(starts: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, most: int = 10) -> DataFrame:
-    """(source, target, depth, nodes, relations): a shortest directed chain from each start to each target (id;
-    without targets: to all that it reaches), its nodes as (id, label) and its edges' relations in order. Of equal
+def shortest_chains(starts: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, most: int | None = 10) -> DataFrame:
+    """(source, target, depth, nodes, relations): a shortest directed chain of at most `most` hops (None: of any length) from each
+    start to each target (id; without targets: to all that it reaches), its nodes as (id, label) and its edges' relations in order. Of equal
     chains, each node's least predecessor counts. Chains grow by depth: each node's is its parent's with one step more, so a
     chain is moved once for each depth's join with the next, not once a hop. With targets, what leads to none is dropped first."""
     trees, deepest = shortest_trees(starts, edges, most)

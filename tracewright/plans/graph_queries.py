@@ -63,15 +63,14 @@ union all select 's1', cast(src as varchar), 'topology/edge/' || src || '-' || d
 
 
 def chain(spark, sf):
-    """From every node that exposes an endpoint and that nobody calls, to all that it reaches."""
+    """From every node that exposes an endpoint and that nobody calls, to all that it reaches in any number of hops."""
     of, nodes = related(spark, sf)
-    found = graph.shortest_chains(entries(spark, sf), of, nodes)
+    found = graph.shortest_chains(entries(spark, sf), of, nodes, most=None)
     path = F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["label"], n["id"].cast("string"))), ">")
     return found.select("source", "target", "depth", path.alias("path"), F.array_join("relations", ">").alias("relations"))
 
 
-CHAIN = f"""{GE}, {STARTS}, {RELATED}, r as (select id source, id, 0 depth from st union select r.source, re.dst, r.depth + 1 from r join re on r.id = re.src where r.depth < 10),
-m as (select source, id, min(depth) depth from r group by all),
+CHAIN = f"""{GE}, {STARTS}, {RELATED}, m(source, id, depth) using key (source, id) as (select id, id, 0 from st union select m.source, re.dst, m.depth + 1 from m join re on m.id = re.src where not exists (from recurring.m v where v.source = m.source and v.id = re.dst)),
 b as (select m.source, m.id, min({{'p': re.src, 'r': re.relation}}) x from m join re on re.dst = m.id join m u on u.source = m.source and u.id = re.src and u.depth = m.depth - 1 group by all),
 w as (select source, m.id target, m.id at_, depth, type || ':' || m.id path, '' relations from m join gn on gn.id = m.id where depth > 0
 union all select w.source, w.target, x.p, w.depth, type || ':' || x.p || '>' || path, x.r || case when relations = '' then '' else '>' end || relations from w join b on b.source = w.source and b.id = w.at_ join gn on gn.id = x.p)
