@@ -116,6 +116,22 @@ def test_chains_of_any_length(spark, tmp_path):
     assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want) and max(want.values()) == 12
 
 
+def test_chains_in_tasks_equal_joins(spark):
+    """Held graphs and joins give the same chains: relations without a name, unknown nodes, targets, nodes twice, text as ids."""
+    rng = random.Random(9)
+    e = [(rng.randrange(30), rng.randrange(30), rng.choice(["X", "Y", None])) for _ in range(45)] + [(3, None, "X"), (None, 3, "X")] + [(40 + i, 41 + i, "Z") for i in range(11)]
+    starts, known, ends = nodes(spark, [0, 1, 2, 2, 40, 99, None]), labels(spark, [*range(20), 45]), nodes(spark, [4, 5, 47, 51, 98])
+    rows = lambda **how: sorted((r["source"], r["target"], r["depth"], [(n["id"], n["label"]) for n in r["nodes"]], r["relations"]) for r in graph.shortest_chains(starts, related(spark, e), how.pop("known", known), **how).collect())
+    whole = rows(most=None)
+    assert whole == rows(most=None, held=0) and max(r[2] for r in whole) == 11
+    assert rows(targets=ends, most=None) == rows(targets=ends, most=None, held=0) == [r for r in whole if r[1] in (4, 5, 47, 51, 98)]
+    assert len(rows(known=known.union(labels(spark, [45])), most=6)) == sum(1 + (r[0] == 40 and r[1] >= 45) for r in whole if r[2] <= 6)
+    text = lambda df, *names: df.select(*(F.concat(F.lit("n"), n).alias(n) if n in names else F.col(n) for n in df.columns))
+    named = [graph.shortest_chains(text(starts, "id"), text(related(spark, e), "src", "dst"), text(known, "id"), held=h).select("source", "target", "nodes", "relations").collect() for h in (0, 99)]
+    assert sorted(map(str, named[0])) == sorted(map(str, named[1])) and len(named[0]) == len([r for r in whole if r[2] <= 10])
+    assert rows(most=0) == [] == graph.shortest_chains(starts, related(spark, e).limit(0), known).collect()
+
+
 def test_search_ends_with_its_frontier(spark):
     trees, depth = graph.shortest_trees(nodes(spark, [1]), related(spark, [(1, 2, "A"), (2, 3, "A"), (3, 1, "A")]))
     assert depth == 2 and trees.count() == 3

@@ -5,6 +5,8 @@ edges carried along, so each hop is one shuffle join and no path uses an edge tw
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ PATTERNS = ("GATEWAY", "ORCHESTRATOR", "WORKER", "DATA_STORE_CONNECTOR", "EVENT_
 #: Relations of topology edge types (fixed values).
 RELATIONS = {"HTTP_CALL": "CALLS_HTTP", "KAFKA_PRODUCE": "PRODUCES_TO", "KAFKA_CONSUME": "CONSUMES_FROM", "DATABASE_CONNECT": "CONNECTS_TO", "CONFIG_REF": "USES_CONFIG", "INGRESS_ROUTE": "INGRESS_ROUTE", "SERVICE_DEPENDENCY": "SERVICE_DEPENDENCY"}
 LINK_THRESHOLD = 0.7
+#: Edges of a graph that a task may hold whole.
+HELD_EDGES = 1_000_000
 
 
 def entry_points(endpoints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,34 +66,133 @@ def neighborhood(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: in
     return found.where("id <> neighbor").distinct().join(labels, "neighbor", "left").select("id", "neighbor", "relation", "label")
 
 
-def shortest_trees(starts: DataFrame, edges: DataFrame, most: int | None = 10) -> tuple[DataFrame, int]:
-    """(source, id, parent, relation, depth) of every node within `most` hops (None: any number) of each start (id), and the depth
-    reached: a search from all starts at once. Each round joins the frontier with the edges, keeps for each new node the
-    least (parent, relation), drops what was visited and writes the rest; it ends when nothing is new. A
-    lost executor costs one round."""
+def shortest_layers(starts: DataFrame, edges: DataFrame, most: int | None = 10) -> list[DataFrame]:
+    """(source, id, parent, relation, depth) by depth, each a written table: a search from all starts at once. Each round joins the
+    frontier with the edges, keeps for each new node the least (parent, relation), drops what was visited and writes the rest; it
+    ends when nothing is new. What was visited is written together every eight rounds, so plans stay short over long chains."""
     steps = written(edges.groupBy("src", "dst").agg(F.min("relation").alias("relation")))
     kind = edges.schema["src"].dataType
     front = written(starts.select(F.col("id").alias("source"), "id", F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")).distinct())
-    layers, depth = front, 0
-    while most is None or depth < most:
+    layers, seen = [front], front.select("source", "id")
+    while most is None or len(layers) <= most:
         reached = front.select("source", F.col("id").alias("src")).join(steps, "src")
         best = reached.groupBy("source", F.col("dst").alias("id")).agg(F.min(F.struct("src", "relation")).alias("by"))
-        new = best.join(layers.select("source", "id"), ["source", "id"], "left_anti")
-        front = written(new.select("source", "id", F.col("by.src").alias("parent"), "by.relation", F.lit(depth + 1).alias("depth")))
+        new = best.join(seen, ["source", "id"], "left_anti")
+        front = written(new.select("source", "id", F.col("by.src").alias("parent"), "by.relation", F.lit(len(layers)).alias("depth")))
         if front.isEmpty():
             break
-        layers, depth = layers.unionByName(front), depth + 1
-    return layers, depth
+        layers.append(front)
+        seen = seen.union(front.select("source", "id"))
+        if len(layers) % 8 == 0:
+            seen = written(seen)
+    return layers
 
 
-def shortest_chains(starts: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, most: int | None = 10) -> DataFrame:
+def shortest_trees(starts: DataFrame, edges: DataFrame, most: int | None = 10) -> tuple[DataFrame, int]:
+    """(source, id, parent, relation, depth) of every node within `most` hops (None: any number) of each start (id), and the depth
+    reached. A lost executor costs one round."""
+    layers = shortest_layers(starts, edges, most)
+    return reduce(DataFrame.unionByName, layers), len(layers) - 1
+
+
+def held_graph(steps: DataFrame, nodes: DataFrame, wanted: DataFrame | None):
+    """The graph as sorted arrays: ids, labels, relations, whether a node is wanted; each edge's ends and relation as places in
+    them (-1: none), where each node's edges begin, and the bytes of the longest value. None if a node has two rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    labels = nodes.groupBy("id").agg(F.count("*").alias("n"), F.min("label").alias("label"))
+    rows = steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct().join(labels, "id", "left")
+    rows = rows.withColumn("wanted", F.lit(True)) if wanted is None else rows.join(wanted.withColumn("wanted", F.lit(True)), "id", "left")
+    table, pairs = (t.combine_chunks() for t in (rows.orderBy("id").toArrow(), steps.orderBy("src", "dst").toArrow()))
+    whole = lambda t, c: pa.concat_arrays(t[c].chunks) if t[c].chunks else pa.array([], t[c].type)
+    if pc.any(pc.greater(table["n"], 1)).as_py():
+        return None
+    ids, label, relation = whole(table, "id"), whole(table, "label"), whole(pairs, "relation").dictionary_encode()
+    src, dst = (pc.index_in(whole(pairs, c), value_set=ids).to_numpy() for c in ("src", "dst"))
+    widest = max((pc.max(pc.binary_length(a)).as_py() or 0 for a in (ids, label, relation.dictionary) if pa.types.is_string(a.type)), default=0)
+    by, ends = relation.indices.fill_null(-1).to_numpy(), whole(table, "wanted").fill_null(False).to_numpy(zero_copy_only=False)
+    return ids, label, relation.dictionary, ends, src, dst, by, np.searchsorted(src, np.arange(len(ids) + 1)), widest
+
+
+def chains_in_tasks(starts: DataFrame, graph, most: int | None, schema: str) -> DataFrame:
+    """Chains from a held graph: each task searches from its starts, one after the other, and follows the parents back for
+    as many targets at a time as fit some megabytes. Nothing is shuffled but the starts."""
+    spark = starts.sparkSession
+    ship(spark)
+    starts = written(starts.select("id").where("id is not null").distinct())
+    held = spark.sparkContext.broadcast(graph)
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ids, labels, names_, ends, src, dst, by, begin, widest = held.value
+        room = (4 << 20) // (16 + widest)
+        seen, last = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)  # last: the edge by which a node was reached
+
+        def search(start):  # nodes in order of depth, and their depths
+            front, found = np.array([start]), []
+            seen[start] = True
+            while len(front) and (most is None or len(found) < most):
+                width = begin[front + 1] - begin[front]
+                edge = np.repeat(begin[front] - np.cumsum(width) + width, width) + np.arange(width.sum())
+                edge = edge[~seen[dst[edge]]]  # in order of src: the first to reach a node is its least predecessor
+                front, first = np.unique(dst[edge], return_index=True)
+                last[front], seen[front] = edge[first], True
+                found.append(front)
+            reached = np.concatenate([front[:0], *found])
+            seen[reached] = seen[start] = False
+            return reached, np.repeat(np.arange(1, len(found) + 1), [len(f) for f in found])
+
+        def rows(start, at, depth):
+            top, end = np.cumsum(depth + 1), np.cumsum(depth)
+            chain, relation, source = np.empty(top[-1], np.int64), np.empty(end[-1], np.int64), np.full(len(at), start)
+            target, at = at, at.copy()
+            for hop in range(depth[-1] + 1):
+                k, more = np.searchsorted(depth, [hop, hop + 1])
+                chain[top[k:] - 1 - hop] = at[k:]
+                edge = last[at[more:]]
+                relation[end[more:] - 1 - hop] = by[edge]
+                at[more:] = src[edge]
+            known = relation >= 0
+            upto = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], end])]
+            node = pa.StructArray.from_arrays([ids.take(pa.array(chain)), labels.take(pa.array(chain))], ["id", "label"])
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((np.concatenate([[0], top]), node), (upto, names_.take(pa.array(relation[known]))))]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(source)), ids.take(pa.array(target)), pa.array(depth, pa.int32()), *lists], ["source", "target", "depth", "nodes", "relations"])
+
+        for batch in batches:
+            for start in pc.index_in(batch.column(0), value_set=ids).drop_null().to_pylist():
+                reached, depth = search(start)
+                reached, depth = reached[ends[reached]], depth[ends[reached]]
+                cells, done = np.cumsum(depth + 1), 0
+                while done < len(reached):
+                    upto = max(done + 1, int(np.searchsorted(cells, (cells[done - 1] if done else 0) + room, "right")))
+                    yield rows(start, reached[done:upto], depth[done:upto])
+                    done = upto
+
+    tasks = min(2000, max(spark.sparkContext.defaultParallelism, -(-starts.count() // 16)))
+    return starts.repartition(tasks).mapInArrow(work, schema)
+
+
+def shortest_chains(starts: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None, most: int | None = 10, held: int = HELD_EDGES) -> DataFrame:
     """(source, target, depth, nodes, relations): a shortest directed chain of at most `most` hops (None: of any length) from each
     start to each target (id; without targets: to all that it reaches), its nodes as (id, label) and its edges' relations in order. Of equal
-    chains, each node's least predecessor counts. Chains grow by depth: each node's is its parent's with one step more, so a
-    chain is moved once for each depth's join with the next, not once a hop. With targets, what leads to none is dropped first."""
-    trees, deepest = shortest_trees(starts, edges, most)
-    layers = [trees.where(F.col("depth") == d).select("source", "id", "parent", "relation") for d in range(deepest + 1)]
+    chains, each node's least predecessor counts. A graph of up to `held` edges is searched whole in each task. In a larger one
+    chains grow by depth: each node's is its parent's with one step more, so a chain is moved once for each depth's join with
+    the next, not once a hop. With targets, what leads to none is dropped first."""
+    edges = written(edges.groupBy("src", "dst").agg(F.min("relation").alias("relation")).where("src is not null and dst is not null"))
     wanted = None if targets is None else targets.select("id").distinct()
+    kinds = {edges.schema["src"].dataType, edges.schema["dst"].dataType, *(t.schema["id"].dataType for t in (starts, nodes, targets) if t is not None)}
+    kind = edges.schema["src"].dataType.simpleString()
+    if len(kinds) == 1 and kind in ("int", "bigint", "string") and edges.count() <= held:
+        arrays = held_graph(edges, nodes, wanted)
+        if arrays is not None:
+            return chains_in_tasks(starts, arrays, most, f"source {kind}, target {kind}, depth int, nodes array<struct<id:{kind},label:string>>, relations array<string>")
+    layers = [layer.select("source", "id", "parent", "relation") for layer in shortest_layers(starts, edges, most)]
+    deepest = len(layers) - 1
     if wanted is not None:
         for d in range(deepest, 0, -1):
             ends = layers[d].join(wanted, "id", "left_semi").select("source", "id")
